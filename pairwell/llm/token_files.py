@@ -37,58 +37,89 @@ _BEFORE_WORD = re.compile(r"(?= \S)")
 LONG = 48
 
 
+class Memo(dict):
+    """Ids by part; notes which parts it was asked for in vain."""
+
+    def __init__(self):
+        self.missed: list[str] = []
+
+    def __missing__(self, part: str) -> bytes:
+        self.missed.append(part)
+        return b""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones as they are, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, as little-endian bytes.
 
     The pre-tokenizer's pattern always starts a pre-token at a space with a non-space behind it, so a
-    text can be cut there and the ids of the parts concatenated. Parts are encoded by the library once
-    and remembered, up to `memo` of them. Texts that hold the string of an added token go whole.
+    text can be cut there and the ids of the parts concatenated. A part's pre-tokens go through the
+    library's model once and are remembered, as are parts, up to `memo` of each. Texts that hold the
+    string of an added token go through the library whole, and so does everything if a probe shows
+    that the tokenizer isn't of this kind.
     """
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, pattern: str, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.letters, self.findall = self.library.model, byte_letters(), regex.compile(pattern).findall
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}  # a part without its leading space
-        self.room = memo
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo, self.parts, self.tokens = memo, Memo(), {}
+        probe = "A probe's  text,\n it'll \t cost 12.50 €; déjà  VU?! \n\n x"
+        self.cuts = all(self._part(t) == self._whole(t) for t in (probe, " " + probe, "probe", " probe"))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        """The ids of text, pre-token by pre-token."""
+        out, tokens = [], self.tokens
+        for piece in self.findall(text):
+            ids = tokens.get(piece)
+            if ids is None:
+                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+                ids = np.array([t.id for t in found], self.kind).tobytes()
+                if len(tokens) < self.memo and len(piece) <= LONG:
+                    tokens[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut, whole, missing, known = [], {}, {}, self.parts
-        for k, text in enumerate(texts):
-            if any(a in text for a in self.added):
-                whole[k] = text
-                cut.append(())
-                continue
-            if _ODD.search(text):
-                parts = _BEFORE_WORD.split(text)
-                parts[1:] = [p[1:] for p in parts[1:]]
-            else:
-                parts = text.split(" ")
-            cut.append(parts)
-            whole[k] = parts[0]
-            missing.update((p, b"") for p in parts[1:] if p not in known)
-        if missing:
-            names = list(missing)
-            missing.update(zip(names, self._ids([" " + p for p in names]), strict=True))
-            for p in names:
-                if self.room > 0 and len(p) <= LONG:
-                    known[p] = missing[p]
-                    self.room -= 1
-        first = dict(zip(whole, self._ids(list(whole.values())), strict=True))
-        get = lambda p: known[p] if p in known else missing[p]
-        return [first[k] + b"".join(map(get, parts[1:])) for k, parts in enumerate(cut)]
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if not self.cuts or any(a in text for a in self.added):
+            return self._whole(text)
+        if _ODD.search(text):
+            cut = _BEFORE_WORD.split(text)
+            first, rest = cut[0], [p[1:] for p in cut[1:]]
+        else:
+            first, *rest = text.split(" ")
+        memo = self.parts
+        ids = list(map(memo.__getitem__, rest))
+        if memo.missed:
+            new = {p: self._part(" " + p) for p in set(memo.missed)}
+            memo.missed.clear()
+            ids = [x or new[p] for p, x in zip(rest, ids, strict=True)]
+            if len(memo) < self.memo:
+                memo.update((p, x) for p, x in new.items() if len(p) <= LONG)
+        return self._part(first) + b"".join(ids)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -99,7 +130,7 @@ def _path(uri: str) -> str:
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 256) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 256) -> list[dict]:
     """Write the shards and the manifest; returns the manifest's shards, one a partition with rows.
 
     Rows with equal ids stand in the order of their texts, null ids first, null texts as empty ones:
@@ -111,7 +142,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, *, id_
     store.create_dir(root, recursive=True)
 
     def run(batches):
-        encoder, task = _encoder(tokenizer_path), TaskContext.get()
+        encoder, task = _encoder(tokenizer_path, pattern), TaskContext.get()
         end, step = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         place, top = _open(folder)
         name, mine = f"{top}/shard-{task.partitionId():06d}", f".{task.taskAttemptId()}"

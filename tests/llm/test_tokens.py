@@ -99,13 +99,13 @@ def test_files_equal_library(spark, texts):
     path = vocabularies.path("byte_bpe_50k.json")
     rows = [(i * 7 % 211, t) for i, t in enumerate([*ODD, *texts[:150], None])] + [(5, "twice"), (5, "twice"), (None, "no id")]
     folder = runtime.shared_dir(spark)
-    token_files.write(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(5), folder, path, 2)
+    token_files.write(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(5), folder, path, vocabularies.PATTERN, 2)
     found = sorted(map(tuple, token_files.read(spark, folder).collect()), key=lambda r: r[1])
     assert found == brute_files(rows, path, 2)
     one = token_files.read(spark, folder, keep_ids=True).where("start = 0").first()
     assert len(one.ids) == one.n_tokens and one.ids[-1] == 2
     folder = runtime.shared_dir(spark)
-    assert token_files.write(docs(spark, []), folder, path, 2) == [] and token_files.read(spark, folder).count() == 0
+    assert token_files.write(docs(spark, []), folder, path, vocabularies.PATTERN, 2) == [] and token_files.read(spark, folder).count() == 0
 
 
 def test_queries_equal_libraries(spark, texts):
