@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_tree, runtime, token_counts, token_files, url_filter
+from . import bpe_tree, decontaminate, private_data, runtime, token_counts, token_files, url_filter
 
 #: Listed urls (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.private_spans(runtime.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode(runtime.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
 
@@ -26,11 +32,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = runtime.shared_dir(spark)
-    token_files.write(runtime.table(spark, sf_dir, "documents"), folder, vocabularies.path("byte_bpe_50k.json"), 2)
+    token_files.write(runtime.table(spark, sf_dir, "documents"), folder, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, 2)
     return token_files.read(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(runtime.table(spark, sf_dir, "documents"), runtime.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op2_private_data, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
 
 ORACLE = {
     "op7_url_filter": r"""
@@ -40,5 +51,18 @@ cut AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHI
 fit AS (SELECT k, arg_min(r_host || r_path, (-length(r_host || r_path), r_host || r_path)) AS rule, arg_min(r_verdict, (-length(r_host || r_path), r_host || r_path)) AS verdict
   FROM cut JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY k)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN fit USING (k)
+""",
+    "op10_decontaminate": r"""
+WITH dw AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g FROM bw, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT k, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM dw, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+hits AS (SELECT k, i, p.n, item_id FROM places p JOIN windows v ON p.n = v.n AND p.g = v.g),
+words AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT k, i, n FROM hits), unnest(range(i, i + n)) AS t(j) GROUP BY k),
+named AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (k) LEFT JOIN named USING (k)
 """,
 }
