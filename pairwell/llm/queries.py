@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, private_data, quality, runtime, token_counts, token_files, url_filter
+from . import bpe_tree, decontaminate, license_scan, private_data, quality, runtime, token_counts, token_files, url_filter
 
 #: Listed urls (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -17,6 +17,10 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(runtime.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(runtime.table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
@@ -45,7 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_private_data, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_private_data, op3_license_scan, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
 
 ORACLE = {
     "op7_url_filter": r"""
