@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, license_scan, private_data, quality, runtime, token_counts, token_files, url_filter
+from . import bpe_tree, decontaminate, license_scan, near_duplicates, private_data, quality, runtime, token_counts, token_files, url_filter
 
 #: Listed urls (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -21,6 +21,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(runtime.table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(runtime.table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(runtime.table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
@@ -49,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_private_data, op3_license_scan, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_private_data, op3_license_scan, op4_ngram_jaccard, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
 
 ORACLE = {
     "op7_url_filter": r"""
@@ -72,5 +76,18 @@ named AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (k) LEFT JOIN named USING (k)
+""",
+    "op4_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT k, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY k),
+classes AS (SELECT same, min(k) AS rep, min(doc_id) AS class_id, any_value(n) AS n FROM n JOIN w USING (k) GROUP BY same),
+cs AS (SELECT k, g FROM s JOIN classes ON k = rep),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM cs a JOIN cs b ON a.g = b.g AND a.k <> b.k GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN classes x ON a = x.rep JOIN classes y ON b = y.rep WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(k, least_id) AS (SELECT rep, class_id FROM classes UNION SELECT b, least_id FROM reach JOIN links ON k = a),
+found AS (SELECT k AS rep, min(least_id) AS component_id FROM reach GROUP BY k)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(component_id, doc_id) AS component_id
+FROM w LEFT JOIN n USING (k) LEFT JOIN classes USING (same) LEFT JOIN found USING (rep)
 """,
 }
