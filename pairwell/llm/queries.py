@@ -6,12 +6,24 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, license_scan, near_duplicates, private_data, quality, runtime, token_counts, token_files, url_filter
+from . import bpe_tree, decontaminate, license_scan, near_duplicates, private_data, quality, runtime, token_counts, token_files, tool_calls, url_filter
 
 #: Listed urls (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+#: Argument schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tool_calls.linked_messages(runtime.table(spark, sf_dir, "conversations"), TOOLS)
+    return found.withColumn("message_sha256", F.sha2(F.col("message"), 256)).drop("message")
+
+
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_data.private_spans(runtime.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_added")
@@ -53,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_private_data, op3_license_scan, op4_ngram_jaccard, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_private_data, op3_license_scan, op4_ngram_jaccard, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
 
 ORACLE = {
     "op7_url_filter": r"""
