@@ -129,8 +129,8 @@ def _codec(path: str, pattern: str) -> TreeBPE:
     return TreeBPE(read_ranks(path), pattern)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, slice_rows: int = 256) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with keep_ids also ids and decoded bytes.
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_bytes: bool = False, slice_rows: int = 256) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; if asked for, also ids and decoded (bytes).
 
     A null text is an empty one: no tokens, the hashes of nothing. Repeated rows and equal ids give a
     row each; null ids stay null; other columns are not read; an empty table gives no rows.
@@ -152,14 +152,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     back.append(hashlib.sha256(data).hexdigest())
                     if keep_ids:
                         all_ids.append(ids)
+                    if keep_bytes:
                         all_bytes.append(data)
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 labels = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_bytes, pa.binary())]
-                    labels += ["ids", "decoded"]
+                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    labels.append("ids")
+                if keep_bytes:
+                    columns.append(pa.array(all_bytes, pa.binary()))
+                    labels.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=labels)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_bytes
     return rows.mapInArrow(run, schema)

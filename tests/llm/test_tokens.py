@@ -57,7 +57,7 @@ def test_tree_on_random_texts(text):
 
 
 def test_encode_decode_rows(spark, codecs):
-    rows = {r.doc_id: r for r in bpe_tree.encode_decode(docs(spark, [*ODD, None]), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, keep_ids=True).collect()}
+    rows = {r.doc_id: r for r in bpe_tree.encode_decode(docs(spark, [*ODD, None]), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, keep_ids=True, keep_bytes=True).collect()}
     for i, text in enumerate([*ODD, ""]):
         ids = codecs[-1].library.encode_ordinary(text)
         assert rows[i].ids == ids and rows[i].n_tokens == len(ids) and bytes(rows[i].decoded) == text.encode()
