@@ -34,6 +34,8 @@ from .runtime import save, ship
 
 WORDS = 5
 CHUNK, HUBS = 64, 8
+#: Pairs that are verified together.
+BLOCK = 4096
 #: A token is frequent if it is in this share of the rows, and in LEAST_FREQUENT rows. A set has L tokens
 #: on average, so at most L / SHARE tokens are; that bounds what is broadcast.
 SHARE, LEAST_FREQUENT = 1e-4, 64
@@ -121,8 +123,8 @@ def _frequent(described: DataFrame, rows: int) -> np.ndarray:
     return np.sort(found.toPandas()["s1"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """key, s1 and tokens of documents whose key is in needed (key), and perhaps of a few others.
+def _sets_of(docs: DataFrame, needed: DataFrame, half: bool = False) -> DataFrame:
+    """key, s1 and tokens (if half, only their upper 32 bits) of documents whose key is in needed (key), and perhaps of a few others.
 
     needed reaches the tasks as a bitmap of fixed size; the join that follows decides.
     """
@@ -142,7 +144,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 if not len(full):
                     continue
                 s1, _ = _sums(tokens, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([sets[k].tobytes() for k in full], pa.binary())], names=["key", "s1", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([((sets[k] >> np.uint64(32)).astype(np.uint32) if half else sets[k]).tobytes() for k in full], pa.binary())], names=["key", "s1", "tokens"])
 
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")
     return docs.select(F.col("doc_id").alias("key"), "text").select("key", "text", bit).mapInArrow(run, "key long, s1 long, tokens binary")
@@ -189,9 +191,10 @@ def overlaps(sets: list[np.ndarray], block: int = 32_768) -> np.ndarray:
 
 
 def _links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that join the linked sets of a chunk: each node to the least one that it is connected with."""
-    n = np.array([len(s) for s in sets])
-    linked = 7 * overlaps(sets) >= 3 * (n[:, None] + n[None, :])
+    """Edges that join the linked sets of a chunk (of half tokens): each node to the least one that it is connected with."""
+    n = np.array([len(s) for s in sets], np.int64)
+    chance = 4 + 16 * n[:, None] * n[None, :] // (1 << 32)  # more equal halves than chance makes of unequal tokens
+    linked = 7 * (overlaps(sets) - chance) >= 3 * (n[:, None] + n[None, :])
     root = np.arange(len(sets))
     for _ in range(len(sets)):
         new = np.where(linked, root[None, :], len(sets)).min(axis=1)
@@ -212,7 +215,7 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("size")) < HUBS)
     own = F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int"))
     members = save(members.select("k", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)).alias("chunk"), "node", "key", "s1"))
-    sets = members.join(_sets_of(docs, members.select("key")), ["key", "s1"]).select("k", "chunk", "node", "tokens")
+    sets = members.join(_sets_of(docs, members.select("key"), half=True), ["key", "s1"]).select("k", "chunk", "node", "tokens")
 
     def run(batches):
         for group in _grouped(batches, 2):
@@ -220,23 +223,34 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if len(nodes) < 2:
                 continue
             column = group.column(3)
-            edges = _links(nodes, [np.frombuffer(column[i].as_buffer(), np.uint64) for i in first.tolist()])
+            edges = _links(nodes, [np.unique(np.frombuffer(column[i].as_buffer(), np.uint32)) for i in first.tolist()])
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["u", "v"])
 
     return save(sets.repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(run, "u long, v long"))
 
 
-def listed_tokens(tokens: np.ndarray, frequent: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+def among(tokens: np.ndarray, frequent: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Which tokens are frequent; sieve says which low bits any frequent token has."""
+    out = np.zeros(len(tokens), bool)
+    maybe = np.flatnonzero(sieve[tokens & np.uint64(len(sieve) - 1)])
+    if len(maybe) and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, tokens[maybe]), len(frequent) - 1)
+        out[maybe] = frequent[at] == tokens[maybe]
+    return out
+
+
+def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The first tokens of a sorted set in the order (frequent, hash), as many as a link needs."""
     size = len(tokens) - -(-3 * len(tokens) // 4) + 1
-    maybe = np.flatnonzero(sieve[tokens & np.uint64(len(sieve) - 1)])
-    last = maybe[np.isin(tokens[maybe], frequent)] if len(maybe) else maybe
-    if not len(last):
-        return tokens[:size]
-    often = np.zeros(len(tokens), bool)
-    often[last] = True
-    return np.concatenate((tokens[~often], tokens[often]))[:size]
+    rare = tokens[~often]
+    return rare[:size] if len(rare) >= size else np.concatenate((rare, tokens[often][: size - len(rare)]))
+
+
+def sieve_of(frequent: np.ndarray) -> np.ndarray:
+    sieve = np.zeros(1 << 20, bool)
+    sieve[frequent & np.uint64(len(sieve) - 1)] = True
+    return sieve
 
 
 def _matrix(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -245,14 +259,14 @@ def _matrix(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFr
 
     def lists(batches):
         often = shared.value
-        sieve = np.zeros(1 << 20, bool)
-        sieve[often & np.uint64(len(sieve) - 1)] = True
+        sieve = sieve_of(often)
         for batch in wordhash.slices(batches, 1):
             sets = list(shingle_sets(batch, 1))
             tokens, starts, full = _flat(sets)
             if len(full):
                 s1, _ = _sums(tokens, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([listed_tokens(sets[k], often, sieve).tobytes() for k in full], pa.binary())], names=["key", "s1", "listed"])
+                marks = np.split(among(tokens, often, sieve), starts[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([listed_tokens(sets[k], mark).tobytes() for k, mark in zip(full, marks, strict=True)], pa.binary())], names=["key", "s1", "listed"])
 
     def entries(batches):
         for big in batches:
@@ -270,25 +284,26 @@ def _matrix(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFr
 
 
 def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> np.ndarray:
-    """Pairs of nodes (a, b) of different groups that share a listed token and may link by its places."""
+    """Pairs (a, b, comp of a, comp of b), a < b, of different groups that share a listed token and may link by its places."""
     order = np.lexsort((n, token))
     token, node, comp, n, place = token[order], node[order], comp[order], n[order], place[order]
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
     sizes = np.diff(np.append(edge, len(token)))
-    out = []
+    left, right = [], []
 
     def allowed(i, j):
         need = -(-3 * (n[i] + n[j]) // 7)
         return (comp[i] != comp[j]) & (need <= np.minimum(n[i] - place[i], n[j] - place[j]))
 
-    left = np.repeat(sizes, sizes) - (np.arange(len(token)) - np.repeat(edge, sizes))  # rows of the token from here on
+    behind = np.repeat(sizes, sizes) - (np.arange(len(token)) - np.repeat(edge, sizes))  # rows of the token from here on
     many = np.repeat(sizes > small, sizes)
-    at, step = np.flatnonzero((left > 1) & ~many), 1
+    at, step = np.flatnonzero((behind > 1) & ~many), 1
     while len(at):
         ok = at[allowed(at, at + step)]
-        out.append(np.stack((node[ok], node[ok + step])))
+        left.append(ok)
+        right.append(ok + step)
         step += 1
-        at = at[left[at] > step]
+        at = at[behind[at] > step]
     for lo, m in zip(edge[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
         rows = np.arange(lo, lo + m)
         kinds, count = np.unique(comp[rows], return_counts=True)
@@ -303,15 +318,17 @@ def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
             if b > a:
                 x = np.arange(a, b)
                 x = x[allowed(np.full(len(x), q), x)]
-                out.append(np.stack((np.full(len(x), node[q]), node[x])))
-    if not out:
-        return np.empty((2, 0), np.int64)
-    pairs = np.concatenate(out, axis=1)
-    return np.unique(np.stack((pairs.min(axis=0), pairs.max(axis=0))), axis=1)
+                left.append(np.full(len(x), q))
+                right.append(x)
+    if not left:
+        return np.empty((4, 0), np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+    return np.unique(np.stack((node[i], node[j], comp[i], comp[j])), axis=1)
 
 
 def _opened_pairs(matrix: DataFrame) -> DataFrame:
-    """a, b: pairs of classes to verify, with repeats between tasks."""
+    """a, b, ca, cb: pairs of classes to verify and their groups; saved."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]  # a shuffle partition
@@ -320,33 +337,48 @@ def _opened_pairs(matrix: DataFrame) -> DataFrame:
         token, node, comp, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
         del held
         pairs = opened(token, node, comp, at >> 32, at & 0xFFFFFFFF)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "ca", "cb"])
 
-    return matrix.repartition("token").mapInArrow(run, "a long, b long")
+    return save(matrix.repartition("token").mapInArrow(run, "a long, b long, ca long, cb long").distinct())
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Step 3: the pairs that link; u, v; saved."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key", "s1"), "node")
-    nodes = save(nodes)
-    sets = save(nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"]).select("node", "tokens"))
-    left = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"node": "b", "tokens": "y"}), "b").select("a", "b", "x", "y")
+    """Step 3: the groups of pairs that link; u, v; saved.
 
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(batch.num_rows):
-                a, b = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
-                both = np.concatenate((a, b))
-                both.sort(kind="stable")
-                if 7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(a) + len(b)):
-                    keep.append(k)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["u", "v"])
+    The pairs of a group are dealt to blocks, and each block gets the sets that it needs once.
+    """
+    group = F.least("ca", "cb")
+    query = F.when(F.col("ca") == group, F.col("b")).otherwise(F.col("a"))
+    sizes = pairs.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.withColumns({"g": group, "q": query}).join(sizes, "g")
+    dealt = save(dealt.select("g", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "a", "b", "ca", "cb"))
+    nodes = dealt.select("g", "block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = save(nodes.join(classes.select("node", "key", "s1"), "node"))
+    sets = nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"])
+    none = F.lit(None).cast("long")
+    rows = sets.select("g", "block", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), none.alias("ca"), none.alias("cb"), "tokens")
+    rows = rows.unionByName(dealt.select("g", "block", F.lit(1).alias("kind"), "a", "b", "ca", "cb", F.lit(None).cast("binary").alias("tokens")))
 
-    return save(both.mapInArrow(run, "u long, v long"))
+    def run(batches):
+        for part in _grouped(batches, 2):
+            kind, a = part.column(2).to_numpy(), part.column(3).to_numpy()
+            tokens, known = part.column(7), {}
+            for k in np.flatnonzero(kind == 0).tolist():
+                known[int(a[k])] = np.frombuffer(tokens[k].as_buffer(), np.uint64)
+            asked = np.flatnonzero(kind == 1)
+            b, ca, cb = (part.column(c).to_numpy(zero_copy_only=False)[asked].astype(np.int64) for c in (4, 5, 6))
+            u, v = [], []
+            for x, y, cx, cy in zip(a[asked].tolist(), b.tolist(), ca.tolist(), cb.tolist(), strict=True):
+                x, y = known[x], known[y]
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")  # merges two sorted runs
+                if 7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(x) + len(y)):
+                    u.append(cx)
+                    v.append(cy)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return save(rows.repartition("g", "block").sortWithinPartitions("g", "block", "kind").mapInArrow(run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,10 +399,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = save(classes.select(F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("key"), "s1", "s2", "n", "k1", "k2", "class_id"))
     grouped = components(_chunk_edges(docs, classes))
     labelled = save(classes.join(grouped, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
-    pairs = save(_opened_pairs(_matrix(docs, labelled, _frequent(described, rows.count()))).distinct())
-    links = _verified(docs, labelled, pairs)
-    ends = [labelled.select(F.col("node").alias(a), F.col("comp").alias(b)) for a, b in (("u", "cu"), ("v", "cv"))]
-    joined = components(links.join(ends[0], "u").join(ends[1], "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("comp"), "root")
+    pairs = _opened_pairs(_matrix(docs, labelled, _frequent(described, rows.count())))
+    joined = components(_verified(docs, labelled, pairs)).select(F.col("node").alias("comp"), "root")
     final = labelled.join(joined, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
     least = final.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = final.join(least, "comp").select("s1", "s2", "n", "class_id", "component_id")

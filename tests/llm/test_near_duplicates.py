@@ -95,15 +95,15 @@ def test_no_link_is_left_closed(small):
         own = rng.permutation(base)[: rng.integers(50, 80)]
         sets.append(np.unique(np.concatenate((own, rng.integers(1, 1 << 60, rng.integers(0, 20)).astype(np.uint64)))))
     frequent = np.sort(base[:30])
-    sieve = np.zeros(1 << 20, bool)
-    sieve[frequent & np.uint64((1 << 20) - 1)] = True
-    lists = [near_duplicates.listed_tokens(s, frequent, sieve) for s in sets]
+    sieve = near_duplicates.sieve_of(frequent)
+    assert all((near_duplicates.among(s, frequent, sieve) == np.isin(s, frequent)).all() for s in sets)
+    lists = [near_duplicates.listed_tokens(s, near_duplicates.among(s, frequent, sieve)) for s in sets]
     token = np.concatenate(lists).view(np.int64)
     node = np.repeat(np.arange(len(sets)), list(map(len, lists)))
     comp = node // 3 * 3
     n = np.repeat([len(s) for s in sets], list(map(len, lists)))
     place = np.concatenate([np.arange(len(x)) for x in lists])
-    found = set(map(tuple, near_duplicates.opened(token, node, comp, n, place, small).T.tolist()))
+    found = {(a, b) for a, b, ca, cb in near_duplicates.opened(token, node, comp, n, place, small).T.tolist() if ca == a // 3 * 3 and cb == b // 3 * 3}
     both = near_duplicates.overlaps(sets)
     links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 7 * both[a, b] >= 3 * (len(sets[a]) + len(sets[b]))}
     assert all(both[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(40) for b in range(40) if a != b)
