@@ -13,9 +13,11 @@ are represented by one of them; only classes are compared. Two classes link when
    of its members'. Tokens of many documents come last in the order, so they are rarely listed.
    Where a query class meets another group's entry, the tokens before it in both lists bound the
    overlap; a group is opened, and its member compared, only if the bound allows a link.
-3. Opened pairs are verified by their whole sets. Links join groups to components.
+3. Opened pairs are bounded once more by a fixed sixth of their tokens, and verified by their whole
+   sets if that allows a link. Links join groups to components.
 
-Any order of tokens gives all links; the list of frequent tokens only decides how much is opened.
+Any order of tokens gives all links; which tokens count as frequent only decides how much is opened,
+so a bitmap of fixed size holds them, and tokens that share a bit with a frequent one come late too.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ from .runtime import save, ship
 WORDS = 5
 CHUNK, HUBS = 64, 8
 #: Pairs that are verified together.
-BLOCK = 4096
-#: A token is frequent if it is in this share of the rows, and in LEAST_FREQUENT rows. A set has L tokens
-#: on average, so at most L / SHARE tokens are; that bounds what is broadcast.
-SHARE, LEAST_FREQUENT = 1e-4, 64
+BLOCK = 20_000
+#: A token is frequent from so many documents on, as far as tasks see it repeat.
+LEAST_FREQUENT = 64
+#: Bits of the bitmap of frequent tokens, which is what is broadcast.
+FREQUENT_BITS = 26
+#: The part of a set that opened pairs are bounded by: tokens below this.
+PART = np.uint64((1 << 64) // 6)
 #: Tokens counted at a time in a task.
 COUNTED = 4_000_000
 _FILTER_BITS = 23
@@ -116,11 +121,28 @@ def _described(docs: DataFrame) -> DataFrame:
     return save(docs.mapInArrow(run, "kind long, row long, doc_id long, n long, s1 long, s2 long, k1 long, k2 long"))
 
 
-def _frequent(described: DataFrame, rows: int) -> np.ndarray:
-    """The sorted frequent tokens."""
-    least = max(LEAST_FREQUENT, int(SHARE * rows))
-    found = described.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("s1")
-    return np.sort(found.toPandas()["s1"].to_numpy(np.int64).view(np.uint64))
+def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of 2 ** size bits with the column `bit` set; at most 2 ** (size - 3) rows come to the driver."""
+    cells = bits.groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (size - 3), np.uint8)
+    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.uint8)
+    return out
+
+
+def _in(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which bits are set."""
+    return bitmap[bit >> bit.dtype.type(3)] >> (bit & bit.dtype.type(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
+def among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which tokens count as frequent."""
+    return _in(frequent, tokens & np.uint64(8 * len(frequent) - 1))
+
+
+def _frequent(described: DataFrame) -> np.ndarray:
+    """The bitmap of frequent tokens, by their low bits."""
+    found = described.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    return _bitmap(found.select(F.col("s1").bitwiseAND(F.lit((1 << FREQUENT_BITS) - 1)).alias("bit")), FREQUENT_BITS)
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, half: bool = False) -> DataFrame:
@@ -128,16 +150,12 @@ def _sets_of(docs: DataFrame, needed: DataFrame, half: bool = False) -> DataFram
 
     needed reaches the tasks as a bitmap of fixed size; the join that follows decides.
     """
-    cells = needed.select(F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")).groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits"))
-    bitmap = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    found = cells.toPandas()  # at most 2 ** (_FILTER_BITS - 3) rows
-    bitmap[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    bitmap = _bitmap(needed.select(F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")), _FILTER_BITS)
     listed = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for big in batches:
-            bit = big.column(2).to_numpy()
-            on = np.flatnonzero(listed.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            on = np.flatnonzero(_in(listed.value, big.column(2).to_numpy()))
             for batch in wordhash.slices(iter([big.take(pa.array(on))]), 1):
                 sets = list(shingle_sets(batch, 1))
                 tokens, starts, full = _flat(sets)
@@ -230,16 +248,6 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return save(sets.repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(run, "u long, v long"))
 
 
-def among(tokens: np.ndarray, frequent: np.ndarray, sieve: np.ndarray) -> np.ndarray:
-    """Which tokens are frequent; sieve says which low bits any frequent token has."""
-    out = np.zeros(len(tokens), bool)
-    maybe = np.flatnonzero(sieve[tokens & np.uint64(len(sieve) - 1)])
-    if len(maybe) and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens[maybe]), len(frequent) - 1)
-        out[maybe] = frequent[at] == tokens[maybe]
-    return out
-
-
 def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The first tokens of a sorted set in the order (frequent, hash), as many as a link needs."""
     size = len(tokens) - -(-3 * len(tokens) // 4) + 1
@@ -247,26 +255,28 @@ def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
     return rare[:size] if len(rare) >= size else np.concatenate((rare, tokens[often][: size - len(rare)]))
 
 
-def sieve_of(frequent: np.ndarray) -> np.ndarray:
-    sieve = np.zeros(1 << 20, bool)
-    sieve[frequent & np.uint64(len(sieve) - 1)] = True
-    return sieve
-
-
-def _matrix(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Step 2: token, node, comp and at (set size << 32 | place in the list) of all classes."""
+def _lists(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """node, comp, n, listed (tokens in order) and part (upper halves of the tokens below PART) of all classes; saved."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def lists(batches):
         often = shared.value
-        sieve = sieve_of(often)
         for batch in wordhash.slices(batches, 1):
             sets = list(shingle_sets(batch, 1))
             tokens, starts, full = _flat(sets)
             if len(full):
                 s1, _ = _sums(tokens, starts)
-                marks = np.split(among(tokens, often, sieve), starts[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([listed_tokens(sets[k], mark).tobytes() for k, mark in zip(full, marks, strict=True)], pa.binary())], names=["key", "s1", "listed"])
+                marks = np.split(among(tokens, often), starts[1:])
+                listed = [listed_tokens(sets[k], mark).tobytes() for k, mark in zip(full, marks, strict=True)]
+                part = [(sets[k][: np.searchsorted(sets[k], PART)] >> np.uint64(32)).astype(np.uint32).tobytes() for k in full]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array(listed, pa.binary()), pa.array(part, pa.binary())], names=["key", "s1", "listed", "part"])
+
+    listed = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(lists, "key long, s1 long, listed binary, part binary")
+    return save(listed.join(classes.select("key", "s1", "node", "comp", "n"), ["key", "s1"]).select("node", "comp", "n", "listed", "part"))
+
+
+def _matrix(lists: DataFrame) -> DataFrame:
+    """Step 2: token, node, comp and at (set size << 32 | place in the list) of all classes."""
 
     def entries(batches):
         for big in batches:
@@ -278,9 +288,7 @@ def _matrix(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFr
                 node, comp, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node), pa.array(comp), pa.array(n << 32 | place)], names=["token", "node", "comp", "at"])
 
-    listed = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(lists, "key long, s1 long, listed binary")
-    rows = listed.join(classes.select("key", "s1", "node", "comp", "n"), ["key", "s1"]).select("node", "comp", "n", "listed")
-    return rows.mapInArrow(entries, "token long, node long, comp long, at long")
+    return lists.select("node", "comp", "n", "listed").mapInArrow(entries, "token long, node long, comp long, at long")
 
 
 def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> np.ndarray:
@@ -342,43 +350,65 @@ def _opened_pairs(matrix: DataFrame) -> DataFrame:
     return save(matrix.repartition("token").mapInArrow(run, "a long, b long, ca long, cb long").distinct())
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Step 3: the groups of pairs that link; u, v; saved.
+def _dealt(pairs: DataFrame, group: str) -> DataFrame:
+    """pairs with block: those of a group in blocks of about BLOCK pairs, by their first node; saved."""
+    sizes = pairs.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(sizes, group)
+    return save(dealt.select(F.col(group).alias("g"), F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "a", "b", "ca", "cb"))
 
-    The pairs of a group are dealt to blocks, and each block gets the sets that it needs once.
-    """
-    group = F.least("ca", "cb")
-    query = F.when(F.col("ca") == group, F.col("b")).otherwise(F.col("a"))
-    sizes = pairs.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.withColumns({"g": group, "q": query}).join(sizes, "g")
-    dealt = save(dealt.select("g", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "a", "b", "ca", "cb"))
-    nodes = dealt.select("g", "block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = save(nodes.join(classes.select("node", "key", "s1"), "node"))
-    sets = nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"])
+
+def _tested(dealt: DataFrame, sets: DataFrame, test, out: str) -> DataFrame:
+    """Pairs that pass test(tokens of a, tokens of b, n of a, n of b): a block gets each set (node, n, tokens) that it needs once."""
     none = F.lit(None).cast("long")
-    rows = sets.select("g", "block", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), none.alias("ca"), none.alias("cb"), "tokens")
+    rows = sets.select("g", "block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("n").alias("b"), none.alias("ca"), none.alias("cb"), "tokens")
     rows = rows.unionByName(dealt.select("g", "block", F.lit(1).alias("kind"), "a", "b", "ca", "cb", F.lit(None).cast("binary").alias("tokens")))
 
     def run(batches):
         for part in _grouped(batches, 2):
             kind, a = part.column(2).to_numpy(), part.column(3).to_numpy()
+            b, ca, cb = (part.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
             tokens, known = part.column(7), {}
             for k in np.flatnonzero(kind == 0).tolist():
-                known[int(a[k])] = np.frombuffer(tokens[k].as_buffer(), np.uint64)
-            asked = np.flatnonzero(kind == 1)
-            b, ca, cb = (part.column(c).to_numpy(zero_copy_only=False)[asked].astype(np.int64) for c in (4, 5, 6))
-            u, v = [], []
-            for x, y, cx, cy in zip(a[asked].tolist(), b.tolist(), ca.tolist(), cb.tolist(), strict=True):
-                x, y = known[x], known[y]
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")  # merges two sorted runs
-                if 7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(x) + len(y)):
-                    u.append(cx)
-                    v.append(cy)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return save(rows.repartition("g", "block").sortWithinPartitions("g", "block", "kind").mapInArrow(run, "u long, v long"))
+                known[int(a[k])] = tokens[k].as_buffer(), int(b[k])
+            passed = []
+            for k in np.flatnonzero(kind == 1).tolist():
+                (x, nx), (y, ny) = known[int(a[k])], known[int(b[k])]
+                if test(x, y, nx, ny):
+                    passed.append(k)
+            if passed:
+                yield pa.RecordBatch.from_arrays([pa.array(c[passed].astype(np.int64)) for c in (a, b, ca, cb)], names=["a", "b", "ca", "cb"])
+
+    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "kind").mapInArrow(run, "a long, b long, ca long, cb long").select(*out.split())
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted arrays share, repeats within one counted again."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # merges two sorted runs
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _possible(x, y, nx: int, ny: int) -> bool:
+    """Whether a link is possible, by the part of the tokens below PART; equal halves only raise the bound."""
+    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    return 7 * (_shared(x, y) + min(nx - len(x), ny - len(y))) >= 3 * (nx + ny)
+
+
+def _link(x, y, nx: int, ny: int) -> bool:
+    return 7 * _shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= 3 * (nx + ny)
+
+
+def _verified(docs: DataFrame, classes: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Step 3: the groups of pairs that link; u, v; saved."""
+    asked = lambda dealt: dealt.select("g", "block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    dealt = _dealt(pairs.withColumn("least", F.least("ca", "cb")), "least")
+    left = save(_tested(dealt, asked(dealt).join(lists.select("node", "n", F.col("part").alias("tokens")), "node"), _possible, "a b ca cb"))
+    # what is left of a crowd of copies hangs together, and is verified together
+    crowds = components(left.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    dealt = _dealt(left.join(crowds.withColumnRenamed("node", "ca"), "ca", "left").withColumn("crowd", F.coalesce("root", "ca")), "crowd")
+    nodes = save(asked(dealt).join(classes.select("node", "key", "s1", "n"), "node"))
+    sets = nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"])
+    return save(_tested(dealt, sets, _link, "ca cb").toDF("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,8 +429,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = save(classes.select(F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("key"), "s1", "s2", "n", "k1", "k2", "class_id"))
     grouped = components(_chunk_edges(docs, classes))
     labelled = save(classes.join(grouped, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
-    pairs = _opened_pairs(_matrix(docs, labelled, _frequent(described, rows.count())))
-    joined = components(_verified(docs, labelled, pairs)).select(F.col("node").alias("comp"), "root")
+    lists = _lists(docs, labelled, _frequent(described))
+    joined = components(_verified(docs, labelled, lists, _opened_pairs(_matrix(lists)))).select(F.col("node").alias("comp"), "root")
     final = labelled.join(joined, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
     least = final.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = final.join(least, "comp").select("s1", "s2", "n", "class_id", "component_id")
