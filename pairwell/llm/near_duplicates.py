@@ -6,15 +6,17 @@ are represented by one of them; only classes are compared. Two classes link when
 
 1. Similar classes are partitioned into groups: classes that share a pair of min-hashes meet in chunks
    of bounded size (large buckets are dealt to chunks, with a few hubs in all of them), where all
-   intersections come from one product of the chunk's class-token matrix. Linked ones form a group.
-   This only finds some of the links; it spares the exact part the pairs inside groups.
+   intersections come from one product of the chunk's class-token matrix. What is alike hangs
+   together as a group; what links, inside it, as a part of a component. This finds many of the
+   links, not all; it spares the exact steps the pairs inside parts.
 2. The token-group matrix: every class lists the least tokens of its set, enough of them that linked
-   classes share one (|set| - ceil(0.75 |set|) + 1), with its group; a group's entries are the union
-   of its members'. Tokens of many documents come last in the order, so they are rarely listed.
-   Where a query class meets another group's entry, the tokens before it in both lists bound the
-   overlap; a group is opened, and its member compared, only if the bound allows a link.
-3. Opened pairs are bounded once more by a fixed sixth of their tokens, and verified by their whole
-   sets if that allows a link. Links join groups to components.
+   classes share one (|set| - ceil(0.75 |set|) + 1), under its group; a group's entries are the union
+   of its members'. Tokens of many documents come last in the order, so they are rarely listed. Where
+   a query class meets an entry, the tokens before it in both lists bound the overlap; the group is
+   opened for the query only if the bound allows a link to a class of another part.
+3. Opened groups are compared in blocks of bounded size, by products of class-token matrices again:
+   first of a fixed sixth of the tokens, which bounds the overlap once more, then, where that allows
+   a link, of whole sets. Rows are (query, group), never pairs of documents.
 
 Any order of tokens gives all links; which tokens count as frequent only decides how much is opened,
 so a bitmap of fixed size holds them, and tokens that share a bit with a frequent one come late too.
@@ -36,8 +38,8 @@ from .runtime import save, ship
 
 WORDS = 5
 CHUNK, HUBS = 64, 8
-#: Pairs that are verified together.
-BLOCK = 20_000
+#: Members and queries of a block of an opened group.
+MEMBERS, QUERIES = 512, 1024
 #: A token is frequent from so many documents on, as far as tasks see it repeat.
 LEAST_FREQUENT = 64
 #: Bits of the bitmap of frequent tokens, which is what is broadcast.
@@ -191,40 +193,53 @@ def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def overlaps(sets: list[np.ndarray], block: int = 32_768) -> np.ndarray:
-    """Sizes of all intersections, as a product of the set-token matrix with its transpose."""
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    column, owner = column[shared], owner[shared]
-    _, column = np.unique(column, return_inverse=True)
-    out = np.zeros((len(sets), len(sets)), np.float64)
-    for lo in range(0, int(column.max()) + 1 if len(column) else 0, block):
-        here = (column >= lo) & (column < lo + block)
-        matrix = np.zeros((len(sets), block), np.float32)
-        matrix[owner[here], column[here] - lo] = 1
-        out += matrix @ matrix.T
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of each of rows with each of columns, as a product of set-token matrices."""
+    n = len(rows)
+    tokens, owner = np.concatenate([*rows, *columns]), np.repeat(np.arange(n + len(columns)), [len(s) for s in [*rows, *columns]])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, bool)
+    number = np.cumsum(first) - 1
+    kinds = int(number[-1]) + 1 if len(number) else 0
+    here, there = np.zeros(kinds, bool), np.zeros(kinds, bool)
+    here[number[owner < n]] = True
+    there[number[owner >= n]] = True
+    both = here & there  # only tokens of both sides count
+    keep = both[number]
+    number, owner = (np.cumsum(both) - 1)[number[keep]], owner[keep]
+    block = max(256, most // (n + len(columns)))
+    out = np.zeros((n, len(columns)), np.float64)
+    for lo in range(0, int(both.sum()), block):
+        a, b = np.searchsorted(number, (lo, lo + block))
+        matrix = np.zeros((n + len(columns), block), np.float32)
+        matrix[owner[a:b], number[a:b] - lo] = 1
+        out += matrix[:n] @ matrix[n:].T
     return out.astype(np.int64)
 
 
-def _links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that join the linked sets of a chunk (of half tokens): each node to the least one that it is connected with."""
-    n = np.array([len(s) for s in sets], np.int64)
-    chance = 4 + 16 * n[:, None] * n[None, :] // (1 << 32)  # more equal halves than chance makes of unequal tokens
-    linked = 7 * (overlaps(sets) - chance) >= 3 * (n[:, None] + n[None, :])
-    root = np.arange(len(sets))
-    for _ in range(len(sets)):
-        new = np.where(linked, root[None, :], len(sets)).min(axis=1)
-        new = np.minimum(new, root)
+def _hung(nodes: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from each node of a chunk to the least one that it is connected with."""
+    root = np.arange(len(nodes))
+    for _ in range(len(nodes)):
+        new = np.minimum(np.where(joined, root[None, :], len(nodes)).min(axis=1), root)
         if (new == root).all():
             break
         root = new
     return [(int(nodes[k]), int(nodes[r])) for k, r in enumerate(root.tolist()) if k != r]
 
 
+def _links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """Edges (u, v, 1) of linked sets of a chunk, given as upper halves of tokens, and (u, v, 0) of alike ones."""
+    n = np.array([len(s) for s in sets], np.int64)
+    total = n[:, None] + n[None, :]
+    chance = 4 + 16 * n[:, None] * n[None, :] // (1 << 32)  # more equal halves than chance makes of unequal tokens
+    shared = overlaps(sets, sets)
+    return [(*e, 1) for e in _hung(nodes, 7 * (shared - chance) >= 3 * total)] + [(*e, 0) for e in _hung(nodes, 7 * shared >= 2 * total)]
+
+
 def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 1: links found between classes with a common min-hash key; u, v; saved."""
+    """Step 1: edges between classes with a common min-hash key; u, v, link (else only alike); saved."""
     keyed = classes.select("node", "key", "s1", F.explode(F.array("k1", "k2")).alias("k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
     chunks = F.ceil((F.col("size") - HUBS) / F.lit(CHUNK)).cast("int")
@@ -243,9 +258,9 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
             column = group.column(3)
             edges = _links(nodes, [np.unique(np.frombuffer(column[i].as_buffer(), np.uint32)) for i in first.tolist()])
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], names=["u", "v", "link"])
 
-    return save(sets.repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(run, "u long, v long"))
+    return save(sets.repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(run, "u long, v long, link long"))
 
 
 def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -256,7 +271,7 @@ def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """node, comp, n, listed (tokens in order) and part (upper halves of the tokens below PART) of all classes; saved."""
+    """node, comp, grp, n, listed (tokens in order) and part (upper halves of the tokens below PART) of all classes; saved."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def lists(batches):
@@ -272,27 +287,27 @@ def _lists(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array(listed, pa.binary()), pa.array(part, pa.binary())], names=["key", "s1", "listed", "part"])
 
     listed = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(lists, "key long, s1 long, listed binary, part binary")
-    return save(listed.join(classes.select("key", "s1", "node", "comp", "n"), ["key", "s1"]).select("node", "comp", "n", "listed", "part"))
+    return save(listed.join(classes.select("key", "s1", "node", "comp", "grp", "n"), ["key", "s1"]).select("node", "comp", "grp", "n", "listed", "part"))
 
 
 def _matrix(lists: DataFrame) -> DataFrame:
-    """Step 2: token, node, comp and at (set size << 32 | place in the list) of all classes."""
+    """Step 2: token, node, comp, grp and at (set size << 32 | place in the list) of all classes."""
 
     def entries(batches):
         for big in batches:
             for lo in range(0, big.num_rows, 1024):
                 batch = big.slice(lo, 1024)
-                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
                 sizes = np.array([len(s) for s in sets])
                 place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                node, comp, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node), pa.array(comp), pa.array(n << 32 | place)], names=["token", "node", "comp", "at"])
+                node, comp, grp, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node), pa.array(comp), pa.array(grp), pa.array(n << 32 | place)], names=["token", "node", "comp", "grp", "at"])
 
-    return lists.select("node", "comp", "n", "listed").mapInArrow(entries, "token long, node long, comp long, at long")
+    return lists.select("node", "comp", "grp", "n", "listed").mapInArrow(entries, "token long, node long, comp long, grp long, at long")
 
 
-def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> np.ndarray:
-    """Pairs (a, b, comp of a, comp of b), a < b, of different groups that share a listed token and may link by its places."""
+def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of different comps that share a listed token and may link by its places; i is the query."""
     order = np.lexsort((n, token))
     token, node, comp, n, place = token[order], node[order], comp[order], n[order], place[order]
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
@@ -318,7 +333,7 @@ def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
         if len(kinds) == 1:
             continue
         sorted_n = n[rows]
-        query = rows[comp[rows] != kinds[count.argmax()]]  # pairs inside the largest group need no look
+        query = rows[comp[rows] != kinds[count.argmax()]]  # pairs inside the largest part need no look
         most = np.minimum(4 * n[query] // 3, 7 * (n[query] - place[query]) // 3 - n[query])
         first = lo + np.searchsorted(sorted_n, -(-3 * n[query] // 4), "left")
         last = lo + np.searchsorted(sorted_n, most, "right")
@@ -329,56 +344,85 @@ def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
                 left.append(np.full(len(x), q))
                 right.append(x)
     if not left:
-        return np.empty((4, 0), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     i, j = np.concatenate(left), np.concatenate(right)
-    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-    return np.unique(np.stack((node[i], node[j], comp[i], comp[j])), axis=1)
+    turn = (comp[i] != node[i]) & (comp[j] == node[j])  # rather the single class is the query
+    i, j = np.where(turn, j, i), np.where(turn, i, j)
+    return order[i], order[j]
 
 
-def _opened_pairs(matrix: DataFrame) -> DataFrame:
-    """a, b, ca, cb: pairs of classes to verify and their groups; saved."""
+def _opened_groups(matrix: DataFrame) -> DataFrame:
+    """q, grp: queries and the groups that are opened for them; saved."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]  # a shuffle partition
         if not held:
             return
-        token, node, comp, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
+        token, node, comp, grp, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
         del held
-        pairs = opened(token, node, comp, at >> 32, at & 0xFFFFFFFF)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "ca", "cb"])
+        i, j = opened(token, node, comp, at >> 32, at & 0xFFFFFFFF)
+        rows = np.unique(np.stack((node[i], grp[j])), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["q", "grp"])
+
+    return save(matrix.repartition("token").mapInArrow(run, "q long, grp long").distinct())
 
-    return save(matrix.repartition("token").mapInArrow(run, "a long, b long, ca long, cb long").distinct())
 
+def _blocks(asked: DataFrame, labelled: DataFrame) -> DataFrame:
+    """node, grp, mb, qb, query (whether) of the blocks of the groups that are asked for (q, grp); saved.
+
+    A group's members are dealt to mb blocks and its queries to qb; each member block meets each query block.
+    """
+    sizes = labelled.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mbs"))
+    queries = asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qbs"))
+    both = sizes.join(queries, "grp")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    member = labelled.select("node", "grp").join(both, "grp").select("node", "grp", F.pmod(F.xxhash64("node"), F.col("mbs")).cast("int").alias("mb"), every("qbs").alias("qb"), F.lit(0).alias("query"))
+    query = asked.select(F.col("q").alias("node"), "grp").join(both, "grp").select("node", "grp", every("mbs").alias("mb"), F.pmod(F.xxhash64("node"), F.col("qbs")).cast("int").alias("qb"), F.lit(1).alias("query"))
+    return member.unionByName(query)
 
-def _dealt(pairs: DataFrame, group: str) -> DataFrame:
-    """pairs with block: those of a group in blocks of about BLOCK pairs, by their first node; saved."""
-    sizes = pairs.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(sizes, group)
-    return save(dealt.select(F.col(group).alias("g"), F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "a", "b", "ca", "cb"))
 
+def _compared(rows: DataFrame, kind: type, whole: bool) -> DataFrame:
+    """rows (grp, mb, qb, query, node, comp, n, tokens) compared within blocks.
 
-def _tested(dealt: DataFrame, sets: DataFrame, test, out: str) -> DataFrame:
-    """Pairs that pass test(tokens of a, tokens of b, n of a, n of b): a block gets each set (node, n, tokens) that it needs once."""
-    none = F.lit(None).cast("long")
-    rows = sets.select("g", "block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("n").alias("b"), none.alias("ca"), none.alias("cb"), "tokens")
-    rows = rows.unionByName(dealt.select("g", "block", F.lit(1).alias("kind"), "a", "b", "ca", "cb", F.lit(None).cast("binary").alias("tokens")))
+    Of whole sets: u, v, the comps that link. Of parts: node, grp, mb, qb, query of what whole sets are needed of.
+    """
 
     def run(batches):
-        for part in _grouped(batches, 2):
-            kind, a = part.column(2).to_numpy(), part.column(3).to_numpy()
-            b, ca, cb = (part.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
-            tokens, known = part.column(7), {}
-            for k in np.flatnonzero(kind == 0).tolist():
-                known[int(a[k])] = tokens[k].as_buffer(), int(b[k])
-            passed = []
-            for k in np.flatnonzero(kind == 1).tolist():
-                (x, nx), (y, ny) = known[int(a[k])], known[int(b[k])]
-                if test(x, y, nx, ny):
-                    passed.append(k)
-            if passed:
-                yield pa.RecordBatch.from_arrays([pa.array(c[passed].astype(np.int64)) for c in (a, b, ca, cb)], names=["a", "b", "ca", "cb"])
-
-    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "kind").mapInArrow(run, "a long, b long, ca long, cb long").select(*out.split())
+        for block in _grouped(batches, 3):
+            query = block.column(3).to_numpy() == 1
+            node, comp, n = (block.column(k).to_numpy() for k in (4, 5, 6))
+            column = block.column(7)
+            ask, have = np.flatnonzero(query), np.flatnonzero(~query)
+            if not len(ask) or not len(have):
+                continue
+            sets = lambda at: [np.frombuffer(column[i].as_buffer(), kind) for i in at.tolist()]
+            x, y = sets(ask), sets(have)
+            total = n[ask][:, None] + n[have][None, :]
+            fits = (comp[ask][:, None] != comp[have][None, :]) & (7 * np.minimum(n[ask][:, None], n[have][None, :]) >= 3 * total)
+            if not fits.any():
+                continue
+            if len(ask) * len(have) <= 4:
+                shared = np.array([[_shared(a, b) for b in y] for a in x])
+            else:
+                shared = overlaps([np.unique(a) for a in x], [np.unique(b) for b in y])
+            if whole:
+                i, j = np.nonzero(fits & (7 * shared >= 3 * total))
+                if len(i):
+                    ends = np.unique(np.stack((comp[ask[i]], comp[have[j]])), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["u", "v"])
+                continue
+            # equal halves of unequal tokens within a set only take from it what the rest gives back
+            sizes = [np.array([len(np.unique(a)) for a in side]) for side in (x, y)]
+            rest = np.minimum((n[ask] - sizes[0])[:, None], (n[have] - sizes[1])[None, :])
+            i, j = np.nonzero(fits & (7 * (shared + rest) >= 3 * total))
+            if len(i):
+                keep = np.concatenate((np.unique(ask[i]), np.unique(have[j])))
+                keep = block.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([keep.column(k) for k in (4, 0, 1, 2, 3)], names=["node", "grp", "mb", "qb", "query"])
+
+    schema = "u long, v long" if whole else "node long, grp long, mb int, qb int, query int"
+    ordered = rows.select("grp", "mb", "qb", "query", "node", "comp", "n", "tokens")
+    return ordered.repartition("grp", "mb", "qb").sortWithinPartitions("grp", "mb", "qb").mapInArrow(run, schema)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -388,27 +432,13 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _possible(x, y, nx: int, ny: int) -> bool:
-    """Whether a link is possible, by the part of the tokens below PART; equal halves only raise the bound."""
-    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    return 7 * (_shared(x, y) + min(nx - len(x), ny - len(y))) >= 3 * (nx + ny)
-
-
-def _link(x, y, nx: int, ny: int) -> bool:
-    return 7 * _shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= 3 * (nx + ny)
-
-
-def _verified(docs: DataFrame, classes: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Step 3: the groups of pairs that link; u, v; saved."""
-    asked = lambda dealt: dealt.select("g", "block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    dealt = _dealt(pairs.withColumn("least", F.least("ca", "cb")), "least")
-    left = save(_tested(dealt, asked(dealt).join(lists.select("node", "n", F.col("part").alias("tokens")), "node"), _possible, "a b ca cb"))
-    # what is left of a crowd of copies hangs together, and is verified together
-    crowds = components(left.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
-    dealt = _dealt(left.join(crowds.withColumnRenamed("node", "ca"), "ca", "left").withColumn("crowd", F.coalesce("root", "ca")), "crowd")
-    nodes = save(asked(dealt).join(classes.select("node", "key", "s1", "n"), "node"))
+def _verified(docs: DataFrame, labelled: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """Step 3: the comps that link; u, v; saved."""
+    parts = lists.select("node", "comp", "n", F.col("part").alias("tokens"))
+    left = save(_compared(_blocks(asked, labelled).join(parts, "node"), np.uint32, False))
+    nodes = save(left.join(labelled.select("node", "key", "s1", "comp", "n"), "node"))
     sets = nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"])
-    return save(_tested(dealt, sets, _link, "ca cb").toDF("u", "v"))
+    return save(_compared(sets, np.uint64, True))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,10 +457,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = F.min(F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("row", "doc_id")).alias("rep"), ids.alias("class_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
     classes = save(classes.select(F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("key"), "s1", "s2", "n", "k1", "k2", "class_id"))
-    grouped = components(_chunk_edges(docs, classes))
-    labelled = save(classes.join(grouped, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
+    edges = _chunk_edges(docs, classes)
+    labelled = classes
+    for name, found in (("comp", edges.where("link = 1")), ("grp", edges)):
+        labelled = labelled.join(components(found), "node", "left").withColumn(name, F.coalesce("root", "node")).drop("root")
+    labelled = save(labelled)
     lists = _lists(docs, labelled, _frequent(described))
-    joined = components(_verified(docs, labelled, lists, _opened_pairs(_matrix(lists)))).select(F.col("node").alias("comp"), "root")
+    asked = _opened_groups(_matrix(lists))
+    joined = components(_verified(docs, labelled, lists, asked)).select(F.col("node").alias("comp"), "root")
     final = labelled.join(joined, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
     least = final.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = final.join(least, "comp").select("s1", "s2", "n", "class_id", "component_id")

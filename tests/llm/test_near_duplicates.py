@@ -66,7 +66,8 @@ def test_brute_force(spark, rows, monkeypatch, chunk, frequent):
     monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
     monkeypatch.setattr(near_duplicates, "HUBS", chunk // 3)
     monkeypatch.setattr(near_duplicates, "LEAST_FREQUENT", frequent)
-    monkeypatch.setattr(near_duplicates, "BLOCK", chunk)
+    monkeypatch.setattr(near_duplicates, "MEMBERS", chunk)
+    monkeypatch.setattr(near_duplicates, "QUERIES", chunk)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, s1 int").repartition(3)
     found = near_duplicates.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=str) == brute(rows)
@@ -105,8 +106,10 @@ def test_no_link_is_left_closed(small):
     comp = node // 3 * 3
     n = np.repeat([len(s) for s in sets], list(map(len, lists)))
     place = np.concatenate([np.arange(len(x)) for x in lists])
-    found = {(a, b) for a, b, ca, cb in near_duplicates.opened(token, node, comp, n, place, small).T.tolist() if ca == a // 3 * 3 and cb == b // 3 * 3}
-    both = near_duplicates.overlaps(sets)
+    i, j = near_duplicates.opened(token, node, comp, n, place, small)
+    assert (comp[i] != comp[j]).all()
+    found = {(min(a, b), max(a, b)) for a, b in zip(node[i].tolist(), node[j].tolist(), strict=True)}
+    both = near_duplicates.overlaps(sets, sets, 40_000)
     links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 7 * both[a, b] >= 3 * (len(sets[a]) + len(sets[b]))}
     assert all(both[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(40) for b in range(40) if a != b)
     assert links and {(a, b) for a, b in links if a // 3 != b // 3} <= found
