@@ -77,6 +77,12 @@ def _bands(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [wordhash.mix(least[2 * b] ^ (least[2 * b + 1] * np.uint64(31)) ^ np.uint64(b)) for b in (0, 1)]
 
 
+def halves(tokens: np.ndarray) -> np.ndarray:
+    """The distinct upper halves of sorted tokens."""
+    x = (tokens >> np.uint64(32)).astype(np.uint32)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -164,7 +170,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame, half: bool = False) -> DataFram
                 if not len(full):
                     continue
                 s1, _ = _sums(tokens, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([((sets[k] >> np.uint64(32)).astype(np.uint32) if half else sets[k]).tobytes() for k in full], pa.binary())], names=["key", "s1", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([(halves(sets[k]) if half else sets[k]).tobytes() for k in full], pa.binary())], names=["key", "s1", "tokens"])
 
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")
     return docs.select(F.col("doc_id").alias("key"), "text").select("key", "text", bit).mapInArrow(run, "key long, s1 long, tokens binary")
@@ -195,26 +201,30 @@ def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def overlaps(rows: list[np.ndarray], columns: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
     """Sizes of the intersections of each of rows with each of columns, as a product of set-token matrices."""
-    n = len(rows)
-    tokens, owner = np.concatenate([*rows, *columns]), np.repeat(np.arange(n + len(columns)), [len(s) for s in [*rows, *columns]])
+    own = rows is columns
+    n, sets = len(rows), rows if own else [*rows, *columns]
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, bool)
     number = np.cumsum(first) - 1
     kinds = int(number[-1]) + 1 if len(number) else 0
-    here, there = np.zeros(kinds, bool), np.zeros(kinds, bool)
-    here[number[owner < n]] = True
-    there[number[owner >= n]] = True
-    both = here & there  # only tokens of both sides count
+    if own:
+        both = np.bincount(number, minlength=kinds) > 1  # the diagonal is left too small
+    else:
+        here, there = np.zeros(kinds, bool), np.zeros(kinds, bool)
+        here[number[owner < n]] = True
+        there[number[owner >= n]] = True
+        both = here & there  # only tokens of both sides count
     keep = both[number]
     number, owner = (np.cumsum(both) - 1)[number[keep]], owner[keep]
-    block = max(256, most // (n + len(columns)))
+    block = max(256, most // len(sets))
     out = np.zeros((n, len(columns)), np.float64)
     for lo in range(0, int(both.sum()), block):
         a, b = np.searchsorted(number, (lo, lo + block))
-        matrix = np.zeros((n + len(columns), block), np.float32)
+        matrix = np.zeros((len(sets), block), np.float32)
         matrix[owner[a:b], number[a:b] - lo] = 1
-        out += matrix[:n] @ matrix[n:].T
+        out += matrix[:n] @ (matrix if own else matrix[n:]).T
     return out.astype(np.int64)
 
 
@@ -256,7 +266,7 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if len(nodes) < 2:
                 continue
             column = group.column(3)
-            edges = _links(nodes, [np.unique(np.frombuffer(column[i].as_buffer(), np.uint32)) for i in first.tolist()])
+            edges = _links(nodes, [np.frombuffer(column[i].as_buffer(), np.uint32) for i in first.tolist()])
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], names=["u", "v", "link"])
 
@@ -283,7 +293,7 @@ def _lists(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFra
                 s1, _ = _sums(tokens, starts)
                 marks = np.split(among(tokens, often), starts[1:])
                 listed = [listed_tokens(sets[k], mark).tobytes() for k, mark in zip(full, marks, strict=True)]
-                part = [(sets[k][: np.searchsorted(sets[k], PART)] >> np.uint64(32)).astype(np.uint32).tobytes() for k in full]
+                part = [halves(sets[k][: np.searchsorted(sets[k], PART)]).tobytes() for k in full]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array(listed, pa.binary()), pa.array(part, pa.binary())], names=["key", "s1", "listed", "part"])
 
     listed = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(lists, "key long, s1 long, listed binary, part binary")
@@ -306,13 +316,16 @@ def _matrix(lists: DataFrame) -> DataFrame:
     return lists.select("node", "comp", "grp", "n", "listed").mapInArrow(entries, "token long, node long, comp long, grp long, at long")
 
 
-def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of different comps that share a listed token and may link by its places; i is the query."""
+def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> np.ndarray:
+    """Distinct (query node, group): a member of another comp shares a listed token with it and may link by the places.
+
+    A pair is opened from one of its sides only. No more pairs are held than a query has members in reach.
+    """
     order = np.lexsort((n, token))
-    token, node, comp, n, place = token[order], node[order], comp[order], n[order], place[order]
+    token, node, comp, group, n, place = token[order], node[order], comp[order], group[order], n[order], place[order]
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
     sizes = np.diff(np.append(edge, len(token)))
-    left, right = [], []
+    out = [np.empty((2, 0), np.int64)]
 
     def allowed(i, j):
         need = -(-3 * (n[i] + n[j]) // 7)
@@ -322,9 +335,10 @@ def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
     many = np.repeat(sizes > small, sizes)
     at, step = np.flatnonzero((behind > 1) & ~many), 1
     while len(at):
-        ok = at[allowed(at, at + step)]
-        left.append(ok)
-        right.append(ok + step)
+        i = at[allowed(at, at + step)]
+        j = i + step
+        turn = (comp[i] != node[i]) & (comp[j] == node[j])  # rather the single class is the query
+        out.append(np.unique(np.stack((node[np.where(turn, j, i)], group[np.where(turn, i, j)])), axis=1))
         step += 1
         at = at[behind[at] > step]
     for lo, m in zip(edge[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
@@ -340,15 +354,10 @@ def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
         for q, a, b in zip(query.tolist(), first.tolist(), last.tolist(), strict=True):
             if b > a:
                 x = np.arange(a, b)
-                x = x[allowed(np.full(len(x), q), x)]
-                left.append(np.full(len(x), q))
-                right.append(x)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    turn = (comp[i] != node[i]) & (comp[j] == node[j])  # rather the single class is the query
-    i, j = np.where(turn, j, i), np.where(turn, i, j)
-    return order[i], order[j]
+                found = np.unique(group[x[allowed(q, x)]])
+                if len(found):
+                    out.append(np.stack((np.full(len(found), node[q]), found)))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
 def _opened_groups(matrix: DataFrame) -> DataFrame:
@@ -358,10 +367,9 @@ def _opened_groups(matrix: DataFrame) -> DataFrame:
         held = [b for b in batches if b.num_rows]  # a shuffle partition
         if not held:
             return
-        token, node, comp, grp, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
+        token, node, comp, group, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
         del held
-        i, j = opened(token, node, comp, at >> 32, at & 0xFFFFFFFF)
-        rows = np.unique(np.stack((node[i], grp[j])), axis=1)
+        rows = opened(token, node, comp, group, at >> 32, at & 0xFFFFFFFF)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["q", "grp"])
 
     return save(matrix.repartition("token").mapInArrow(run, "q long, grp long").distinct())
@@ -404,15 +412,15 @@ def _compared(rows: DataFrame, kind: type, whole: bool) -> DataFrame:
             if len(ask) * len(have) <= 4:
                 shared = np.array([[_shared(a, b) for b in y] for a in x])
             else:
-                shared = overlaps([np.unique(a) for a in x], [np.unique(b) for b in y])
+                shared = overlaps(x, y)
             if whole:
                 i, j = np.nonzero(fits & (7 * shared >= 3 * total))
                 if len(i):
                     ends = np.unique(np.stack((comp[ask[i]], comp[have[j]])), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["u", "v"])
                 continue
-            # equal halves of unequal tokens within a set only take from it what the rest gives back
-            sizes = [np.array([len(np.unique(a)) for a in side]) for side in (x, y)]
+            # tokens of a set with equal halves count once in its part, else in the rest
+            sizes = [np.array([len(a) for a in side]) for side in (x, y)]
             rest = np.minimum((n[ask] - sizes[0])[:, None], (n[have] - sizes[1])[None, :])
             i, j = np.nonzero(fits & (7 * (shared + rest) >= 3 * total))
             if len(i):
@@ -426,7 +434,7 @@ def _compared(rows: DataFrame, kind: type, whole: bool) -> DataFrame:
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
-    """How many numbers two sorted arrays share, repeats within one counted again."""
+    """How many numbers two sorted arrays of distinct ones share."""
     both = np.concatenate((x, y))
     both.sort(kind="stable")  # merges two sorted runs
     return int((both[1:] == both[:-1]).sum())
