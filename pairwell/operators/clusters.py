@@ -66,10 +66,11 @@ def greedy_clusters(counts: DataFrame, threshold: float) -> DataFrame:
     ship(counts.sparkSession)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        names = group.sort_values(["n", "first"], ascending=[False, True])["anchor"].tolist()
+        names = group.sort_values("prio")["anchor"].tolist()
         return pd.DataFrame({"anchor": names, "centroid": [names[k] for k in _fit(names, threshold)]})
 
-    return blocked(counts).groupBy("g2", "g6").applyInPandas(run, "anchor string, centroid string")
+    ranked = prioritised(counts).select("g2", "g6", "anchor", "prio")
+    return ranked.groupBy("g2", "g6").applyInPandas(run, "anchor string, centroid string")
 
 
 def similar_pairs(counts: DataFrame, threshold: float) -> DataFrame:

@@ -98,8 +98,8 @@ LAST = {
     "allele_purity": "SELECT hla_idx, hla_name, round(coalesce(avg(phi), 0), 6) AS mean_phi, round(coalesce(stddev_samp(phi), 0), 6) AS std_phi, round(coalesce(median(phi), 0), 6) AS median_phi, round(coalesce(min(phi), 0), 6) AS min_phi, round(coalesce(max(phi), 0), 6) AS max_phi, count(phi) AS n_clusters FROM idx LEFT JOIN phis USING (hla_idx) GROUP BY ALL",
     "cluster_counts": f"SELECT hla_idx, hla_name, n_binder_clusters, n_total_clusters, n_nonbinder_clusters, {r('p_h', 'binder_fraction')} FROM counts",
     "top30_alleles": f"SELECT hla_idx, hla_name, n_binder_clusters, n_total_clusters, n_nonbinder_clusters, {r('p_h', 'binder_fraction')} FROM counts ORDER BY n_total_clusters DESC, hla_idx LIMIT 30",
-    "phi_histogram": "SELECT bin, round(-15.0 + bin * 0.25, 6) AS bin_low, count(*) AS n FROM (SELECT CAST(least(greatest(floor((phi + 15.0) / 0.25), 0), 119) AS INT) AS bin FROM phis) GROUP BY bin",
-    "fraction_histogram": "SELECT bin, round(bin * 0.02, 6) AS bin_low, count(*) AS n FROM (SELECT CAST(least(greatest(floor(binder_fraction / 0.02), 0), 49) AS INT) AS bin FROM counts) GROUP BY bin",
+    "phi_histogram": "SELECT bin, CAST(round(-15.0 + bin * 0.25, 6) AS DOUBLE) AS bin_low, count(*) AS n FROM (SELECT CAST(least(greatest(floor((phi + 15.0) / 0.25), 0), 119) AS INT) AS bin FROM phis) GROUP BY bin",
+    "fraction_histogram": "SELECT bin, CAST(round(bin * 0.02, 6) AS DOUBLE) AS bin_low, count(*) AS n FROM (SELECT CAST(least(greatest(floor(binder_fraction / 0.02), 0), 49) AS INT) AS bin FROM counts) GROUP BY bin",
     "contingency": "SELECT * FROM cells",
     "fisher_pvalues": f"SELECT h1, h2, {r('pvalue')} FROM tested",
     "fisher_by_rows": f"SELECT h1, h2, {r('pvalue')} FROM tested",
