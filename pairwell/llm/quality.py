@@ -23,11 +23,12 @@ from .runtime import save
 
 WHITE = " \t\n\x0b\f\r"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Spreads (in thousandths) that are added to each scatter: differences below them are no evidence.
+#: Least spreads (in thousandths) of a scatter, which most statistics' zeros would make singular: differences below
+#: them are no evidence. A larger scatter stays as it is.
 SPREAD = (150, 600, 700, 900)
 DIM = len(SPREAD)
-#: The 0.99999 quantile of chi-square with DIM degrees of freedom.
-CUTOFF = 28.47
+#: The 0.999 quantile of chi-square with DIM degrees of freedom.
+CUTOFF = 18.47
 #: Distance bins: this many to a factor of e.
 BINS = 40
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
@@ -99,10 +100,10 @@ def _rooted(groups: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     groups = groups.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(DIM)})
     for i, j in _PAIRS:
-        c = F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}") + (SPREAD[i] ** 2 if i == j else 0)
+        c = F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")
         for k in range(j):
             c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1.0))) if i == j else c / F.col(f"l{j}{j}"))
+        groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(float(SPREAD[i] ** 2)))) if i == j else c / F.col(f"l{j}{j}"))
     return groups
 
 
@@ -125,7 +126,7 @@ def estimates(rows: DataFrame, *, core: float = 0.75, steps: int = 3) -> DataFra
     quartiles = keyed.groupBy(*_KEY).agg(*[F.percentile(f"z{i}", [0.25, 0.5, 0.75]).alias(f"p{i}") for i in range(DIM)])
     start = {f"m{i}": F.col(f"p{i}")[1] for i in range(DIM)}
     for i, j in _PAIRS:
-        start[f"l{i}{j}"] = F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + SPREAD[i] ** 2) if i == j else F.lit(0.0)
+        start[f"l{i}{j}"] = F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(float(SPREAD[i]))) if i == j else F.lit(0.0)
     groups = save(quartiles.select(*_KEY, *[c.alias(n) for n, c in start.items()]))
     sums = [f"s{i}" for i in range(DIM)] + [f"q{i}{j}" for i, j in _PAIRS]
     for _ in range(steps):
@@ -136,6 +137,7 @@ def estimates(rows: DataFrame, *, core: float = 0.75, steps: int = 3) -> DataFra
         kept = ranked.where(F.col("before") < F.ceil(core * F.col("total")))
         groups = save(_rooted(kept.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.first("total").alias("total"), *[F.sum(c).alias(c) for c in sums])).drop(*sums))
     middle = _distance(keyed.join(groups, _KEY)).groupBy(*_KEY).agg(F.percentile(_bin(), 0.5).alias("mid"))
+    # A core's scatter is too small by a factor that the median tells; below 1 it tells only that SPREAD decides.
     scale = F.greatest(F.lit(1.0), F.expm1(F.col("mid") / BINS) / 3.357)  # the median of chi-square with 4 degrees
     return save(groups.join(middle, _KEY).withColumn("scale", scale).drop("mid"))
 

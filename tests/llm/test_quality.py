@@ -1,5 +1,6 @@
 """op5: statistics against brute force, estimates against numpy, and what is rejected."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -74,3 +75,18 @@ def test_query(spark, parts):
         test_query.seen = sorted((r.doc_id, r.kept, r.distance) for r in rows)
     assert test_query.seen == sorted((r.doc_id, r.kept, r.distance) for r in rows)
     assert set(queries.op5_quality(spark, SF).columns) >= {"doc_id", "kept", "base_failed", *quality.STATS}
+
+
+def test_cutoff_rejects_its_share_of_normal_data(spark):
+    c = quality.CUTOFF
+    assert abs(math.exp(-c / 2) * (1 + c / 2) - 0.001) < 1e-5  # chi-square with 4 degrees of freedom
+    z = np.random.default_rng(3).normal([5000, 9000, 9000, 9000], np.array(quality.SPREAD) * 1.2, (20_000, 4)).round().astype(int)
+    rows = spark.createDataFrame([("en", "s", False, *map(int, v)) for v in z], "lang string, source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long")
+    assert 5 <= quality.judged(rows).where("not kept").count() <= 40
+
+
+def test_junk_that_passes_the_base_rules(spark):
+    labels = {r.doc_id: r.quality for r in runtime.table(spark, SF, "labels").collect()}
+    passed = [(labels.get(r.doc_id), r.kept) for r in quality.quality(runtime.table(spark, SF, "documents")).collect() if not r.base_failed]
+    junk = [kept for label, kept in passed if label == 0]
+    assert len(junk) > 20 and 3 * junk.count(False) > 2 * len(junk) and all(kept for label, kept in passed if label == 1)
