@@ -92,8 +92,8 @@ def find(text: str) -> list[list[tuple[int, int]]]:
 
 
 @lru_cache(maxsize=1)
-def _characters() -> tuple[dict[int, str], re.Pattern]:
-    """One character to one: built from Unicode's decimal digits and one-character compatibility forms."""
+def _characters() -> tuple[dict[int, str], frozenset[str]]:
+    """One character to one: built from Unicode's decimal digits and one-character compatibility forms; and all that are rewritten or deleted."""
     table = {ord(a): b for a, b in LOOKALIKES.items()}
     for code in [*range(0x80, 0xD800), *range(0xF900, 0x20000)]:
         c = chr(code)
@@ -101,7 +101,7 @@ def _characters() -> tuple[dict[int, str], re.Pattern]:
             table[code] = str(d)
         elif len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c and n.isascii() and not n.isspace():
             table[code] = n
-    return table, re.compile("[" + "".join(map(re.escape, map(chr, sorted(table)))) + INVISIBLE + "]")
+    return table, frozenset(map(chr, table)) | frozenset(INVISIBLE)
 
 
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
@@ -203,13 +203,7 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
 def disguised(text: str) -> list[list[tuple[int, int]]]:
     """Spans of each kind that only show after normalisation, in source characters."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
-    low = text.lower()
-    odd = not text.isascii() and _characters()[1].search(text)
-    dots = "dot" in low or "punkt" in low or "point" in low or "punto" in low or "[.]" in low or "(.)" in low
-    ats = "at]" in low or "at)" in low or "at}" in low or "at>" in low or "at ]" in low or "at )" in low or "[@]" in low or "(@)" in low or "arro" in low or "arobase" in low or (" at " in low and re.search(r" at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}", low))
-    numbers = _TWO_NUMBERS.search(low)
-    if not (odd or dots or ats or numbers):
-        return out
+    odd = not text.isascii() and not _characters()[1].isdisjoint(text)
     steps = [(text, range(len(text)), range(1, len(text) + 1), None)]
     if odd:
         plain = text.translate(_characters()[0])
@@ -223,9 +217,9 @@ def disguised(text: str) -> list[list[tuple[int, int]]]:
         steps = [(new, starts, ends, changed)]
     new, starts, ends, changed = steps[0]
     work = Rewritten(new)
-    for edit in _bare_signs(new, list(_SIGNS.finditer(new))) if dots or ats or odd else []:
+    for edit in _bare_signs(new, list(_SIGNS.finditer(new))):
         work.put(*edit)
-    for edit in _number_edits(new) if numbers or odd else []:
+    for edit in _number_edits(new):
         work.put(*edit)
     if work.edits:
         last, first, to, edited = work.build()

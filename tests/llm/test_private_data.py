@@ -93,3 +93,13 @@ def test_rows_and_mask(spark):
     assert len(found) == 5 and {r.spans for r in found} == {"", "email:5:10,phone:14:31", "email:0:18"}
     assert {r.text for r in private_data.mask(docs).collect()} == {None, "", "mail [EMAIL] or [PHONE] now", "[EMAIL]", "clean"}
     assert private_data.private_spans(docs.limit(0)).count() == 0 and private_data.mask(docs.limit(0)).columns == docs.columns
+
+
+ALONE = ["max [klammeraffe] example.de", "jane {@} example.com", "jane <@> example.com", "jane [ @ ] example.com", "jane@example{.}com", "jane@example [ . ] com", "jane7 at  example.com", "jane7 at\nexample.com", "jane7\tat example.com", "jane7 AT example.com"]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_disguises_need_nothing_else_in_the_text(text):
+    _, alone = private_data.all_spans(text)
+    _, behind = private_data.all_spans("a (dot) b, " + text)
+    assert alone == [[(0, len(text))], [], [], []] and behind[0] == [(11, 11 + len(text))]
