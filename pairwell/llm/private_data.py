@@ -6,10 +6,12 @@ characters that it read:
 
 1. characters: digits of any script, full-width and styled letters, and look-alikes of Latin letters
    become ASCII; invisible characters are deleted;
-2. phrases: `[at]`, `(dot)`, ` at ` ... ` dot `, spelled digits in a row, `plus` before digits.
+2. phrases: `[at]`, `(dot)`, ` at ` ... ` dot `, digits and dots spelled between others, `plus`
+   before digits.
 
 The detectors then run on the normalised text and their spans are mapped back. Only spans in which
-something was rewritten, and that overlap no base span of their kind or hold it whole, are added.
+something was rewritten, and that overlap no base span of their kind or hold it whole, are added; a
+single spelled digit beside a base span ("+1 555 123 4567, one more") is prose and adds none.
 """
 
 from __future__ import annotations
@@ -110,10 +112,12 @@ _ATOM = r"[A-Za-z0-9_%+-]+"
 _SPELLED = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: Disguised @ and dots; which of the bare words count is decided by what stands around them.
 _SIGNS = re.compile(rf"(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE})|(?P<dot>{_OPEN}(?:{_DOT}|\.){_CLOSE})|(?P<bareat>(?<=[A-Za-z0-9_%+-])\s{{1,3}}(?:{_AT})\s{{1,3}}(?=[A-Za-z0-9]))|(?P<baredot>(?<=[A-Za-z0-9_%+-])\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=[A-Za-z0-9]))", re.I)
-#: Several spelled digits in a row, with written ones between.
-_NUMBERS = re.compile(rf"(?<!\w)(?:plus\s+)?(?:(?:{_SPELLED})(?!\w)|[0-9]+(?!\w))(?:[\s,.()-]{{1,3}}(?:(?:{_SPELLED}|{_DOT})(?!\w)|[0-9]+(?!\w)))+", re.I)
+_ITEM = rf"(?:(?:{_SPELLED})(?!\w)|[0-9]+(?!\w))"
+#: Spelled and written digits and spelled dots in a row.
+_NUMBERS = re.compile(rf"(?<!\w)(?:plus\s+{_ITEM}|{_ITEM}(?=[\s,.()-]))(?:[\s,.()-]{{1,3}}(?:(?:{_SPELLED}|{_DOT})(?!\w)|[0-9]+(?!\w)))*", re.I)
+_WORD = re.compile(r"[^\W0-9]")
 _NUMBER_WORDS = re.compile(rf"(?P<digit>{_SPELLED})|(?P<dot>\s*(?:{_DOT})\s*)|(?P<plus>plus\s+)|(?P<gap>[\s,]+)", re.I)
-_TWO_NUMBERS = re.compile(rf"\b(?:{_SPELLED})[\s,.-]{{1,3}}(?:{_SPELLED})\b")
+_LONE = re.compile(rf"[\s,.()-]*(?:{_SPELLED})[\s,.()-]*", re.I)
 _TAIL = r"[A-Za-z]{2,24}"
 # Last labels that make bare words read as an address.
 _LAST = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu uk de fr es it nl at ch be pt pl se no dk fi ie us ca mx br ar cl au nz jp cn in ru ua test example invalid".split())
@@ -186,7 +190,7 @@ def _bare_signs(text: str, signs: list[re.Match]) -> list[tuple[int, int, str]]:
 def _number_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for run in _NUMBERS.finditer(text):
-        if len(_TWO_NUMBERS.findall(run[0].lower())) == 0 or len(re.findall(rf"\b(?:{_SPELLED})\b|[0-9]", run[0], re.I)) < 4:
+        if not _WORD.search(run[0]):
             continue
         for m in _NUMBER_WORDS.finditer(run[0]):
             new = {"digit": SPELLED.get(m[0].lower(), ""), "dot": ".", "plus": "+", "gap": " "}[m.lastgroup]
@@ -236,7 +240,12 @@ def disguised(text: str) -> list[list[tuple[int, int]]]:
 def all_spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """Base spans and added spans of each kind."""
     base, more = find(text), disguised(text)
-    return base, [[s for s in own if all(s[1] <= b[0] or b[1] <= s[0] or s != b and s[0] <= b[0] and b[1] <= s[1] for b in old)] for old, own in zip(base, more, strict=True)]
+
+    def apart(s: tuple[int, int], b: tuple[int, int]) -> bool:
+        holds = s != b and s[0] <= b[0] and b[1] <= s[1]
+        return s[1] <= b[0] or b[1] <= s[0] or holds and not _LONE.fullmatch(text[s[0] : b[0]] + text[b[1] : s[1]])
+
+    return base, [[s for s in own if all(apart(s, b) for b in old)] for old, own in zip(base, more, strict=True)]
 
 
 def _said(spans: list[list[tuple[int, int]]]) -> str:

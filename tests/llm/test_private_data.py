@@ -103,3 +103,28 @@ def test_disguises_need_nothing_else_in_the_text(text):
     _, alone = private_data.all_spans(text)
     _, behind = private_data.all_spans("a (dot) b, " + text)
     assert alone == [[(0, len(text))], [], [], []] and behind[0] == [(11, 11 + len(text))]
+
+
+ALTERNATING = {
+    "host 192 dot 168 dot 1 dot 20 is up": "ip=192 dot 168 dot 1 dot 20",
+    "host 10.0 dot 0.7 is up": "ip=10.0 dot 0.7",
+    "host 10.0.0.seven is up": "ip=10.0.0.seven",
+    "call plus one 555 zero 123 four 567 now": "phone=plus one 555 zero 123 four 567",
+    "call plus 1 555 123 4567 now": "phone=plus 1 555 123 4567",
+    "call plus 15551234567 now": "phone=plus 15551234567",
+    "call +1 (555) - (four five six)    1234 now": "phone=+1 (555) - (four five six)    1234",
+    "card 4111 one 111 1111 1111 now": "card=4111 one 111 1111 1111",
+}
+NO_NUMBERS = ["host 192 dot 168 dot 1 dot 256", "host 192 dot 168 dot 1", "call plus one 555 zero", "card 4111 one 111 1111 1112", "call +1 555 123 4567 one more time", "call +1 555 123 4567, one more", "two +1 555 123 4567", "at 192.168.1.1 one of us", "five plus 300 or 5 plus one", "one 2 three"]
+
+
+@pytest.mark.parametrize("text", list(ALTERNATING))
+def test_numbers_between_written_ones(text):
+    base, more = private_data.all_spans(text)
+    kind, want = ALTERNATING[text].split("=")
+    assert base == brute(text) and [(k, text[a:b]) for k, own in zip(private_data.KINDS, more, strict=True) for a, b in own] == [(kind, want)]
+
+
+@pytest.mark.parametrize("text", NO_NUMBERS)
+def test_number_words_that_are_prose(text):
+    assert not any(private_data.all_spans(text)[1])
