@@ -179,7 +179,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, gram:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with their columns; rows with equal ids go together, rows without an id stay."""
-    gone = contamination(docs, items, id_col=id_col, **options).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that aren't contaminated, with their columns; each by its text, whatever its id."""
+    keyed = docs.select(F.xxhash64(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
+    gone = contamination(keyed, items, **options).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.xxhash64(docs[text_col]) == gone["_gone"], "left_anti")

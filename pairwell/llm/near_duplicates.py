@@ -482,10 +482,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of least id of each component, with its columns; rows without an id or words stay.
+    """The row of least id of each component, with its columns, of equal ids the first; rows without words stay.
 
-    Rows with equal ids are one document: all stay, or none if one of them isn't its component's least.
+    Rows are told apart by numbers in a saved copy, not by ids: of rows that share an id, also of
+    exact repeats, one stays. A row without an id stays only if no row of its component has one.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id and n_shingles > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("own")
+    numbered = save(docs.select(F.monotonically_increasing_id().alias("row"), own))
+    found = near_duplicates(numbered.select("row", F.col("own")[text_col].alias("text")), id_col="row")
+    ids = numbered.select("row", F.col("own")[id_col].cast("long").alias("id"))
+    named = save(found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row"))
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("least"))
+    gone = named.select("row").join(least.select("least.row"), "row", "left_anti")
+    return numbered.join(gone, "row", "left_anti").select("own.*")

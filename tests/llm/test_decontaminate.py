@@ -76,3 +76,12 @@ def test_hashes_are_of_whole_words():
     texts = pa.array(["Ab  cd", None, "x", "", "ab CD é"]).slice(0, 5)
     hashes, offsets = wordhash.words(texts, wordhash.SOLID)
     assert offsets.tolist() == [0, 2, 2, 3, 3, 6] and hashes[0] == hashes[3] and hashes[1] == hashes[4] and len(set(hashes.tolist())) == 4
+
+
+def test_clean_documents_by_row(spark):
+    bad, good = " ".join(f"w{i}" for i in range(30)), " ".join(f"g{i}" for i in range(30))
+    rows = [(None, bad), (None, good), (1, bad), (1, good), (2, None), (2, bad), (3, good), (3, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([("i", bad)], "item_id string, text string")
+    kept = decontaminate.clean_documents(docs, items)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.where("text is null or text like 'g%'").collect(), key=str)

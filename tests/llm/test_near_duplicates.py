@@ -125,3 +125,13 @@ def test_components(spark):
             root[u] = root[v] = min(root[u], root[v])
     assert {k: found.get(k, k) for k in root} == root
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_of_each_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text, "a")] * 20 + [(None, text, "b"), (9, text + " more", "c"), (None, "other " * 3 + text[::-1], "d"), (None, "other " * 3 + text[::-1], "d"), (3, None, "e"), (3, None, "e"), (5, text[::-1].replace("w", "v"), "f"), (5, text, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = near_duplicates.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.row) for r in kept.collect()) == [(0, "d"), (3, "e"), (3, "e"), (5, "f"), (5, "g")]
+    assert near_duplicates.one_of_each(docs.limit(0)).count() == 0
