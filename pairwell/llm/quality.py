@@ -142,7 +142,7 @@ def estimates(rows: DataFrame, *, core: float = 0.75, steps: int = 3) -> DataFra
     return save(groups.join(middle, _KEY).withColumn("scale", scale).drop("mid"))
 
 
-def judged(rows: DataFrame, *, cutoff: float = CUTOFF, least: int = 200, core: float = 0.75) -> DataFrame:
+def judged(rows: DataFrame, *, cutoff: float = CUTOFF, least: int = 40, core: float = 0.75) -> DataFrame:
     """rows with kept and distance: not base_failed, and no outlier by the first estimate with `least` documents.
 
     Without any such estimate the whole table's counts; a row without words has no distance.

@@ -90,3 +90,11 @@ def test_junk_that_passes_the_base_rules(spark):
     passed = [(labels.get(r.doc_id), r.kept) for r in quality.quality(runtime.table(spark, SF, "documents")).collect() if not r.base_failed]
     junk = [kept for label, kept in passed if label == 0]
     assert len(junk) > 20 and 3 * junk.count(False) > 2 * len(junk) and all(kept for label, kept in passed if label == 1)
+
+
+def test_small_language_beside_a_hot_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [(lang, "s", False, *map(int, v)) for lang, n, centre in (("en", 3000, 1500), ("th", 60, 3500)) for v in np.abs(rng.normal([centre, 50, 50, 50], 40, (n, 4))).round()]
+    rows.append(("th", "s", False, 1500, 50, 50, 50))
+    found = quality.judged(spark.createDataFrame(rows, "lang string, source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long"))
+    assert [(r.lang, r.z0) for r in found.where("not kept").collect()] == [("th", 1500)]
