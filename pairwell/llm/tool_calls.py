@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from .runtime import save, ship
 
 _CALL = "struct<at:long,id:string,name:string,arguments:string,error:string,depends_on:array<string>>"
+# The keywords that violation() checks, and those that only describe.
+_KEYWORDS = frozenset("type enum const minimum maximum minLength maxLength minItems maxItems items properties required additionalProperties".split())
+_NOTES = frozenset("title description default examples $schema $id $comment deprecated readOnly writeOnly".split())
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -76,6 +79,23 @@ def violation(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def known(schema: dict, at: str = "$") -> None:
+    """Raises ValueError for a schema that violation() cannot check whole."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema object")
+    if unknown := sorted(set(schema) - _KEYWORDS - _NOTES):
+        raise ValueError(f"{at}: unknown schema keywords {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if bad := sorted(set(map(str, kinds if isinstance(kinds, list) else [kinds])) - set(_TYPES) - {"number", "integer"}):
+        raise ValueError(f"{at}: unknown types {', '.join(bad)}")
+    for name, own in schema.get("properties", {}).items():
+        known(own, f"{at}.{name}")
+    if "items" in schema:
+        known(schema["items"], f"{at}[]")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        known(schema["additionalProperties"], f"{at}.*")
+
+
 def _object(text: str | None) -> dict:
     """The JSON object that a text is, or an empty one."""
     if not text or not text.lstrip().startswith("{"):
@@ -91,8 +111,10 @@ def read_message(text: str | None, tools: dict[str, dict]) -> tuple[str | None,
     """Content, calls and the id that the message is a result of."""
     found = _object(text)
     calls, listed = [], found.get("tool_calls")
-    if isinstance(listed, list) and all(isinstance(c, dict) for c in listed):
+    if isinstance(listed, list):
         for at, c in enumerate(listed):
+            if not isinstance(c, dict):
+                continue
             raw, error = c.get("arguments", {}), None
             if isinstance(raw, str):
                 try:
@@ -136,7 +158,8 @@ def _levels(calls: DataFrame) -> DataFrame:
 def linked_messages(messages: DataFrame, tools: dict[str, dict], *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, n_calls, n_valid, n_linked, max_level, link and message of every row.
 
-    tools: JSON schema of the arguments by tool name. link says of a result: linked, duplicate (not the
+    tools: JSON schema of the arguments by tool name; a keyword that isn't checked raises ValueError.
+    Elements of tool_calls that aren't objects are skipped. link says of a result: linked, duplicate (not the
     first of its call), early (before its call) or orphan; null otherwise. n_linked counts the
     message's calls that a later result answers; only the first call of an identifier is answered. A
     call's entry holds its canonical arguments, the turn of its result, its level (null on a cycle)
@@ -144,6 +167,8 @@ def linked_messages(messages: DataFrame, tools: dict[str, dict], *, conv_col: st
     conversations are one); rows repeated within a conversation count as repeats of their calls;
     other columns are not read; an empty table gives no rows.
     """
+    for name, schema in tools.items():
+        known(schema, name)
     spark = messages.sparkSession
     ship(spark)
 

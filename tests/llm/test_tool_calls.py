@@ -80,3 +80,17 @@ def test_canonical(value, text):
 def test_query(spark):
     rows = queries.op1_tool_calls(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(len(r.message_sha256) == 64 for r in rows)
+
+
+@pytest.mark.parametrize("schema", [{"pattern": "x"}, {"properties": {"a": {"anyOf": []}}}, {"items": {"$ref": "#"}}, {"additionalProperties": {"multipleOf": 2}}, {"type": "int"}])
+def test_unknown_schemas_are_errors(spark, schema):
+    data = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError, match="unknown"):
+        tool_calls.linked_messages(data, {"t": schema})
+
+
+def test_a_bad_element_leaves_the_other_calls(spark):
+    calls = [None, {"id": "a", "name": "add", "arguments": {"a": 1}}, "x", {"id": "b", "name": "add", "arguments": {"a": 2}}]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (1, 1, "tool", '{"tool_call_id": "b", "content": "2"}')]
+    call, result = sorted(tool_calls.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect())
+    assert (call.n_calls, call.n_valid, call.n_linked, result.link) == (2, 2, 1, "linked")
