@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import save
+from .runtime import drop, save
 
 #: Rounds after which a graph without progress counts as an error; stars halve depths each round.
 MOST_ROUNDS = 60
@@ -30,14 +30,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's least node) of every node that isn't its component's root.
 
     edges: u, v (longs, undirected; loops and repeats are allowed). Every round is written to the
-    shared folder, so nothing but its size and a checksum comes to the driver.
+    shared folder and the one before deleted, so nothing but its size and a checksum comes to the
+    driver. The result is such a table (see runtime.drop). A hub's edges are summed before the shuffle
+    that finds its least neighbour; the join back to them is one that adaptive execution splits.
     """
     edges = save(edges.select("u", "v").where("u <> v").distinct())
     mark = None
     for _ in range(MOST_ROUNDS):
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).first()
         if now[0] == 0 or now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found.saved_at = edges.saved_at
+            return found
         mark = now
-        edges = save(_star(_star(edges, True), False))
+        before, edges = edges, save(_star(_star(edges, True), False))
+        drop(before)
     raise RuntimeError("components did not settle")

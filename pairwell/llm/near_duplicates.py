@@ -6,20 +6,26 @@ are represented by one of them; only classes are compared. Two classes link when
 
 1. Similar classes are partitioned into groups: classes that share a pair of min-hashes meet in chunks
    of bounded size (large buckets are dealt to chunks, with a few hubs in all of them), where all
-   intersections come from one product of the chunk's class-token matrix. What is alike hangs
-   together as a group; what links, inside it, as a part of a component. This finds many of the
+   intersections of whole sets come from one product of the chunk's class-token matrix. What is alike
+   hangs together as a group; what links, inside it, as a part of the group. This finds many of the
    links, not all; it spares the exact steps the pairs inside parts.
 2. The token-group matrix: every class lists the least tokens of its set, enough of them that linked
-   classes share one (|set| - ceil(0.75 |set|) + 1), under its group; a group's entries are the union
-   of its members'. Tokens of many documents come last in the order, so they are rarely listed. Where
-   a query class meets an entry, the tokens before it in both lists bound the overlap; the group is
-   opened for the query only if the bound allows a link to a class of another part.
-3. Opened groups are compared in blocks of bounded size, by products of class-token matrices again:
+   classes share one (|set| - ceil(0.75 |set|) + 1). A row of the matrix is (token, group), once for
+   all members that list it, with the least and greatest of their set sizes: the union of the group's
+   listed tokens. Tokens of many documents come last in the order, so they are rarely listed, and
+   tokens that one class alone lists are left out.
+3. A class queries the groups larger than its own (of equal ones, those of greater number), so every
+   pair of groups is looked at once, from its smaller side. The query's listed tokens that stand in
+   the group's union are summed. What a query and a member share is at most that sum and the unlisted
+   rest of one of them; the group is opened only if this allows a link to a member of some size in
+   its range. A class outside the largest part of its own group always queries that group.
+4. Opened groups are compared in blocks of bounded size, by products of class-token matrices again:
    first of a fixed sixth of the tokens, which bounds the overlap once more, then, where that allows
    a link, of whole sets. Rows are (query, group), never pairs of documents.
 
-Any order of tokens gives all links; which tokens count as frequent only decides how much is opened,
-so a bitmap of fixed size holds them, and tokens that share a bit with a frequent one come late too.
+Any order of tokens gives all links; which tokens count as frequent only decides how much is opened.
+So bitmaps of fixed size hold the frequent tokens and the shared ones: tokens that share a bit with a
+frequent one come late too, and those that share one with a shared one stay in the matrix.
 """
 
 from __future__ import annotations
@@ -34,16 +40,18 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .runtime import save, ship
+from .runtime import bitmap, drop, save, ship, without
 
 WORDS = 5
 CHUNK, HUBS = 64, 8
 #: Members and queries of a block of an opened group.
 MEMBERS, QUERIES = 512, 1024
+#: Tokens of a chunk or of one side of a block, about: long sets go into smaller ones.
+TOKENS = 2_000_000
 #: A token is frequent from so many documents on, as far as tasks see it repeat.
 LEAST_FREQUENT = 64
-#: Bits of the bitmap of frequent tokens, which is what is broadcast.
-FREQUENT_BITS = 26
+#: Bits of the bitmaps of frequent and of shared tokens, which is what is broadcast.
+FREQUENT_BITS = SHARED_BITS = 26
 #: The part of a set that opened pairs are bounded by: tokens below this.
 PART = np.uint64((1 << 64) // 6)
 #: Tokens counted at a time in a task.
@@ -96,7 +104,7 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """A row for each document (kind 0: row, doc_id, n, s1, s2, k1, k2), and counts of tokens (kind 1: s1, n); saved."""
+    """A row for each document (kind 0: row, doc_id, tag, n, s1, s2, k1, k2), and counts of tokens (kind 1: s1, n); saved."""
 
     def run(batches):
         row, held, size = TaskContext.get().partitionId() << 40, [], 0
@@ -106,9 +114,9 @@ def _described(docs: DataFrame) -> DataFrame:
             often = n >= 3
             m, zero = int(often.sum()), np.zeros(int(often.sum()), np.int64)
             none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(zero + 1), none, none, pa.array(n[often].astype(np.int64)), _longs(tokens[often]), none, none, none], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(zero + 1), none, none, none, pa.array(n[often].astype(np.int64)), _longs(tokens[often]), none, none, none], names=names)
 
-        names = ["kind", "row", "doc_id", "n", "s1", "s2", "k1", "k2"]
+        names = ["kind", "row", "doc_id", "tag", "n", "s1", "s2", "k1", "k2"]
         for batch in wordhash.slices(batches, 1):
             sets = list(shingle_sets(batch, 1))
             tokens, starts, full = _flat(sets)
@@ -118,7 +126,7 @@ def _described(docs: DataFrame) -> DataFrame:
                     to[full] = values
                 held.append(tokens)
                 size += len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(np.arange(row, row + len(sets))), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(_longs, sums)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(np.arange(row, row + len(sets))), batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *map(_longs, sums)], names=names)
             row += len(sets)
             if size >= COUNTED:
                 yield counted()
@@ -126,40 +134,36 @@ def _described(docs: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    return save(docs.mapInArrow(run, "kind long, row long, doc_id long, n long, s1 long, s2 long, k1 long, k2 long"))
+    return save(docs.mapInArrow(run, "kind long, row long, doc_id long, tag long, n long, s1 long, s2 long, k1 long, k2 long"))
 
 
-def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of 2 ** size bits with the column `bit` set; at most 2 ** (size - 3) rows come to the driver."""
-    cells = bits.groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (size - 3), np.uint8)
-    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.uint8)
-    return out
+def _in(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which bits are set."""
+    return bits[bit >> bit.dtype.type(3)] >> (bit & bit.dtype.type(7)).astype(np.uint8) & np.uint8(1) == 1
 
 
-def _in(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Which bits are set."""
-    return bitmap[bit >> bit.dtype.type(3)] >> (bit & bit.dtype.type(7)).astype(np.uint8) & np.uint8(1) == 1
+def among(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which tokens count as listed in a bitmap, by their low bits."""
+    return _in(listed, tokens & np.uint64(8 * len(listed) - 1))
 
 
-def among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Which tokens count as frequent."""
-    return _in(frequent, tokens & np.uint64(8 * len(frequent) - 1))
+def _low(name: str, size: int):
+    return F.col(name).bitwiseAND(F.lit((1 << size) - 1)).alias("bit")
 
 
 def _frequent(described: DataFrame) -> np.ndarray:
     """The bitmap of frequent tokens, by their low bits."""
     found = described.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    return _bitmap(found.select(F.col("s1").bitwiseAND(F.lit((1 << FREQUENT_BITS) - 1)).alias("bit")), FREQUENT_BITS)
+    return bitmap(found.select(_low("s1", FREQUENT_BITS)), FREQUENT_BITS)
 
 
-def _sets_of(docs: DataFrame, needed: DataFrame, half: bool = False) -> DataFrame:
-    """key, s1 and tokens (if half, only their upper 32 bits) of documents whose key is in needed (key), and perhaps of a few others.
+def _made_of(docs: DataFrame, needed: DataFrame, columns: dict[str, str], make) -> DataFrame:
+    """key, s1 and the columns that make(sets, tokens, starts) gives, of documents whose key is in needed (key), and perhaps of a few others.
 
     needed reaches the tasks as a bitmap of fixed size; the join that follows decides.
     """
-    bitmap = _bitmap(needed.select(F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")), _FILTER_BITS)
-    listed = docs.sparkSession.sparkContext.broadcast(bitmap)
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")
+    listed = docs.sparkSession.sparkContext.broadcast(bitmap(needed.select(bit), _FILTER_BITS))
 
     def run(batches):
         for big in batches:
@@ -167,13 +171,17 @@ def _sets_of(docs: DataFrame, needed: DataFrame, half: bool = False) -> DataFram
             for batch in wordhash.slices(iter([big.take(pa.array(on))]), 1):
                 sets = list(shingle_sets(batch, 1))
                 tokens, starts, full = _flat(sets)
-                if not len(full):
-                    continue
-                s1, _ = _sums(tokens, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array([(halves(sets[k]) if half else sets[k]).tobytes() for k in full], pa.binary())], names=["key", "s1", "tokens"])
+                if len(full):
+                    s1, _ = _sums(tokens, starts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), *make([sets[k] for k in full], tokens, starts)], names=["key", "s1", *columns])
+
+    schema = ", ".join(["key long", "s1 long", *(f"{a} {b}" for a, b in columns.items())])
+    return docs.select(F.col("doc_id").alias("key"), "text").select("key", "text", bit).mapInArrow(run, schema)
 
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")
-    return docs.select(F.col("doc_id").alias("key"), "text").select("key", "text", bit).mapInArrow(run, "key long, s1 long, tokens binary")
+
+def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """key, s1 and tokens of documents whose key is in needed."""
+    return _made_of(docs, needed, {"tokens": "binary"}, lambda sets, _, __: [pa.array([x.tobytes() for x in sets], pa.binary())])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -240,25 +248,23 @@ def _hung(nodes: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """Edges (u, v, 1) of linked sets of a chunk, given as upper halves of tokens, and (u, v, 0) of alike ones."""
+    """Edges (u, v, 1) of linked sets of a chunk and (u, v, 0) of alike ones."""
     n = np.array([len(s) for s in sets], np.int64)
-    total = n[:, None] + n[None, :]
-    chance = 4 + 16 * n[:, None] * n[None, :] // (1 << 32)  # more equal halves than chance makes of unequal tokens
-    shared = overlaps(sets, sets)
-    return [(*e, 1) for e in _hung(nodes, 7 * (shared - chance) >= 3 * total)] + [(*e, 0) for e in _hung(nodes, 7 * shared >= 2 * total)]
+    total, shared = n[:, None] + n[None, :], overlaps(sets, sets)
+    return [(*e, 1) for e in _hung(nodes, 7 * shared >= 3 * total)] + [(*e, 0) for e in _hung(nodes, 7 * shared >= 2 * total)]
 
 
 def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Step 1: edges between classes with a common min-hash key; u, v, link (else only alike); saved."""
-    keyed = classes.select("node", "key", "s1", F.explode(F.array("k1", "k2")).alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
-    chunks = F.ceil((F.col("size") - HUBS) / F.lit(CHUNK)).cast("int")
-    chunks = F.when(F.col("size") <= CHUNK + HUBS, F.lit(1)).otherwise(chunks)
-    members = keyed.join(sizes, "k").withColumn("chunks", chunks)
+    keyed = classes.select("node", "key", "s1", "n", F.explode(F.array("k1", "k2")).alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+    whole = (F.col("size") <= CHUNK + HUBS) & (F.col("tokens") <= TOKENS)
+    chunks = F.greatest(F.ceil((F.col("size") - HUBS) / F.lit(CHUNK)), F.ceil(F.col("tokens") / TOKENS)).cast("int")
+    members = keyed.drop("n").join(sizes, "k").withColumn("chunks", F.when(whole, F.lit(1)).otherwise(F.least(chunks, F.col("size").cast("int"))))
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("size")) < HUBS)
     own = F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int"))
     members = save(members.select("k", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)).alias("chunk"), "node", "key", "s1"))
-    sets = members.join(_sets_of(docs, members.select("key"), half=True), ["key", "s1"]).select("k", "chunk", "node", "tokens")
+    sets = members.join(_sets_of(docs, members.select("key")), ["key", "s1"]).select("k", "chunk", "node", "tokens")
 
     def run(batches):
         for group in _grouped(batches, 2):
@@ -266,11 +272,13 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if len(nodes) < 2:
                 continue
             column = group.column(3)
-            edges = _links(nodes, [np.frombuffer(column[i].as_buffer(), np.uint32) for i in first.tolist()])
+            edges = _links(nodes, [np.frombuffer(column[i].as_buffer(), np.uint64) for i in first.tolist()])
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], names=["u", "v", "link"])
 
-    return save(sets.repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(run, "u long, v long, link long"))
+    found = save(sets.repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(run, "u long, v long, link long"))
+    drop(members)
+    return found
 
 
 def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -281,98 +289,70 @@ def listed_tokens(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """node, comp, grp, n, listed (tokens in order) and part (upper halves of the tokens below PART) of all classes; saved."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    """key, s1, listed (tokens in order) and part (upper halves of the tokens below PART) of all classes; saved."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def lists(batches):
-        often = shared.value
-        for batch in wordhash.slices(batches, 1):
-            sets = list(shingle_sets(batch, 1))
-            tokens, starts, full = _flat(sets)
-            if len(full):
-                s1, _ = _sums(tokens, starts)
-                marks = np.split(among(tokens, often), starts[1:])
-                listed = [listed_tokens(sets[k], mark).tobytes() for k, mark in zip(full, marks, strict=True)]
-                part = [halves(sets[k][: np.searchsorted(sets[k], PART)]).tobytes() for k in full]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), pa.array(listed, pa.binary()), pa.array(part, pa.binary())], names=["key", "s1", "listed", "part"])
+    def make(sets, tokens, starts):
+        lists = [listed_tokens(x, mark) for x, mark in zip(sets, np.split(among(tokens, often.value), starts[1:]), strict=True)]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        part = [halves(x[: np.searchsorted(x, PART)]).tobytes() for x in sets]
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _longs(np.concatenate(lists))), pa.array(part, pa.binary())]
 
-    listed = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(lists, "key long, s1 long, listed binary, part binary")
-    return save(listed.join(classes.select("key", "s1", "node", "comp", "grp", "n"), ["key", "s1"]).select("node", "comp", "grp", "n", "listed", "part"))
+    return save(_made_of(docs, classes.select("key"), {"listed": "array<long>", "part": "binary"}, make))
 
 
-def _matrix(lists: DataFrame) -> DataFrame:
-    """Step 2: token, node, comp, grp and at (set size << 32 | place in the list) of all classes."""
+def _entries(lists: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Step 2: token, node, n, grp and members (of the group) of the listed tokens that two rows list, or more; saved."""
+    counted = lists.select(F.explode("listed").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    several = lists.sparkSession.sparkContext.broadcast(bitmap(counted.select(_low("token", SHARED_BITS)), SHARED_BITS))
 
-    def entries(batches):
-        for big in batches:
-            for lo in range(0, big.num_rows, 1024):
-                batch = big.slice(lo, 1024)
-                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
-                sizes = np.array([len(s) for s in sets])
-                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                node, comp, grp, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(4))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node), pa.array(comp), pa.array(grp), pa.array(n << 32 | place)], names=["token", "node", "comp", "grp", "at"])
+    def run(batches):
+        for batch in batches:
+            column = batch.column(2)
+            tokens, owner = column.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            keep = np.flatnonzero(among(tokens.view(np.uint64), several.value))
+            own = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(tokens[keep])], names=["key", "s1", "token"])
+
+    sizes = labelled.groupBy("grp").agg(F.count("*").alias("members"))
+    own = labelled.select("key", "s1", "node", "n", "grp").join(sizes, "grp")
+    pruned = lists.select("key", "s1", "listed").mapInArrow(run, "key long, s1 long, token long")
+    return save(pruned.join(own, ["key", "s1"]).select("token", "node", "n", "grp", "members"))
 
-    return lists.select("node", "comp", "grp", "n", "listed").mapInArrow(entries, "token long, node long, comp long, grp long, at long")
 
+def token_groups(entries: DataFrame) -> DataFrame:
+    """The token-group matrix: token, grp, members, and low and high, the least and greatest set sizes of the members that list the token."""
+    return entries.groupBy("token", "grp", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
-def opened(token: np.ndarray, node: np.ndarray, comp: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, small: int = 48) -> np.ndarray:
-    """Distinct (query node, group): a member of another comp shares a listed token with it and may link by the places.
 
-    A pair is opened from one of its sides only. No more pairs are held than a query has members in reach.
+def least_overlap(n, low, high):
+    """A lower bound of the listed tokens that a set of n tokens shares with one of low to high tokens that it links with (columns).
+
+    Links share 3 (n + m) / 7, of which the longer set doesn't list ceil(0.75 max(n, m)) - 1 at most.
+    What is left rises with m up to n and falls from there on.
     """
-    order = np.lexsort((n, token))
-    token, node, comp, group, n, place = token[order], node[order], comp[order], group[order], n[order], place[order]
-    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(edge, len(token)))
-    out = [np.empty((2, 0), np.int64)]
-
-    def allowed(i, j):
-        need = -(-3 * (n[i] + n[j]) // 7)
-        return (comp[i] != comp[j]) & (need <= np.minimum(n[i] - place[i], n[j] - place[j]))
-
-    behind = np.repeat(sizes, sizes) - (np.arange(len(token)) - np.repeat(edge, sizes))  # rows of the token from here on
-    many = np.repeat(sizes > small, sizes)
-    at, step = np.flatnonzero((behind > 1) & ~many), 1
-    while len(at):
-        i = at[allowed(at, at + step)]
-        j = i + step
-        turn = (comp[i] != node[i]) & (comp[j] == node[j])  # rather the single class is the query
-        out.append(np.unique(np.stack((node[np.where(turn, j, i)], group[np.where(turn, i, j)])), axis=1))
-        step += 1
-        at = at[behind[at] > step]
-    for lo, m in zip(edge[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        rows = np.arange(lo, lo + m)
-        kinds, count = np.unique(comp[rows], return_counts=True)
-        if len(kinds) == 1:
-            continue
-        sorted_n = n[rows]
-        query = rows[comp[rows] != kinds[count.argmax()]]  # pairs inside the largest part need no look
-        most = np.minimum(4 * n[query] // 3, 7 * (n[query] - place[query]) // 3 - n[query])
-        first = lo + np.searchsorted(sorted_n, -(-3 * n[query] // 4), "left")
-        last = lo + np.searchsorted(sorted_n, most, "right")
-        for q, a, b in zip(query.tolist(), first.tolist(), last.tolist(), strict=True):
-            if b > a:
-                x = np.arange(a, b)
-                found = np.unique(group[x[allowed(q, x)]])
-                if len(found):
-                    out.append(np.stack((np.full(len(found), node[q]), found)))
-    return np.unique(np.concatenate(out, axis=1), axis=1)
-
-
-def _opened_groups(matrix: DataFrame) -> DataFrame:
-    """q, grp: queries and the groups that are opened for them; saved."""
+    low, high = F.greatest(low, F.ceil(0.75 * n)), F.least(high, F.floor(4 * n / 3))
+    shorter = F.ceil(3 * (n + low) / 7) - F.ceil(0.75 * n) + 1
+    longer = F.ceil(3 * n / 7 - 9 * high / 28 + 0.25 - 1e-6)
+    return F.greatest(F.lit(1), F.least(F.when(low <= n, shorter), F.when(high > n, longer)))
+
+
+def opened_groups(entries: DataFrame) -> DataFrame:
+    """Step 3: q, grp: queries, and the larger groups whose token unions allow a link."""
+    matrix = token_groups(entries)
+    asked = entries.select("token", F.col("node").alias("q"), "n", F.col("grp").alias("own"), F.col("members").alias("own_members"))
+    smaller = F.struct("own_members", "own") < F.struct("members", "grp")
+    reach = (4 * F.col("high") >= 3 * F.col("n")) & (3 * F.col("low") <= 4 * F.col("n"))
+    sums = asked.join(matrix, "token").where(smaller & reach).groupBy("q", "grp", "n").agg(F.count("*").alias("overlap"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return sums.where(F.col("overlap") >= least_overlap(F.col("n"), F.col("low"), F.col("high"))).select("q", "grp")
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]  # a shuffle partition
-        if not held:
-            return
-        token, node, comp, group, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
-        del held
-        rows = opened(token, node, comp, group, at >> 32, at & 0xFFFFFFFF)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["q", "grp"])
 
-    return save(matrix.repartition("token").mapInArrow(run, "q long, grp long").distinct())
+def _asked(entries: DataFrame, labelled: DataFrame) -> DataFrame:
+    """q, grp of all queries and the groups that are compared with them; saved."""
+    parts = labelled.groupBy("grp", "comp").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("grp").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    inside = labelled.join(largest, "grp").where("comp <> main").select(F.col("node").alias("q"), "grp")
+    return save(opened_groups(entries).unionByName(inside))
 
 
 def _blocks(asked: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -380,8 +360,10 @@ def _blocks(asked: DataFrame, labelled: DataFrame) -> DataFrame:
 
     A group's members are dealt to mb blocks and its queries to qb; each member block meets each query block.
     """
-    sizes = labelled.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mbs"))
-    queries = asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qbs"))
+    blocks = lambda most: F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / TOKENS)).cast("int")
+    asked = asked.join(labelled.select(F.col("node").alias("q"), "n"), "q")
+    queries = asked.groupBy("grp").agg(blocks(QUERIES).alias("qbs"))
+    sizes = labelled.join(queries, "grp", "left_semi").groupBy("grp").agg(blocks(MEMBERS).alias("mbs"))
     both = sizes.join(queries, "grp")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     member = labelled.select("node", "grp").join(both, "grp").select("node", "grp", F.pmod(F.xxhash64("node"), F.col("mbs")).cast("int").alias("mb"), every("qbs").alias("qb"), F.lit(0).alias("query"))
@@ -441,57 +423,80 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(docs: DataFrame, labelled: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
-    """Step 3: the comps that link; u, v; saved."""
-    parts = lists.select("node", "comp", "n", F.col("part").alias("tokens"))
-    left = save(_compared(_blocks(asked, labelled).join(parts, "node"), np.uint32, False))
-    nodes = save(left.join(labelled.select("node", "key", "s1", "comp", "n"), "node"))
+    """Step 4: the comps that link; u, v; saved."""
+    own = labelled.select("node", "key", "s1", "comp", "n")
+    parts = _blocks(asked, labelled).join(own, "node").join(lists.select("key", "s1", F.col("part").alias("tokens")), ["key", "s1"])
+    left = save(_compared(parts, np.uint32, False))
+    nodes = save(left.join(own, "node"))
     sets = nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"])
-    return save(_compared(sets, np.uint64, True))
+    found = save(_compared(sets, np.uint64, True))
+    drop(left, nodes)
+    return found
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of every row.
-
-    component_id is the least doc_id of the rows reachable by links, itself included; class_id the
-    least of the rows with an equal set. A text without words, or null, has an empty set and is linked
-    with nothing, also not with another empty one. Repeated rows and equal ids give a row each; rows
-    without an id take part, and their component's id is null only if none of its rows has one.
-    Other columns are not read. An empty table gives no rows.
-    """
-    ship(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+def _solved(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, tag) as doc_id, tag, n, class_id, component_id and comp, which tells components apart; saved."""
     described = _described(docs)
     rows = described.where("kind = 0")
     ids = F.min(F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("row", "doc_id")).alias("rep"), ids.alias("class_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
     classes = save(classes.select(F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("key"), "s1", "s2", "n", "k1", "k2", "class_id"))
     edges = _chunk_edges(docs, classes)
-    labelled = classes
+    labelled, roots = classes.drop("k1", "k2"), []
     for name, found in (("comp", edges.where("link = 1")), ("grp", edges)):
-        labelled = labelled.join(components(found), "node", "left").withColumn(name, F.coalesce("root", "node")).drop("root")
+        roots.append(components(found))
+        labelled = labelled.join(roots[-1], "node", "left").withColumn(name, F.coalesce("root", "node")).drop("root")
     labelled = save(labelled)
+    drop(classes, edges, *roots)
     lists = _lists(docs, labelled, _frequent(described))
-    asked = _opened_groups(_matrix(lists))
-    joined = components(_verified(docs, labelled, lists, asked)).select(F.col("node").alias("comp"), "root")
-    final = labelled.join(joined, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
+    entries = _entries(lists, labelled)
+    asked = _asked(entries, labelled)
+    drop(entries)
+    links = _verified(docs, labelled, lists, asked)
+    drop(lists, asked)
+    joined = components(links)
+    final = labelled.join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
     least = final.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = final.join(least, "comp").select("s1", "s2", "n", "class_id", "component_id")
+    named = final.join(least, "comp").select("s1", "s2", "n", "class_id", "component_id", "comp")
     own = F.nullif(F.col("doc_id"), F.lit(_NULL_ID))
-    out = rows.where("n > 0").select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", "component_id")
-    return out.unionByName(rows.where("n = 0").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("class_id"), own.alias("component_id")))
+    out = rows.where("n > 0").select("doc_id", "tag", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select(own.alias("doc_id"), "tag", "n", "class_id", "component_id", "comp")
+    empty = rows.where("n = 0").select(own.alias("doc_id"), "tag", "n", own.alias("class_id"), own.alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    out = save(out.unionByName(empty))
+    drop(described, labelled, links, joined)
+    return out
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row.
+
+    component_id is the least doc_id of the rows reachable by links, itself included; class_id the
+    least of the rows with an equal set. A text without words, or null, has an empty set and is linked
+    with nothing, also not with another empty one. Repeated rows and equal ids give a row each; rows
+    without an id take part, and their component's id is null only if none of its rows has one.
+    Other columns are not read. An empty table gives no rows. The result is a table in the shared folder.
+    """
+    ship(docs.sparkSession)
+    solved = _solved(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("tag")))
+    return solved.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of least id of each component, with its columns, of equal ids the first; rows without words stay.
+    """The row of least id of each component, with its columns, of equal ids the one whose text has the least hash; rows without words stay.
 
-    Rows are told apart by numbers in a saved copy, not by ids: of rows that share an id, also of
-    exact repeats, one stays. A row without an id stays only if no row of its component has one.
+    Rows are known by their id and a hash of their text, so of rows that share an id one stays, and of
+    rows that share both too. A row without an id stays only if no row of its component has one. An
+    empty table gives an empty one; columns of any name are kept.
     """
-    own = F.struct(*[docs[c] for c in docs.columns]).alias("own")
-    numbered = save(docs.select(F.monotonically_increasing_id().alias("row"), own))
-    found = near_duplicates(numbered.select("row", F.col("own")[text_col].alias("text")), id_col="row")
-    ids = numbered.select("row", F.col("own")[id_col].cast("long").alias("id"))
-    named = save(found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row"))
-    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("least"))
-    gone = named.select("row").join(least.select("least.row"), "row", "left_anti")
-    return numbered.join(gone, "row", "left_anti").select("own.*")
+    ship(docs.sparkSession)
+    own_id, tag = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)), F.xxhash64(docs[text_col])
+    solved = _solved(docs.select(own_id.alias("doc_id"), docs[text_col].alias("text"), tag.alias("tag"))).where("n > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+    least = solved.groupBy("comp").agg(F.min(rank).alias("least"))
+    first = solved.join(least, "comp").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "tag", (rank == F.col("least")).alias("first"))
+    found = save(first.groupBy("doc_id", "tag").agg(F.max("first").alias("first"), F.count("*").alias("rows")))
+    out = without(docs, [own_id, tag], found.where("not first or rows > 1").select("doc_id", "tag"))
+    again = found.where("first and rows > 1").select("doc_id", "tag")
+    if not again.isEmpty():  # of rows with one id and one text, one
+        keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), own_id.alias("doc_id"), tag.alias("tag"))
+        out = out.unionByName(keyed.join(again, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).select("own.*"))
+    return out

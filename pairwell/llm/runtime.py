@@ -9,7 +9,12 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of the filter that without() broadcasts, 64 bits each.
+FILTER_BLOCKS = 1 << 16
 
 _SHIPPED: set[str] = set()
 
@@ -51,11 +56,47 @@ def save(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of save() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of 2 ** size bits with the column `bit` set; at most 2 ** (size - 3) cells come to the driver, as Arrow."""
+    cells = bits.groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 3), np.uint8)
+    out[cells["cell"].to_numpy().astype(np.int64)] = cells["bits"].to_numpy().astype(np.uint8)
+    return out
+
+
+def _mask(h: Column) -> Column:
+    """Three bits of a 64-bit block, from three parts of a hash."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int")) for k in (0, 6, 12)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
 
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """The rows of docs whose keys (longs) are not a row of gone (as many longs), with their columns.
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table of save() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    A blocked Bloom filter of gone, a table of at most FILTER_BLOCKS rows, lets nearly all rows that
+    stay pass without a shuffle of their texts; only possible hits meet gone itself. However many rows
+    are gone, the result is exact: a full filter only sends more rows to the join.
+    """
+    names = [f"_key{k}" for k in range(len(keys))]
+    gone = gone.toDF(*names)
+    h, block = F.xxhash64(*names), lambda h: F.pmod(F.shiftrightunsigned(h, 20), F.lit(FILTER_BLOCKS))
+    filled = gone.groupBy(block(h).alias("_block")).agg(F.bit_or(_mask(h)).alias("_mask"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    tried = keyed.withColumn("_block", block(h)).join(F.broadcast(filled), "_block", "left")
+    hit = F.coalesce(F.col("_mask").bitwiseAND(_mask(h)) == _mask(h), F.lit(False))
+    doubtful = tried.where(hit).select("_row", *names).join(gone, names, "left_anti")
+    return tried.where(~hit).select("_row.*").unionByName(doubtful.select("_row.*"))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairwell.llm import components, near_duplicates
 
@@ -68,6 +69,7 @@ def test_brute_force(spark, rows, monkeypatch, chunk, frequent):
     monkeypatch.setattr(near_duplicates, "LEAST_FREQUENT", frequent)
     monkeypatch.setattr(near_duplicates, "MEMBERS", chunk)
     monkeypatch.setattr(near_duplicates, "QUERIES", chunk)
+    monkeypatch.setattr(near_duplicates, "TOKENS", 60 * chunk)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, s1 int").repartition(3)
     found = near_duplicates.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=str) == brute(rows)
@@ -81,6 +83,12 @@ def test_one_of_each(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, n, c in brute(rows) if d == c or not n)
 
 
+def test_one_of_each_on_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, None, None), (None, " ", "c"), (None, " ", "c")], "doc_id long, text string, comp string")
+    assert near_duplicates.one_of_each(docs).count() == 5
+    assert near_duplicates.one_of_each(docs.limit(0)).columns == docs.columns
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates.near_duplicates(docs).count() == 0
@@ -88,9 +96,9 @@ def test_empty(spark):
     assert sorted(map(tuple, near_duplicates.near_duplicates(docs).collect())) == [(1, 0, 1, 1), (2, 0, 2, 2)]
 
 
-@pytest.mark.parametrize("small", [0, 2, 100])
-def test_no_link_is_left_closed(small):
-    rng = np.random.default_rng(small)
+@pytest.mark.parametrize("seed", [0, 1])
+def test_no_link_is_left_closed(spark, seed):
+    rng = np.random.default_rng(seed)
     base = rng.integers(1, 1 << 60, 80).astype(np.uint64)
     sets = []
     for _ in range(120):
@@ -101,18 +109,30 @@ def test_no_link_is_left_closed(small):
         frequent[(t & (1 << 20) - 1) >> 3] |= 1 << (t & 7)
     assert all((near_duplicates.among(s, frequent) == np.isin(s & np.uint64((1 << 20) - 1), base[:30] & np.uint64((1 << 20) - 1))).all() for s in sets)
     lists = [near_duplicates.listed_tokens(s, near_duplicates.among(s, frequent)) for s in sets]
-    token = np.concatenate(lists).view(np.int64)
-    node = np.repeat(np.arange(len(sets)), list(map(len, lists)))
-    comp = node // 3 * 3
-    n = np.repeat([len(s) for s in sets], list(map(len, lists)))
-    place = np.concatenate([np.arange(len(x)) for x in lists])
-    group = node // 6 * 6
-    found = set(map(tuple, near_duplicates.opened(token, node, comp, group, n, place, small).T.tolist()))
+    group = [k // 6 * 6 if k < 60 else k for k in range(120)]
+    size = [group.count(g) for g in group]
+    entries = spark.createDataFrame([(t, k, len(sets[k]), group[k], size[k]) for k in range(120) for t in lists[k].view(np.int64).tolist()], "token long, node long, n long, grp long, members long")
+    unions = {(r.token, r.grp): (r.low, r.high) for r in near_duplicates.token_groups(entries).collect()}
+    assert unions == {(t, g): (min(len(sets[k]) for k in have), max(len(sets[k]) for k in have)) for t, g in unions for have in [[k for k in range(120) if group[k] == g and t in lists[k].view(np.int64)]]}
+    found = set(map(tuple, near_duplicates.opened_groups(entries).collect()))
     both = near_duplicates.overlaps(sets, list(sets), 40_000)
     assert all(near_duplicates.overlaps(sets, sets, 40_000)[a, b] == both[a, b] for a in range(120) for b in range(a))
-    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 7 * both[a, b] >= 3 * (len(sets[a]) + len(sets[b]))}
     assert all(both[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(40) for b in range(40) if a != b)
-    assert links and all((a, b // 6 * 6) in found or (b, a // 6 * 6) in found for a, b in links if a // 3 != b // 3)
+    links = {(a, b) for a in range(120) for b in range(120) if (size[a], group[a]) < (size[b], group[b]) and 7 * both[a, b] >= 3 * (len(sets[a]) + len(sets[b]))}
+    assert links and all((a, group[b]) in found for a, b in links)
+    assert len(found) < sum(len({g for g, s in zip(group, size, strict=True) if (s, g) > (size[a], group[a])}) for a in range(120))
+
+
+def test_least_overlap(spark):
+    def brute(n, low, high):
+        fits = [m for m in range(low, high + 1) if 3 * m <= 4 * n and 3 * n <= 4 * m]
+        return min((max(1, -(-3 * (n + m) // 7) - (-(-3 * max(n, m) // 4) - 1)) for m in fits), default=None)
+
+    cases = [(n, low, high) for n in range(1, 40) for low in range(1, 60, 3) for high in range(low, 60, 7)] + [(1000, 1000, 1000), (1000, 990, 1010), (997, 1100, 1330), (10**6, 10**6, 10**6 + 1)]
+    cases = [c for c in cases if brute(*c) is not None]
+    rows = spark.createDataFrame(cases, "n long, low long, high long")
+    got = rows.select("*", near_duplicates.least_overlap(F.col("n"), F.col("low"), F.col("high")).alias("x")).collect()
+    assert all(brute(r.n, r.low, r.high) - 1 <= r.x <= brute(r.n, r.low, r.high) for r in got) and all(r.x == brute(r.n, r.low, r.high) for r in got if r.high <= r.n)
 
 
 def test_components(spark):
