@@ -184,6 +184,11 @@ def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return _made_of(docs, needed, {"tokens": "binary"}, lambda sets, _, __: [pa.array([x.tobytes() for x in sets], pa.binary())])
 
 
+def _dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with their sets. Sets are dealt by key at every size, as they must be where rows are many; so small inputs show what large ones move."""
+    return rows.join(sets.hint("merge"), ["key", "s1"])
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """The rows of each group; batches are sorted by their first `keys` columns."""
     held: list[pa.RecordBatch] = []
@@ -264,7 +269,7 @@ def _chunk_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("size")) < HUBS)
     own = F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int"))
     members = save(members.select("k", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)).alias("chunk"), "node", "key", "s1"))
-    sets = members.join(_sets_of(docs, members.select("key")), ["key", "s1"]).select("k", "chunk", "node", "tokens")
+    sets = _dealt(members, _sets_of(docs, members.select("key"))).select("k", "chunk", "node", "tokens")
 
     def run(batches):
         for group in _grouped(batches, 2):
@@ -309,15 +314,17 @@ def _entries(lists: DataFrame, labelled: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             column = batch.column(2)
-            tokens, owner = column.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            tokens, ends = column.flatten().to_numpy(), np.cumsum(np.diff(column.offsets.to_numpy()))
             keep = np.flatnonzero(among(tokens.view(np.uint64), several.value))
-            own = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(tokens[keep])], names=["key", "s1", "token"])
+            kept = np.searchsorted(keep, np.concatenate(([0], ends)))
+            some = pa.array(np.flatnonzero(np.diff(kept)))
+            lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(tokens[keep]))
+            yield pa.RecordBatch.from_arrays([x.take(some) for x in (batch.column(0), batch.column(1), lists)], names=["key", "s1", "tokens"])
 
     sizes = labelled.groupBy("grp").agg(F.count("*").alias("members"))
     own = labelled.select("key", "s1", "node", "n", "grp").join(sizes, "grp")
-    pruned = lists.select("key", "s1", "listed").mapInArrow(run, "key long, s1 long, token long")
-    return save(pruned.join(own, ["key", "s1"]).select("token", "node", "n", "grp", "members"))
+    pruned = lists.select("key", "s1", "listed").mapInArrow(run, "key long, s1 long, tokens array<long>")
+    return save(pruned.join(own, ["key", "s1"]).select(F.explode("tokens").alias("token"), "node", "n", "grp", "members"))
 
 
 def token_groups(entries: DataFrame) -> DataFrame:
@@ -428,7 +435,7 @@ def _verified(docs: DataFrame, labelled: DataFrame, lists: DataFrame, asked: Dat
     parts = _blocks(asked, labelled).join(own, "node").join(lists.select("key", "s1", F.col("part").alias("tokens")), ["key", "s1"])
     left = save(_compared(parts, np.uint32, False))
     nodes = save(left.join(own, "node"))
-    sets = nodes.join(_sets_of(docs, nodes.select("key")), ["key", "s1"])
+    sets = _dealt(nodes, _sets_of(docs, nodes.select("key")))
     found = save(_compared(sets, np.uint64, True))
     drop(left, nodes)
     return found

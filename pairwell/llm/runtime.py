@@ -70,11 +70,12 @@ def drop(*tables: DataFrame) -> None:
 
 
 def bitmap(bits: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of 2 ** size bits with the column `bit` set; at most 2 ** (size - 3) cells come to the driver, as Arrow."""
-    cells = bits.groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (size - 3), np.uint8)
-    out[cells["cell"].to_numpy().astype(np.int64)] = cells["bits"].to_numpy().astype(np.uint8)
-    return out
+    """The bitmap (bytes) of 2 ** size bits with the column `bit` set; at most 2 ** (size - 6) words come to the driver, as Arrow."""
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(word).alias("word")).toArrow()
+    out = np.zeros(max(1, 1 << max(0, size - 6)), np.int64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _mask(h: Column) -> Column:
