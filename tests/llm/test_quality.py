@@ -36,7 +36,9 @@ def test_statistics(spark):
         assert tuple(r[c] for c in quality.STATS) == want
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (r.kept is not None) and not (r.base_failed and r.kept)
     kept = quality.kept_documents(docs)
-    assert kept.columns == docs.columns and kept.count() == quality.quality(docs).where("kept").count()
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality.quality(docs).where("kept").collect())
+    twice = quality.kept_documents(docs.union(docs).withColumnRenamed("kept", "row"))
+    assert twice.count() % 2 == 0 and twice.columns[-1] == "row"
 
 
 def test_empty_tables_and_columns(spark):
@@ -46,23 +48,83 @@ def test_empty_tables_and_columns(spark):
     assert quality.quality(spark.createDataFrame([(1, None)], docs.schema)).first().base_failed
 
 
-def test_estimates_are_those_of_the_core(spark):
-    rng = np.random.default_rng(1)
-    z = np.round(rng.multivariate_normal([1500, 100, 50, 80], np.diag([200.0, 300, 100, 500]) ** 2 + 9000, 3000)).astype(int)
-    z[:300] += np.array([0, 4000, 0, 3000])  # contamination, which must not move the estimate
-    rows = spark.createDataFrame([("en", "s", False, *map(int, v)) for v in z], "lang string, source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long")
-    got = {r.level: r for r in quality.estimates(rows).collect()}
-    assert got[2].total == 3000 and got[2].m0 == got[0].m0
-    clean = z[300:]
-    assert abs(got[2].m1 - clean[:, 1].mean()) < 60 and abs(got[2].m3 - clean[:, 3].mean()) < 60
+VECTORS = "lang string, source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long"
+
+
+def vectors(spark, lang, source, z):
+    return spark.createDataFrame([(lang, source, False, *map(int, v)) for v in z], VECTORS)
+
+
+def floored_logdet(z):
+    """The log determinant of z's covariance as the operator takes it: by its root, with the least spreads."""
+    c, out = np.cov(z.T, bias=True), 0.0
+    root = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            rest = c[i, j] - root[i, :j] @ root[j, :j]
+            root[i, j] = math.sqrt(max(rest, quality.SPREAD[i] ** 2)) if i == j else rest / root[j, j]
+        out += 2 * math.log(root[i, i])
+    return out, root
+
+
+def fast_mcd(z, rng, starts=200, core=0.75):
+    """The least determinant that concentration from many random starts finds."""
+    h, best = math.ceil(core * len(z)), math.inf
+    for _ in range(starts):
+        own = rng.choice(len(z), 6, replace=False)
+        for _ in range(30):
+            _, root = floored_logdet(z[own])
+            d = (np.linalg.solve(root, (z - z[own].mean(axis=0)).T) ** 2).sum(axis=0)
+            new = np.sort(np.argsort(d, kind="stable")[:h])
+            if len(new) == len(own) and (new == own).all():
+                break
+            own = new
+        best = min(best, floored_logdet(z[own])[0])
+    return best
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_least_determinant(spark, seed):
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(size=(4, 4)) * 900
+    z = np.round(rng.normal(size=(400, 4)) @ mix + [9000, 8000, 9000, 9000]).astype(int)
+    far = rng.choice(400, 80, replace=False)
+    z[far] += rng.integers(4000, 7000, 4) * rng.choice([-1, 1], 4)  # contamination in one place, which must not move the estimate
+    got = {r.level: r for r in quality.estimates(vectors(spark, "en", "s", z)).collect()}
+    want = fast_mcd(z, rng)
+    assert got[2].total == 400 and got[2].m0 == got[1].m0 == got[0].m0
+    assert abs(got[2].logdet - want) < 0.25
+    clean = np.delete(z, far, axis=0).mean(axis=0)
+    assert all(abs(got[2][f"m{i}"] - clean[i]) < 0.25 * np.abs(mix[:, i]).sum() for i in range(4))
     root = np.zeros((4, 4))
     for i, j in quality._PAIRS:
         root[i, j] = got[2][f"l{i}{j}"]
     y = np.linalg.solve(root, (z - np.array([got[2][f"m{i}"] for i in range(4)])).T)
-    found = quality._distance(rows.join(quality.estimates(rows).where("level = 2").drop("k1", "k2"))).select("d").toPandas().d
+    found = quality._distance(vectors(spark, "en", "s", z).crossJoin(quality.estimates(vectors(spark, "en", "s", z)).where("level = 2").drop("k1", "k2"))).select("d").toPandas().d
     assert np.allclose(sorted(found), sorted((y**2).sum(axis=0)))
 
 
+def test_every_group_has_its_estimate(spark, monkeypatch):
+    docs = runtime.table(spark, SF, "documents")
+    rows = quality.measured(docs, [docs["doc_id"]])
+    groups = rows.where("not base_failed and z0 is not null").select("lang", "source").distinct().count()
+    found = quality.estimates(rows)
+    assert groups > 70 and found.where("level = 2").count() == groups == quality.regularised(found).count()
+    leaning = quality.regularised(found).toPandas()
+    assert leaning.m0.round(3).nunique() > groups // 2  # none takes another's
+    whole = {r.row.doc_id: (r.kept, r.distance) for r in quality.judged(rows).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)  # by salted joins
+    assert whole == {r.row.doc_id: (r.kept, r.distance) for r in quality.judged(rows).collect()}
+
+
+def test_tiny_groups_lean_on_their_language(spark):
+    rng = np.random.default_rng(9)
+    z = np.abs(rng.normal([1500, 50, 50, 50], 40, (500, 4))).round()
+    rows = vectors(spark, "en", "big", z).unionByName(vectors(spark, "en", "one", [[1520, 60, 40, 50]])).unionByName(vectors(spark, "en", "odd", [[3900, 4000, 4000, 4000]]))
+    got = {(r.source, r.kept) for r in quality.judged(rows).collect()}
+    assert got == {("big", True), ("one", True), ("odd", False)}
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_query(spark, parts):
     rows = quality.quality(runtime.table(spark, SF, "documents").repartition(parts)).collect()
@@ -81,7 +143,7 @@ def test_cutoff_rejects_its_share_of_normal_data(spark):
     c = quality.CUTOFF
     assert abs(math.exp(-c / 2) * (1 + c / 2) - 0.001) < 1e-5  # chi-square with 4 degrees of freedom
     z = np.random.default_rng(3).normal([5000, 9000, 9000, 9000], np.array(quality.SPREAD) * 1.2, (20_000, 4)).round().astype(int)
-    rows = spark.createDataFrame([("en", "s", False, *map(int, v)) for v in z], "lang string, source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long")
+    rows = vectors(spark, "en", "s", z)
     assert 5 <= quality.judged(rows).where("not kept").count() <= 40
 
 
