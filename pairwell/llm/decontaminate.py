@@ -8,7 +8,10 @@ window of their own length and its only fingerprint.
 A fixed-size bitmap of the benchmark's fingerprints lets the documents' task drop nearly all of
 theirs before anything is shuffled; what it lets through, with the words around it, is joined with
 the benchmark's fingerprints by equality, and each match is extended word by word to both sides as
-far as a window can reach. Extended spans of at least a window are hits.
+far as a window can reach. Extended spans of at least a window are hits. Fingerprints that stand in
+the same words in several items are joined once, as one row with a set of items, so a passage of many
+items and many documents makes a row for each of its places; the items are put in at the end, once
+for each document and set.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .runtime import save, ship
+from .runtime import bitmap, drop, save, ship, without
 
 #: Up to so many rows of fingerprints the benchmark's side is broadcast (about 0.3 kB each).
 BROADCAST_ROWS = 100_000
@@ -111,16 +114,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, gram:
                 names=["item_id", "print", "length", "item_words"],
             )
 
-    bench = save(items.mapInArrow(item_prints, "item_id string, print long, length long, item_words array<long>").distinct())
-    short = sorted(r[0] for r in bench.where(F.col("length") < window).select("length").distinct().collect())
-    cells = bench.select(F.pmod("print", F.lit(1 << filter_bits)).alias("bit")).groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits"))
-    bitmap = np.zeros(1 << (filter_bits - 3), np.uint8)
-    for row in cells.collect():  # at most 2 ** (filter_bits - 3) rows
-        bitmap[row.cell] = row.bits
-    bitmap = spark.sparkContext.broadcast(bitmap)
+    found = items.mapInArrow(item_prints, "item_id string, print long, length long, item_words array<long>")
+    bench = found.groupBy("print", "length", "item_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    bench = save(bench.withColumn("items", F.md5(F.to_json("item_ids").cast("binary"))))
+    short = sorted(r[0] for r in bench.where(F.col("length") < window).select("length").distinct().collect())  # fewer than a window
+    listed_prints = spark.sparkContext.broadcast(bitmap(bench.select(F.pmod("print", F.lit(1 << filter_bits)).alias("bit")), filter_bits))
 
     def document_prints(batches):
-        listed, part, row = bitmap.value, TaskContext.get().partitionId() << 40, 0
+        listed, part, row = listed_prints.value, TaskContext.get().partitionId() << 40, 0
         cut = np.uint64((1 << filter_bits) - 1)
         for batch in wordhash.slices(batches, 1):
             hashes, offsets = wordhash.words(batch.column(1), wordhash.ALNUM)
@@ -146,11 +147,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, gram:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = save(rows.mapInArrow(document_prints, "row long, doc_id long, n_words long, hits array<struct<print:long,length:long,place:long,words:array<long>>>"))
 
-    side = bench.where("length is not null")
+    side = bench.select("print", "length", "items", "item_words")
     if bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    pairs = hits.join(side, ["print", "length"]).select("row", "item_id", "length", "place", "words", "item_words")
+    pairs = hits.join(side, ["print", "length"]).select("row", "items", "length", "place", "words", "item_words")
 
     def extend(batches):
         for batch in batches:
@@ -166,11 +167,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, gram:
             lo = np.where(whole, place, place - before)
             hi = np.where(whole, place + length, place + behind)
             ok = np.flatnonzero((behind >= core) & (hi - lo >= length))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(lo[ok], pa.int64()), pa.array(hi[ok], pa.int64())], names=["row", "item_id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(lo[ok], pa.int64()), pa.array(hi[ok], pa.int64())], names=["row", "items", "lo", "hi"])
 
-    spans = pairs.mapInArrow(extend, "row long, item_id string, lo long, hi long")
-    spans = save(spans.groupBy("row", "item_id", "lo").agg(F.max("hi").alias("hi")))
-    named = spans.where("item_id is not null").select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    spans = pairs.mapInArrow(extend, "row long, items string, lo long, hi long")
+    spans = save(spans.groupBy("row", "items", "lo").agg(F.max("hi").alias("hi")))
+    sets = bench.select("items", "item_ids").dropDuplicates(["items"])
+    named = spans.select("row", "items").distinct().join(sets, "items").select("row", F.explode("item_ids").alias("item_id"))
+    named = named.distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     union = "aggregate(spans, named_struct('n', 0L, 'to', 0L), (acc, s) -> named_struct('n', acc.n + greatest(0L, s.hi - greatest(s.lo, acc.to)), 'to', greatest(acc.to, s.hi)), acc -> acc.n)"
     covered = spans.groupBy("row", "lo").agg(F.max("hi").alias("hi")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")).select("row", F.expr(union).alias("n_hit"))
     out = rows.select("row", "doc_id", "n_words").join(covered, "row", "left").join(named, "row", "left")
@@ -180,7 +183,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, gram:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with their columns; each by its text, whatever its id."""
-    keyed = docs.select(F.xxhash64(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
-    gone = contamination(keyed, items, **options).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs[text_col]) == gone["_gone"], "left_anti")
+    """The rows of docs that aren't contaminated, with their columns; each by (a hash of) its text, whatever its id.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty one;
+    columns of any name are kept.
+    """
+    key = F.xxhash64(docs[text_col])
+    found = contamination(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), items, **options)
+    return without(docs, [key], save(found.where("contaminated").select("doc_id").distinct()))

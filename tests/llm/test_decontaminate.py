@@ -85,3 +85,18 @@ def test_clean_documents_by_row(spark):
     items = spark.createDataFrame([("i", bad)], "item_id string, text string")
     kept = decontaminate.clean_documents(docs, items)
     assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.where("text is null or text like 'g%'").collect(), key=str)
+
+
+def test_a_passage_of_many_items(spark):
+    common = " ".join(f"c{i}" for i in range(40))
+    items = [(i, f"a{i} b{i} {common} z{i}") for i in range(30)] + [(7, common)]
+    docs = [(k, f"x{k} y{k} {common if k % 2 else ''} {items[k][1] if k % 3 == 0 else ''}") for k in range(24)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in found} == {i: brute(t, items) for i, t in docs}
+
+
+def test_clean_documents_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, "x", 1), (1, "", "y", 2), (None, "w " * 50, None, None)], "doc_id long, text string, row string, _gone int")
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    assert decontaminate.clean_documents(docs, items).count() == 3 and decontaminate.clean_documents(docs.limit(0), items).columns == docs.columns
+    assert decontaminate.clean_documents(docs, items.limit(0)).count() == 3
