@@ -6,7 +6,9 @@ cut to one of the lengths that rule paths have. Each possible rule is hashed onc
 hash picks a 64-bit block, three others pick bits in it. The filter is a table of at most `blocks`
 rows, which bounds what is broadcast whatever the list's length; a longer list only lets more false
 positives through to the join. (host, path) pairs with a passing candidate are made distinct, joined
-to the list by equality, and the longest rule is taken; its verdict goes back to the pages.
+to the list by equality, and the longest rule is taken; its verdict goes back to the pages. Pairs
+that hold more than a thousandth of all pages, of which there can't be a thousand, go back by a
+broadcast, so no common url lands in one task.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import save
 
-#: The distinct lengths of rule paths are looked up by the driver; more than this many are an error.
+#: Up to so many distinct lengths of rule paths are tried one by one; of more, all from the least to the greatest.
 MAX_LENGTHS = 256
+#: A (host, path) is common if it has more than one in so many pages.
+COMMON = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -38,6 +43,28 @@ def _block(h: Column, blocks: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 20), F.lit(blocks))
 
 
+def _starts(lengths: list[int]) -> Column:
+    """The path cut to each of the lengths of rule paths (or to more) that it has."""
+    if len(lengths) <= MAX_LENGTHS:
+        tried = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
+    else:
+        most = F.least(F.length("path"), F.lit(lengths[-1]))
+        tried = F.when(most >= lengths[0], F.sequence(F.lit(lengths[0]), most)).otherwise(F.array().cast("array<int>"))
+    return F.transform(tried, lambda n: F.substring("path", F.lit(1), n))
+
+
+def candidates(pairs: DataFrame, rules: DataFrame, lengths: list[int], blocks: int) -> DataFrame:
+    """host, path, n, c_host, c_path: possible rules (rules: r_host, r_path) of (host, path) pairs that pass the filter."""
+    hashed = rules.select(F.xxhash64("r_host", "r_path").alias("h"))
+    bloom = hashed.groupBy(_block(F.col("h"), blocks).alias("block")).agg(F.bit_or(_bits(F.col("h"))).alias("mask"))
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
+    tried = pairs.select("host", "path", "n", F.explode(suffixes).alias("c_host"), _starts(lengths).alias("starts"))
+    tried = tried.select("host", "path", "n", "c_host", F.explode("starts").alias("c_path"))
+    tried = tried.withColumn("h", F.xxhash64("c_host", "c_path")).withColumn("block", _block(F.col("h"), blocks))
+    passed = tried.join(F.broadcast(bloom), "block").where(F.col("mask").bitwiseAND(_bits(F.col("h"))) == _bits(F.col("h")))
+    return passed.select("host", "path", "n", "c_host", "c_path")
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", blocks: int = 1 << 16) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages.
 
@@ -49,26 +76,21 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     host, path = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     pages = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).na.fill("", ["r_host", "r_path"])
-    rules = rules.withColumn("h", F.xxhash64("r_host", "r_path"))
-    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_LENGTHS} lengths")
+    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())  # as many as the longest path is long
     if not lengths:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    bloom = rules.groupBy(_block(F.col("h"), blocks).alias("block")).agg(F.bit_or(_bits(F.col("h"))).alias("mask"))
-
-    pairs = pages.select("host", "path").where(F.col("host") != "").distinct()
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
-    starts = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n)))
-    tried = pairs.select("host", "path", F.explode(suffixes).alias("c_host"), starts.alias("starts"))
-    tried = tried.select("host", "path", "c_host", F.explode("starts").alias("c_path"))
-    tried = tried.withColumn("h", F.xxhash64("c_host", "c_path")).withColumn("block", _block(F.col("h"), blocks))
-    passed = tried.join(F.broadcast(bloom), "block").where(F.col("mask").bitwiseAND(_bits(F.col("h"))) == _bits(F.col("h")))
-
-    exact = passed.select("host", "path", "c_host", "c_path").join(rules, (F.col("c_host") == F.col("r_host")) & (F.col("c_path") == F.col("r_path")))
+    pairs = pages.where(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("n"))
+    fits = (F.col("c_host") == F.col("r_host")) & (F.col("c_path") == F.col("r_path"))
+    exact = candidates(pairs, rules, lengths, blocks).join(rules, fits)
     rule = F.concat("r_host", "r_path")
-    judged = exact.groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), F.col("r_verdict").alias("v"))).alias("best"))
-    judged = judged.select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), F.col("best.rule").alias("rule"), F.col("best.v").alias("v"))
-    found = pages.join(judged, (F.col("host") == F.col("j_host")) & (F.col("path") == F.col("j_path")), "left")
+    judged = exact.groupBy("host", "path").agg(F.first("n").alias("n"), F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), F.col("r_verdict").alias("v"))).alias("best"))
+    judged = save(judged.select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), "n", F.col("best.rule").alias("rule"), F.col("best.v").alias("v")))
+
+    common = judged.where(COMMON * F.col("n") > pages.count()).drop("n")  # fewer than COMMON rows
+    same = (F.col("host") == F.col("j_host")) & (F.col("path") == F.col("j_path"))
+    tried = pages.join(F.broadcast(common), same, "left")
+    known = (F.col("host") == "") | F.col("j_host").isNotNull()
+    rest = tried.where(~known).select("page_id", "host", "path").join(judged.drop("n"), same, "left")
+    found = tried.where(known).unionByName(rest)
     return found.select("page_id", "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))

@@ -1,5 +1,7 @@
 """op7 against brute force, and its filter's false positives."""
 
+from pyspark.sql import functions as F
+
 from pairwell.llm import url_filter
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.b", "", "block")]
@@ -31,3 +33,23 @@ def test_empty(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     assert [tuple(r) for r in url_filter.url_verdicts(pages, rules).collect()] == [(1, "a.net", "/", None, "allow")]
     assert url_filter.url_verdicts(pages.limit(0), spark.createDataFrame(RULES, rules.schema)).count() == 0
+
+
+def test_false_positives_pass_the_filter_and_not_the_join(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 97}.d{i}.net/p{i % 7}/x") for i in range(400)] + [(1000 + i, "http://hot.org/a") for i in range(50)], "page_id long, url string")
+    listed = [(f"d{i}.net", f"/p{i % 5}/", "block") for i in range(0, 400, 3)] + [("hot.org", "/", "allow")]
+    rules = spark.createDataFrame(listed, "host string, path string, verdict string")
+    pairs = pages.select(*[c.alias(n) for c, n in zip(url_filter.host_and_path(F.col("url")), ("host", "path"), strict=True)], F.lit(1).alias("n")).distinct()
+    renamed = rules.toDF("r_host", "r_path", "v").select("r_host", "r_path")
+    few, many = (url_filter.candidates(pairs, renamed, [1, 4], blocks).select("c_host", "c_path").distinct() for blocks in (2, 1 << 16))
+    exact = {(h, p) for h, p, _ in listed}
+    assert few.count() > many.count() >= len(exact & set(map(tuple, many.collect())))
+    found = {r.page_id: r.rule for r in url_filter.url_verdicts(pages, rules, blocks=2).collect()}
+    assert found == {i: f"d{i}.net/p{i % 5}/" if i % 3 == 0 and i % 7 == i % 5 else None for i in range(400)} | {1000 + i: "hot.org/" for i in range(50)}
+
+
+def test_any_number_of_path_lengths(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LENGTHS", 1)
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)], "page_id long, url string, host string, rule string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert {r[0]: tuple(r[1:]) for r in url_filter.url_verdicts(pages, rules).collect()} == {i: brute(u) for i, u in enumerate(URLS)}
