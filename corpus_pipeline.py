@@ -41,7 +41,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, applied to documents."""
-    docs = runtime.table(spark, sf_dir, "documents")
+    docs, before = runtime.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = runtime.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            runtime.drop(before)
+        before = docs
     return docs
