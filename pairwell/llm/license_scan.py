@@ -2,9 +2,10 @@
 
 Texts and templates become words; all rolling k-grams of the texts are hashed and joined with the
 templates' k-grams. A match votes for the diagonal (text place minus template place) of its template.
-Votes are summed by diagonal, neighbouring diagonals (an insertion or deletion shifts a diagonal by a
-few words) are merged into spans, and spans are verified: which words of the template their matches
-cover. k is 3, or 2 for templates of two words. Phrases are templates too; a place of a phrase is a
+Votes are summed by diagonal; diagonals in order, each at most `drift` words (and less than the
+template's length) behind the one before, are merged into spans, since an insertion or deletion shifts
+a diagonal by a few words. Neighbouring diagonals overlap in the text, so a stray vote between them
+changes nothing. Spans are verified: which words of the template their matches cover. k is 3, or 2 for templates of two words. Phrases are templates too; a place of a phrase is a
 diagonal on which all its k-grams voted.
 
 Only DataFrame functions are used. Templates are a parameter, bounded in number and length, which
@@ -100,11 +101,10 @@ def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, templates
     every = F.col("places") == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t_size") - F.col("k") + 1) - 1
     exact = votes.where("phrase").where(every).select("row", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("t_size")).alias("end"), F.lit(1.0).alias("score"))
 
-    by_place = Window.partitionBy("row", "template").orderBy("lo", "diagonal")
-    # a new span starts where places lie apart, or the diagonal moves by more than `drift`
-    apart = (F.col("lo") - F.lag("hi").over(by_place) > F.col("t_size")) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by_place)) > drift)
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > F.least(F.lit(drift), F.col("t_size") - 1)
     loose = votes.where("not phrase").withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
-    loose = loose.withColumn("band", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    loose = loose.withColumn("band", F.sum("new").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0)))
     merged = loose.groupBy("row", "label", "phrase", "template", "k", "t_size", "band").agg(F.bit_or("places").alias("places"), F.min("lo").cast("int").alias("start"), (F.max("hi") + F.col("k")).cast("int").alias("end"))
     shifted = lambda n: F.call_function("shiftleft", F.col("places"), F.lit(n))
     covered = F.col("places").bitwiseOR(shifted(1)).bitwiseOR(F.when(F.col("k") == 3, shifted(2)).otherwise(F.lit(0).cast("long")))
@@ -124,3 +124,28 @@ def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, templates
     filled = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in filled.items()})
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
+def oracle() -> str:
+    """scan() without spans as DuckDB SQL over documents, for PHRASES and TEMPLATES."""
+    grams = []
+    for n, (text, label) in enumerate([*PHRASES, *TEMPLATES]):
+        w = text.split()
+        k = min(K, len(w))
+        grams += [f"({n}, '{label}', {n < len(PHRASES)}, {k}, {len(w)}, {t}, '{' '.join(w[t : t + k])}')" for t in range(len(w) - k + 1)]
+    return rf"""
+WITH listed(template, label, phrase, k, t_size, t_place, g) AS (VALUES {', '.join(grams)}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT r, k, i - 1 AS place, array_to_string(w[i : i + k - 1], ' ') AS g FROM docs, (VALUES (2), (3)) AS sizes(k), unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+hits AS (SELECT r, template, label, phrase, listed.k, t_size, t_place, place - t_place AS diagonal FROM grams JOIN listed ON grams.k = listed.k AND grams.g = listed.g),
+exact AS (SELECT r, label, diagonal AS start FROM hits WHERE phrase GROUP BY r, label, template, diagonal, t_size, k HAVING count(DISTINCT t_place) = t_size - k + 1),
+diagonals AS (SELECT DISTINCT r, template, t_size, diagonal FROM hits WHERE NOT phrase),
+marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= least(3, t_size - 1) THEN 0 ELSE 1 END AS new FROM diagonals),
+bands AS (SELECT r, template, diagonal, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS band FROM marked),
+found AS (SELECT r, label, count(DISTINCT t_place + j) / t_size AS score FROM hits JOIN bands USING (r, template, diagonal), unnest(range(0, k)) AS t(j) GROUP BY r, template, label, t_size, band HAVING count(DISTINCT t_place + j) / t_size >= 0.7),
+base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM exact GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT r, label, score FROM found UNION ALL SELECT r, label, 1.0 FROM exact) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+"""
