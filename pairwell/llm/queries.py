@@ -19,8 +19,21 @@ TOOLS = {
 }
 
 
+def with_calls(messages: DataFrame) -> DataFrame:
+    """Conversations with tool calls: every assistant's turn t calls c<t>, which depends on c<t - 2>, and d<t>, which depends on c<t>; a user's turn from the third on is the result of c<t - 1>."""
+    turn, text = F.col("turn"), F.col("text")
+    name = lambda letter, at: F.concat(F.lit(letter), at.cast("string"))
+    search = F.struct(name("c", turn).alias("id"), F.lit("search").alias("name"), F.to_json(F.struct(F.substring(text, 1, 40).alias("query"), (turn - 1).alias("limit"))).alias("arguments"), F.array(name("c", turn - 2)).alias("depends_on"))
+    length = F.concat(F.length(text).cast("string"), F.lit("*2"))
+    calculate = F.struct(name("d", turn).alias("id"), F.lit("calculate").alias("name"), F.to_json(F.struct(length.alias("expression"))).alias("arguments"), F.array(name("c", turn)).alias("depends_on"))
+    call = F.to_json(F.struct(text.alias("content"), F.array(search, calculate).alias("tool_calls")))
+    result = F.to_json(F.struct(text.alias("content"), name("c", turn - 1).alias("tool_call_id")))
+    said = F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (turn > 1), result).otherwise(text)
+    return messages.select("conv_id", "turn", "role", said.alias("text"))
+
+
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tool_calls.linked_messages(runtime.table(spark, sf_dir, "conversations"), TOOLS)
+    found = tool_calls.linked_messages(with_calls(runtime.table(spark, sf_dir, "conversations")), TOOLS)
     return found.withColumn("message_sha256", F.sha2(F.col("message"), 256)).drop("message")
 
 
@@ -68,6 +81,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_private_data, op3_license_scan, op4_ngram_jaccard, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate)}
 
 ORACLE = {
+    "op1_tool_calls": r"""
+WITH turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS place FROM conversations WHERE role = 'assistant'),
+called AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn - 2 * place ORDER BY turn) - 1 AS level FROM turns),
+answered AS (SELECT conv_id, turn - 1 AS turn, turn AS result_turn FROM conversations WHERE role = 'user' AND turn > 1),
+said AS (SELECT m.conv_id, m.turn, role, text, level, result_turn, CAST(to_json(text) AS VARCHAR) AS content, CASE WHEN m.turn < 2 THEN '$.limit: out of bounds' WHEN text = '' THEN '$.query: wrong length' END AS error
+  FROM conversations m LEFT JOIN called c ON m.conv_id = c.conv_id AND m.turn = c.turn LEFT JOIN answered a ON m.conv_id = a.conv_id AND m.turn = a.turn),
+linked AS (SELECT s.*, CASE WHEN role = 'user' AND s.turn > 1 THEN CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END END AS link FROM said s LEFT JOIN called c ON s.conv_id = c.conv_id AND s.turn - 1 = c.turn)
+SELECT conv_id, turn, role, CAST(CASE WHEN role = 'assistant' THEN 2 ELSE 0 END AS BIGINT) AS n_calls, CAST(CASE WHEN role <> 'assistant' THEN 0 WHEN error IS NULL THEN 2 ELSE 1 END AS BIGINT) AS n_valid,
+  CAST(CASE WHEN role = 'assistant' AND result_turn IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_linked, CASE WHEN role = 'assistant' THEN level + 1 END AS max_level, link,
+  sha256('{"content":' || content || CASE WHEN role = 'assistant' THEN ',"role":"assistant","tool_calls":[{"arguments":{"limit":' || (turn - 1) || ',"query":' || CAST(to_json(substr(text, 1, 40)) AS VARCHAR) || '},' || coalesce('"error":"' || error || '",', '') || '"id":"c' || turn || '","level":' || level || ',"name":"search","result_turn":' || coalesce(CAST(result_turn AS VARCHAR), 'null')
+      || '},{"arguments":{"expression":"' || length(text) || '*2"},"id":"d' || turn || '","level":' || (level + 1) || ',"name":"calculate","result_turn":null}]}'
+    WHEN link IS NOT NULL THEN ',"link":"' || link || '","role":"user","tool_call_id":"c' || (turn - 1) || '"}' ELSE ',"role":"' || role || '"}' END) AS message_sha256
+FROM linked
+""",
     "op3_license_scan": license_scan.oracle(),
     "op7_url_filter": r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),

@@ -6,22 +6,34 @@ optional `content`. Anything else is plain text.
 
 Calls and results are reduced to the first of each (conversation, identifier) before they are joined
 by equality, so repeated identifiers never multiply. Calls are ordered by levels: a call's level is
-one more than the highest of those it depends on; a round resolves the calls whose dependencies are
-resolved, and what no round resolves is a cycle. Arguments are checked against a subset of JSON
+one more than the highest of those it depends on. Chains of calls with one dependency each are
+shortened by pointer doubling, so a chain of n calls takes log n rounds; then a round resolves the
+calls with several dependencies of which all are resolved. What no round resolves is a cycle. Arguments are checked against a subset of JSON
 Schema. Messages are written as canonical JSON: sorted keys, no spaces, shortest numbers, NFC-free
 text as it is. All is by message; no conversation is gathered in one place.
+
+What can't be read as JSON stays plain text: objects with numbers beyond doubles, or nested deeper
+than MOST_DEPTH. Halves of surrogate pairs in them become U+FFFD.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import save, ship
+from . import wordhash
+from .runtime import drop, save, ship
+
+#: Levels of nesting of a JSON text.
+MOST_DEPTH = 200
+#: Bytes of messages in Python at a time, about.
+SLICE = 4 << 20
+_HALF = re.compile("[\ud800-\udfff]")
 
 _CALL = "struct<at:long,id:string,name:string,arguments:string,error:string,depends_on:array<string>>"
 # The keywords that violation() checks, and those that only describe.
@@ -51,7 +63,7 @@ def violation(value, schema: dict, at: str = "$") -> str | None:
     if kinds is not None:
         kinds = kinds if isinstance(kinds, list) else [kinds]
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if not any(number and (k == "number" or float(value).is_integer()) if k in ("number", "integer") else isinstance(value, _TYPES.get(k, ())) for k in kinds):
+        if not any(number and (k == "number" or isinstance(value, int) or value.is_integer()) if k in ("number", "integer") else isinstance(value, _TYPES.get(k, ())) for k in kinds):
             return f"{at}: not {' or '.join(kinds)}"
     if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) or "const" in schema and canonical(value) != canonical(schema["const"]):
         return f"{at}: not an allowed value"
@@ -96,17 +108,49 @@ def known(schema: dict, at: str = "$") -> None:
         known(schema["additionalProperties"], f"{at}.*")
 
 
+def _number(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("a number beyond doubles")
+    return value
+
+
+def parsed(text: str):
+    """The value of a JSON text; raises ValueError for what isn't one (see the module)."""
+    depth = most = 0
+    for c in re.findall(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', text, re.S):
+        depth += (c in "[{") - (c in "]}")
+        most = max(most, depth)
+    if most > MOST_DEPTH:
+        raise ValueError("nested too deep")
+    value = json.loads(text, parse_float=_number, parse_constant=_number)
+
+    def whole(x):
+        if isinstance(x, str):
+            return _HALF.sub("\ufffd", x)
+        if isinstance(x, dict):
+            return {whole(k): whole(v) for k, v in x.items()}
+        return [whole(v) for v in x] if isinstance(x, list) else x
+
+    return whole(value) if "\\u" in text else value
+
+
 def _object(text: str | None) -> dict:
     """The JSON object that a text is, or an empty one."""
     if not text or not text.lstrip().startswith("{"):
         return {}
     try:
-        found = json.loads(text, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
-    except (ValueError, RecursionError):
+        found = parsed(text)
+    except ValueError:
         return {}
     return found if isinstance(found, dict) else {}
 
 
+def _id(value) -> str | None:
+    """An identifier as text: a string itself, anything else as canonical JSON."""
+    return value if value is None or isinstance(value, str) else canonical(value)
+
+
 def read_message(text: str | None, tools: dict[str, dict]) -> tuple[str | None, list[dict], str | None]:
     """Content, calls and the id that the message is a result of."""
     found = _object(text)
@@ -118,43 +162,74 @@ def read_message(text: str | None, tools: dict[str, dict]) -> tuple[str | None,
             raw, error = c.get("arguments", {}), None
             if isinstance(raw, str):
                 try:
-                    raw = json.loads(raw)
-                except (ValueError, RecursionError):
-                    raw, error = c["arguments"], "$: not JSON"
+                    raw = parsed(raw)
+                except ValueError:
+                    error = "$: not JSON"
             name = c.get("name") if isinstance(c.get("name"), str) else None
             if error is None:
                 error = "unknown tool" if name not in tools else violation(raw, tools[name])
-            try:
-                arguments = canonical(raw)
-            except ValueError:
-                arguments, error = "null", "$: not JSON"
             needs = c.get("depends_on")
-            calls.append({"at": at, "id": None if c.get("id") is None else str(c["id"]), "name": name, "arguments": arguments, "error": error, "depends_on": sorted({str(x) for x in needs}) if isinstance(needs, list) else []})
+            needs = sorted({_id(x) for x in needs if x is not None}) if isinstance(needs, list) else []
+            calls.append({"at": at, "id": _id(c.get("id")), "name": name, "arguments": canonical(raw), "error": error, "depends_on": needs})
     result = found.get("tool_call_id") if not calls else None
     if not calls and result is None:
         return text, [], None
     content = found.get("content")
-    return (content if content is None or isinstance(content, str) else canonical(content)), calls, None if result is None else str(result)
+    return (content if content is None or isinstance(content, str) else canonical(content)), calls, _id(result)
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv, id and level of the first call of each identifier; null on and behind cycles."""
-    nodes = calls.select("conv", "id")
-    edges = calls.select("conv", "id", F.explode("depends_on").alias("dep")).join(nodes.select("conv", F.col("id").alias("dep")), ["conv", "dep"])
-    edges, waiting, done, level = save(edges), save(nodes), [], 0
-    while waiting.limit(1).count():
-        now = save(waiting.join(edges.select("conv", "id").distinct(), ["conv", "id"], "left_anti"))
-        if not now.limit(1).count():
+    """conv, id and level of the first call (conv, id, depends_on) of each identifier; null on and behind cycles; saved."""
+    key = ["conv", "id"]
+    nodes = calls.select(*key)
+    edges = save(calls.select(*key, F.explode("depends_on").alias("dep")).join(nodes.select("conv", F.col("id").alias("dep")), ["conv", "dep"]))
+    degrees = edges.groupBy(*key).agg(F.count("*").alias("needs"), F.min("dep").alias("dep"))
+    steps = save(degrees.where("needs = 1").select(*key, F.col("dep").alias("to"), F.lit(1).cast("long").alias("far")))
+    chained = steps.count()
+    for _ in range(chained.bit_length() + 1):  # a longer way leads round a cycle
+        next_ = steps.select("conv", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        joined = steps.join(next_, ["conv", "to"], "left")
+        moved = save(joined.select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNotNull().alias("moved")))
+        drop(steps)
+        steps = moved
+        if moved.where("moved").isEmpty():
             break
-        done.append(now.withColumn("level", F.lit(level).cast("long")))
-        edges = save(edges.join(now.select("conv", F.col("id").alias("dep")), ["conv", "dep"], "left_anti"))
-        waiting, level = save(waiting.join(now, ["conv", "id"], "left_anti")), level + 1
-    out = waiting.withColumn("level", F.lit(None).cast("long"))
-    for part in done:
-        out = out.unionByName(part)
+    # ways that end: where a call has no dependency, or several
+    ends = save(steps.join(steps.select("conv", F.col("id").alias("to")), ["conv", "to"], "left_anti").select(*key, "to", "far"))
+    several = degrees.where("needs > 1").select(*key, "needs")
+    direct = edges.join(several, key).select("conv", F.col("dep").alias("at"), F.col("id").alias("user"), "needs")
+    over = ends.select("conv", F.col("id").alias("at"), "to", "far")
+    ways = direct.join(over, ["conv", "at"], "left").select("conv", F.col("user").alias("id"), "needs", F.coalesce("to", "at").alias("to"), F.coalesce("far", F.lit(0)).alias("far"))
+    ways = save(ways)
+    levels = [save(nodes.join(degrees, key, "left_anti").withColumn("level", F.lit(0).cast("long")))]
+    while not ways.isEmpty():
+        known = levels[-1].select("conv", F.col("id").alias("to"), "level")
+        tried = ways.join(known, ["conv", "to"]).groupBy(*key, "needs").agg(F.count("*").alias("found"), F.max(F.col("level") + F.col("far")).alias("below"))
+        new = tried.where("found = needs").select(*key, (F.col("below") + 1).alias("level"))
+        new = save(new.unionByName(levels[-1]))  # all that is known so far
+        left = save(ways.join(new, key, "left_anti"))
+        settled = new.count() == levels[-1].count()
+        drop(levels.pop(), ways)
+        levels.append(new)
+        ways = left
+        if settled:
+            break
+    known = levels[0].select("conv", F.col("id").alias("to"), F.col("level").alias("base"))
+    chain = ends.join(known, ["conv", "to"]).select(*key, (F.col("base") + F.col("far")).alias("level"))
+    found = levels[0].unionByName(chain)
+    out = save(nodes.join(found, key, "left").select(*key, "level"))
+    drop(edges, steps, ends, ways, levels[0])
     return out
 
 
+def _pieces(batches):
+    """Batches in pieces of about SLICE bytes."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def linked_messages(messages: DataFrame, tools: dict[str, dict], *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, n_calls, n_valid, n_linked, max_level, link and message of every row.
 
@@ -173,7 +248,7 @@ def linked_messages(messages: DataFrame, tools: dict[str, dict], *, conv_col: st
     ship(spark)
 
     def read(batches):
-        for batch in batches:
+        for batch in wordhash.slices(batches, 4, SLICE):
             content, calls, results = zip(*(read_message(t, tools) for t in batch.column(4).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             kind = pa.list_(pa.struct([("at", pa.int64()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("error", pa.string()), ("depends_on", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(content, pa.string()), pa.array(calls, kind), pa.array(results, pa.string())], names=["row", "conv", "turn", "role", "content", "calls", "result_of"])
@@ -197,7 +272,7 @@ def linked_messages(messages: DataFrame, tools: dict[str, dict], *, conv_col: st
     whole = rows.join(per_message, "row", "left").join(of_results, "row", "left")
 
     def write(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             texts, valid = [], []
             for m in batch.to_pylist():
                 out = {"role": m["role"], "content": m["content"]}

@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 
 from pairwell.llm import queries, tool_calls
@@ -78,8 +79,43 @@ def test_canonical(value, text):
 
 
 def test_query(spark):
-    rows = queries.op1_tool_calls(spark, "/root/testdata/sf0.001").collect()
-    assert rows and all(len(r.message_sha256) == 64 for r in rows)
+    folder = "/root/testdata/sf0.01"
+    rows = queries.op1_tool_calls(spark, folder).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    cursor = con.execute(queries.ORACLE["op1_tool_calls"])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(rows[0].__fields__)
+    assert sorted((tuple(r[c] for c in names) for r in rows), key=str) == sorted(map(tuple, cursor.fetchall()), key=str)
+    assert sum(r.n_calls for r in rows) > 400 and sum(r.n_linked for r in rows) > 100 and max(r.max_level or 0 for r in rows) > 3
+
+
+def test_what_used_to_crash(spark):
+    call = lambda arguments: '{"tool_calls":[{"id":"a","name":"add","arguments":' + arguments + "}]}"
+    deep = lambda n: "[" * n + "]" * n
+    texts = [
+        call('{"a":' + "9" * 400 + "}"), call('{"a":' + "9" * 5000 + "}"), call('{"a":' + deep(5000) + "}"), call('{"a":' + deep(50) + "}"), call('"' + deep(5000) + '"'), call('{"a":1e999}'), call('{"a":NaN}'),
+        '{"tool_call_id":"a","content":[1e999]}', '{"tool_call_id":"a","content":"x\\ud800y"}', '{"tool_call_id":{"b":1},"content":"\\ud83d\\ude00"}', '{"tool_calls":[{"id":{"b":1},"name":"add","arguments":{"a":1}}]}', call('{"a":1,"\\udfff":2}'), '{"a":' * 100_000,
+    ]
+    data = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    rows = sorted(tool_calls.linked_messages(data, TOOLS).collect())
+    assert [r.n_calls for r in rows] == [1, 0, 0, 1, 1, 0, 0, 0, 0, 0, 1, 1, 0]
+    assert [r.n_valid for r in rows] == [1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0]
+    said = [json.loads(r.message) for r in rows]
+    assert said[0]["tool_calls"][0]["arguments"]["a"] == int("9" * 400) and said[4]["tool_calls"][0]["error"] == "$: not JSON"
+    assert all(said[i] == {"content": texts[i], "role": "assistant"} for i in (1, 2, 5, 6, 7, 12))
+    assert said[8]["content"] == "x\ufffdy" and said[9]["content"] == "\U0001f600" and said[9]["tool_call_id"] == said[10]["tool_calls"][0]["id"] == '{"b":1}'
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    call = lambda i, *d: {"id": str(i), "name": "add", "arguments": {"a": 1}, "depends_on": list(map(str, d))}
+    calls = [call(0)] + [call(i, i - 1) for i in range(1, 120)] + [call("m", 119, 50), call("n", "m"), call("o", "n", "m")] + [call("x", "z"), call("y", "x"), call("z", "y"), call("w", "x", 3), call("v", "z")]
+    saves, plain = [], tool_calls.save
+    monkeypatch.setattr(tool_calls, "save", lambda df: saves.append(1) or plain(df))
+    data = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls}))], "conv_id long, turn long, role string, text string")
+    (row,) = tool_calls.linked_messages(data, TOOLS).collect()
+    assert [c["level"] for c in json.loads(row.message)["tool_calls"]] == [*range(120), 120, 121, 122, None, None, None, None, None]
+    assert len(saves) < 30
 
 
 @pytest.mark.parametrize("schema", [{"pattern": "x"}, {"properties": {"a": {"anyOf": []}}}, {"items": {"$ref": "#"}}, {"additionalProperties": {"multipleOf": 2}}, {"type": "int"}])
