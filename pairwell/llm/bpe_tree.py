@@ -11,7 +11,8 @@ outside are proven stable:
   pair of neighbouring tokens is the encoding of the pair's bytes. The window grows, token by token
   and doubling, until the pairs at its edges pass that test.
 
-Decoding concatenates bytes up the same tree. Leaves are encoded by the tokenizer library.
+Decoding concatenates bytes up the same tree. Leaves, some twenty words or a long word's 64 bytes, are
+encoded by the tokenizer library.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class TreeBPE:
     """Encoder and decoder; leaf_chars and leaf_bytes bound what a leaf of the tree holds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 8192, leaf_bytes: int = 4096):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 128, leaf_bytes: int = 64):
         import regex
         import tiktoken
 
