@@ -7,7 +7,10 @@ characters that it read:
 1. characters: digits of any script, full-width and styled letters, and look-alikes of Latin letters
    become ASCII; invisible characters are deleted;
 2. phrases: `[at]`, `(dot)`, ` at ` ... ` dot `, digits and dots spelled between others, `plus`
-   before digits.
+   before digits, and O, o, l and I that stand for digits among digits.
+
+Look-alikes are the fixed letters below and what Unicode's names and one-character forms tell; spelled
+numbers are digits of four languages and English ones to 99. Others are not undone.
 
 The detectors then run on the normalised text and their spans are mapped back. Only spans in which
 something was rewritten, and that overlap no base span of their kind or hold it whole, are added; a
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,15 +32,23 @@ from .runtime import ship
 
 KINDS = ("email", "ip", "card", "phone")
 
-# Cyrillic and Greek letters that look like Latin ones.
-LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаесіјорѕухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABESIJKMHOPCTYXaecijopsyxdqwABEZHIKMNOPTYXoav", strict=True))
+# Letters that look like Latin ones (Greek, Cyrillic, Armenian, Cherokee, phonetic Latin).
+LOOKALIKES = dict(
+    zip(
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγηικνορτυχϲϳ" + "АВЕЅІЈКМНОРСТУХЅԌԚԜаесіјкорѕухһӏԁԛԝүѵ" + "ӀԼՕՍհոսօցզյ" + "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ" + "ıȷɑɡɩɪʋʏſꞮ",
+        "ABEZHIKMNOPTYXaynikvoptuxcj" + "ABESIJKMHOPCTYXSGQWaecijkopsyxhldqwyv" + "lLOUhnuogqj" + "ABCDEGHJKLMPRSTVWZ" + "ijagiivysI",
+        strict=True,
+    )
+)
 # What hides between characters.
 INVISIBLE = "­​‌‍⁠﻿"
-# Spelled digits, English, German, French, Spanish.
+# Spelled digits, English, German, French, Spanish; English numbers to 99.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
+    "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
@@ -101,6 +113,8 @@ def _characters() -> tuple[dict[int, str], frozenset[str]]:
         c = chr(code)
         if (d := unicodedata.decimal(c, None)) is not None:
             table[code] = str(d)
+        elif (small := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(small) == 28:
+            table.setdefault(code, small[-1].lower())
         elif len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c and n.isascii() and not n.isspace():
             table[code] = n
     return table, frozenset(map(chr, table)) | frozenset(INVISIBLE)
@@ -109,6 +123,8 @@ def _characters() -> tuple[dict[int, str], frozenset[str]]:
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _AT, _DOT = r"at|arobase|arroba|klammeraffe", r"dot|punkt|point|punto"
 _ATOM = r"[A-Za-z0-9_%+-]+"
+_ATOM_HERE = re.compile(_ATOM)
+_BEFORE = re.compile(r"[A-Za-z0-9_%+-]*\Z")
 _SPELLED = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: Disguised @ and dots; which of the bare words count is decided by what stands around them.
 _SIGNS = re.compile(rf"(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE})|(?P<dot>{_OPEN}(?:{_DOT}|\.){_CLOSE})|(?P<bareat>(?<=[A-Za-z0-9_%+-])\s{{1,3}}(?:{_AT})\s{{1,3}}(?=[A-Za-z0-9]))|(?P<baredot>(?<=[A-Za-z0-9_%+-])\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=[A-Za-z0-9]))", re.I)
@@ -118,7 +134,12 @@ _NUMBERS = re.compile(rf"(?<!\w)(?:plus\s+{_ITEM}|{_ITEM}(?=[\s,.()-]))(?:[\s,.(
 _WORD = re.compile(r"[^\W0-9]")
 _NUMBER_WORDS = re.compile(rf"(?P<digit>{_SPELLED})|(?P<dot>\s*(?:{_DOT})\s*)|(?P<plus>plus\s+)|(?P<gap>[\s,]+)", re.I)
 _LONE = re.compile(rf"[\s,.()-]*(?:{_SPELLED})[\s,.()-]*", re.I)
-_TAIL = r"[A-Za-z]{2,24}"
+_LABEL = re.compile(r"(?:^|[^A-Za-z0-9-])([A-Za-z]{2,24})\Z")
+_ODD = re.compile(r"[0-9._]")
+_UNIT = re.compile(r"[\s-]{1,3}(?=(?:one|two|three|four|five|six|seven|eight|nine)\b)", re.I)
+#: Digits with letters that stand for some.
+_LETTERED = re.compile(r"(?<![\w+])\+?[0-9OolI](?:[ .()-]{0,2}[0-9OolI]){8,}(?!\w)")
+_LETTER = re.compile("[OolI]")
 # Last labels that make bare words read as an address.
 _LAST = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu uk de fr es it nl at ch be pt pl se no dk fi ie us ca mx br ar cl au nz jp cn in ru ua test example invalid".split())
 
@@ -149,41 +170,50 @@ class Rewritten:
         return "".join(out), starts, ends, changed + [False] * (len(self.text) - done)
 
 
+def _atom_start(text: str, to: int) -> int:
+    """Where the atom that ends at `to` starts."""
+    while to > 0:
+        piece = max(0, to - 64)
+        lo = piece + _BEFORE.search(text[piece:to]).start()
+        if lo > piece or lo == to:
+            return lo
+        to = lo
+    return 0
+
+
 def _bare_signs(text: str, signs: list[re.Match]) -> list[tuple[int, int, str]]:
-    """Bracketed signs always count; bare ones only where the whole reads as an address."""
+    """Bracketed signs always count; bare ones only where the whole reads as an address. Linear: an address is followed from sign to sign."""
     out = [(m.start(), m.end(), "@" if m.lastgroup == "at" else ".") for m in signs if m.lastgroup in ("at", "dot")]
     ats = [m for m in signs if m.lastgroup == "bareat"] + [m for m in signs if m.lastgroup == "at"]
     dots = {m.start(): m for m in signs if m.lastgroup in ("dot", "baredot")}
+    ends = {m.end(): m for m in signs if m.lastgroup == "baredot"}
     for at in ats:
         here, used, plain = at.end(), [], False
-        while m := re.compile(_ATOM).match(text, here):
+        while m := _ATOM_HERE.match(text, here):
             here = m.end()
-            if text[here : here + 1] == "." and re.compile(_ATOM).match(text, here + 1):
+            if text[here : here + 1] == "." and _ATOM_HERE.match(text, here + 1):
                 here, plain = here + 1, True
             elif here in dots:
                 used.append(dots[here])
                 here = dots[here].end()
             else:
                 break
-        tail = re.search(rf"(?:^|[^A-Za-z0-9-])({_TAIL})\Z", text[at.end() : here])
+        tail = _LABEL.search(text[max(at.end(), here - 25) : here])
         if not tail or not (used or plain):
             continue
         if at.lastgroup == "bareat" and tail[1].lower() not in _LAST:
             continue  # "at the dot on the map" is prose
         if at.lastgroup == "bareat":
-            before = re.search(r"(?:[A-Za-z0-9._%+-]+)\Z", text[max(0, at.start() - 64) : at.start()])
-            if not used and not (before and re.search(r"[0-9._]", before[0])):
+            before = _LOCAL_END.search(text[max(0, at.start() - 64) : at.start()])[0]
+            if not used and not _ODD.search(before):
                 continue  # "look at example.com" is prose
             out.append((at.start(), at.end(), "@"))
         out += [(d.start(), d.end(), ".") for d in used if d.lastgroup == "baredot"]
         if at.lastgroup == "bareat" or used:  # dots in the local part
             lo = at.start()
-            for m in reversed([m for m in signs if m.lastgroup == "baredot" and m.end() <= at.start()]):
-                if re.fullmatch(_ATOM, text[m.end() : lo]):
-                    out.append((m.start(), m.end(), "."))
-                    lo = m.start()
-                else:
-                    break
+            while (first := _atom_start(text, lo)) < lo and first in ends:
+                out.append((*ends[first].span(), "."))
+                lo = ends[first].start()
     return list(dict.fromkeys(out))
 
 
@@ -194,6 +224,9 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in _NUMBER_WORDS.finditer(run[0]):
             new = {"digit": SPELLED.get(m[0].lower(), ""), "dot": ".", "plus": "+", "gap": " "}[m.lastgroup]
+            if new[1:] == "0" and new != "10" and (unit := _UNIT.match(run[0], m.end())):  # twenty-one
+                out.append((run.start() + m.start(), run.start() + unit.end(), new[0]))
+                continue
             if m.lastgroup == "gap":
                 left, right = run[0][max(0, m.start() - 12) : m.start()], run[0][m.end() : m.end() + 12]
                 near = re.search(rf"(?:{_SPELLED})\Z", left, re.I) or re.match(rf"(?:{_SPELLED})\b", right, re.I)
@@ -201,6 +234,10 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
                     continue
                 new = ""  # spelled digits stand one by one
             out.append((run.start() + m.start(), run.start() + m.end(), new))
+    for run in _LETTERED.finditer(text):
+        letters = [m.start() for m in _LETTER.finditer(run[0])]
+        if letters and 2 * len(letters) <= len(_DIGIT.findall(run[0])):
+            out += [(run.start() + k, run.start() + k + 1, "0" if run[0][k] in "Oo" else "1") for k in letters]
     return out
 
 
@@ -241,11 +278,16 @@ def all_spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[i
     """Base spans and added spans of each kind."""
     base, more = find(text), disguised(text)
 
-    def apart(s: tuple[int, int], b: tuple[int, int]) -> bool:
-        holds = s != b and s[0] <= b[0] and b[1] <= s[1]
-        return s[1] <= b[0] or b[1] <= s[0] or holds and not _LONE.fullmatch(text[s[0] : b[0]] + text[b[1] : s[1]])
+    def stays(s: tuple[int, int], old: list[tuple[int, int]], starts: list[int]) -> bool:
+        k = max(0, bisect_left(starts, s[0]) - 1)  # base spans of a kind are in order and apart
+        while k < len(old) and old[k][0] < s[1]:
+            b = old[k]
+            if s[0] < b[1] and (s == b or not s[0] <= b[0] or not b[1] <= s[1] or _LONE.fullmatch(text[s[0] : b[0]] + text[b[1] : s[1]])):
+                return False
+            k += 1
+        return True
 
-    return base, [[s for s in own if all(apart(s, b) for b in old)] for old, own in zip(base, more, strict=True)]
+    return base, [[s for s in own if stays(s, old, starts)] for old, own, starts in zip(base, more, [[b[0] for b in old] for old in base], strict=True)]
 
 
 def _said(spans: list[list[tuple[int, int]]]) -> str:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -128,3 +129,27 @@ def test_numbers_between_written_ones(text):
 @pytest.mark.parametrize("text", NO_NUMBERS)
 def test_number_words_that_are_prose(text):
     assert not any(private_data.all_spans(text)[1])
+
+
+@pytest.mark.parametrize("unit", [" a9 at b dot com", " a dot b at c dot com", " x at", " one two", " a@b.co and c [at] d [dot] com,", " 555 O1O 12l4 55", "a dot ", " twenty-one"])
+def test_time_is_linear(unit):
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        private_data.all_spans(unit * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 10
+
+
+@pytest.mark.parametrize("text,kind,span", [
+    ("write ιnfo@example.com", 0, (6, 22)), ("write ɑdmin@example.com", 0, (6, 23)), ("write ӏnfo@example.com", 0, (6, 22)), ("write ʙob@example.com", 0, (6, 21)),
+    ("call +1 555 O1O l234 now", 3, (5, 20)), ("call plus one five five five twenty-one fifty five eleven now", 3, (5, 57)), ("max dot m at example dot com", 0, (0, 28)),
+])
+def test_more_disguises(text, kind, span):
+    base, more = private_data.all_spans(text)
+    assert span in more[kind] and span not in base[kind]
+
+
+@pytest.mark.parametrize("text", ["Oil l0l IO 2020", "I o l I O o l I O l", "look at the dot on the map, ten to one", "twenty one pilots at eleven", "v1.O.2 l1 I0 O0"])
+def test_prose_is_left_alone(text):
+    assert private_data.all_spans(text) == ([[], [], [], []], [[], [], [], []])
