@@ -91,6 +91,6 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     same = (F.col("host") == F.col("j_host")) & (F.col("path") == F.col("j_path"))
     tried = pages.join(F.broadcast(common), same, "left")
     known = (F.col("host") == "") | F.col("j_host").isNotNull()
-    rest = tried.where(~known).select("page_id", "host", "path").join(judged.drop("n"), same, "left")
+    rest = tried.where(~known).select("page_id", "host", "path").join(judged.drop("n").hint("merge"), same, "left")
     found = tried.where(known).unionByName(rest)
     return found.select("page_id", "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
