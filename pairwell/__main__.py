@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--method", choices=["gibbs", "em"], default="gibbs")
     e = commands.add_parser("report", help="sizes of clusters given as representative and member")
     e.add_argument("edges")
+    e.add_argument("--fasta", help="sequences of the largest and smallest clusters' representatives")
     g = commands.add_parser("log", help="table of an iteration log")
     g.add_argument("log")
     g.add_argument("out")
@@ -49,7 +50,10 @@ def main(argv: list[str] | None = None) -> None:
         cfg = EngineConfig(**given, sample_theta=not args.deterministic)
         pipeline.run(spark, args.observations, args.clusters, args.out, cfg, propagate_labels=not args.skip_propagation, method=args.method)
     elif args.command == "report":
-        reports.cluster_report(readers.read_edges(spark, args.edges)).show(truncate=False)
+        edges = readers.read_edges(spark, args.edges)
+        reports.cluster_report(edges).show(truncate=False)
+        sequences = readers.read_fasta(spark, args.fasta, one_line=True) if args.fasta else spark.createDataFrame([], "ord int, header string, sequence string")
+        reports.extreme_clusters(edges, sequences).show(truncate=False)
     else:
         sinks.write_log_table(reports.log_table(readers.read_logs(spark, args.log)), args.out)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 
+#: Alleles have numbers of 16 bits.
+MOST_ALLELES = 32_767
+
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -56,16 +59,31 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
 
 
 def allele_index(observations: DataFrame) -> DataFrame:
-    """hla_idx, hla_name: dense numbers of the sorted distinct names (a small dictionary, so one window)."""
+    """hla_idx, hla_name: dense numbers of the sorted distinct names.
+
+    A small dictionary, so one window; more than MOST_ALLELES are an error. That bounds this table and
+    all with a row an allele, which is why they are broadcast.
+    """
     names = observations.select(F.col("allele").alias("hla_name")).distinct()
-    return names.select((F.row_number().over(Window.orderBy("hla_name")) - 1).alias("hla_idx"), "hla_name")
+    place = F.row_number().over(Window.orderBy("hla_name")) - 1
+    few = F.when(place < MOST_ALLELES, place).otherwise(F.raise_error(F.lit(f"more than {MOST_ALLELES} alleles")).cast("int"))
+    return names.select(few.alias("hla_idx"), "hla_name")
+
+
+def pair_sums(rows: DataFrame) -> DataFrame:
+    """cluster_id, allele, n_pos, n_total of each observed pair."""
+    return rows.groupBy("cluster_id", "allele").agg(F.sum(F.col("label").cast("long")).alias("n_pos"), F.count("*").alias("n_total"))
+
+
+def indexed(sums: DataFrame, index: DataFrame) -> DataFrame:
+    """pair_sums() with the alleles' numbers: cluster_id, hla_idx, n_pos, n_neg, n_total."""
+    named = sums.join(F.broadcast(index), sums["allele"] == index["hla_name"])
+    return named.select("cluster_id", "hla_idx", "n_pos", (F.col("n_total") - F.col("n_pos")).alias("n_neg"), "n_total")
 
 
 def pair_counts(rows: DataFrame, index: DataFrame) -> DataFrame:
     """cluster_id, hla_idx, n_pos, n_neg, n_total of each observed pair."""
-    counted = rows.groupBy("cluster_id", "allele").agg(F.sum(F.col("label").cast("long")).alias("n_pos"), F.count("*").alias("n_total"))
-    named = counted.join(index, counted["allele"] == index["hla_name"])
-    return named.select("cluster_id", "hla_idx", "n_pos", (F.col("n_total") - F.col("n_pos")).alias("n_neg"), "n_total")
+    return indexed(pair_sums(rows), index)
 
 
 def label_distribution(observations: DataFrame) -> DataFrame:

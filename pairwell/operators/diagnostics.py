@@ -55,8 +55,9 @@ def association_histogram(associations: DataFrame, column: str = "n_significant"
 
 
 def sampled(rows: DataFrame, group: str, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """At most n rows of each group (the sampling operator): those with the least hashes of keys."""
-    order = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), *keys), *keys))
+    """At most n rows of each group (the sampling operator): those with the least MD5 of seed and keys."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys).cast("binary"))
+    order = F.row_number().over(Window.partitionBy(group).orderBy(digest, *keys))
     return rows.withColumn("_k", order).where(F.col("_k") <= n).drop("_k")
 
 

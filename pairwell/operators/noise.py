@@ -41,8 +41,8 @@ def posterior(n_pos: Column, n_neg: Column, alpha: Column, beta: Column, p: Colu
 
 
 def called(pairs: DataFrame, params: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """pairs with gamma64, gamma (stored as float) and b_call; params: hla_idx, alpha, beta, p_h."""
-    joined = pairs.join(with_tau(params, cfg).select("hla_idx", "alpha", "beta", "p_h", "tau_h"), "hla_idx")
+    """pairs with gamma64, gamma (stored as float) and b_call; params: hla_idx, alpha, beta, p_h, a row an allele."""
+    joined = pairs.join(F.broadcast(with_tau(params, cfg).select("hla_idx", "alpha", "beta", "p_h", "tau_h")), "hla_idx")
     joined = joined.withColumn("gamma64", posterior(*(F.col(c) for c in ("n_pos", "n_neg", "alpha", "beta", "p_h"))))
     return joined.select(*pairs.columns, "gamma64", F.col("gamma64").cast("float").alias("gamma"), (F.col("gamma64") > F.col("tau_h")).cast("tinyint").alias("b_call"))
 

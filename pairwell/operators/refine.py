@@ -28,8 +28,9 @@ class Refined:
 
 
 def uniform(seed: int, iteration: int, *keys: str) -> Column:
-    """A number in [0, 1) from a hash of keys: the same for any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(iteration), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) from 52 bits of the MD5 of keys: the same for any partitioning, and in any SQL."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(iteration)), *keys).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def states(pairs: DataFrame, cfg: EngineConfig, iteration: int) -> DataFrame:

@@ -71,6 +71,12 @@ def matrix_long(tested: DataFrame, index: DataFrame, column: str) -> DataFrame:
     return grid.join(mirrored(tested, column), ["h1", "h2"], "left").select("row_name", "col_name", value.alias("value"))
 
 
+def similarity_long(s: DataFrame, index: DataFrame) -> DataFrame:
+    """row_name, col_name, value of the similarity of all pairs of alleles; 0 where none was found."""
+    rows, cols = index.select(F.col("hla_idx").alias("h1"), F.col("hla_name").alias("row_name")), index.select(F.col("hla_idx").alias("h2"), F.col("hla_name").alias("col_name"))
+    return rows.crossJoin(cols).join(s, ["h1", "h2"], "left").select("row_name", "col_name", F.coalesce("s", F.lit(0.0)).alias("value"))  # H * H cells
+
+
 def matrix_wide(tested: DataFrame, index: DataFrame, column: str, names: list[str]) -> DataFrame:
     """row_name and a column for each of names."""
     return matrix_long(tested, index, column).groupBy("row_name").pivot("col_name", names).agg(F.first("value"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -18,6 +19,9 @@ from ..operators import propagate as P
 from ..operators import refine as R
 from ..operators import reports as O
 from ..operators import similarity as S
+from ..sources import readers as E
+from ..sources import sinks as K
+from ..sources.tables import saved, shared_path
 from . import fixtures as fx
 
 CFG = EngineConfig(sample_theta=False)
@@ -36,31 +40,44 @@ def r6(*names: str) -> list:
 
 
 class Plan:
-    """The single pass over the planted observations, step by step, each step lazily made."""
+    """The single pass over the planted observations. Steps that others build on are saved, each once and only if needed."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
         self.rows = fx.planted(spark, sf_dir)
-        self.index = N.allele_index(self.rows)
-        self.pairs = N.pair_counts(self.rows, self.index)
         self.sizes = fx.planted_sizes(spark, sf_dir)
-        self.rates = N.binder_rates(self.pairs, self.index, CFG)
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        return saved(N.pair_sums(self.rows))
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return N.allele_index(self.sums)
+
+    @property
+    def pairs(self) -> DataFrame:
+        return N.indexed(self.sums, self.index)
 
     @property
+    def rates(self) -> DataFrame:
+        return N.binder_rates(self.pairs, self.index, CFG)
+
+    @cached_property
     def params(self) -> DataFrame:
         return L.noise_params(self.pairs, self.index, CFG).join(self.rates.select("hla_idx", "p_h"), "hla_idx")
 
-    @property
+    @cached_property
     def called(self) -> DataFrame:
-        return L.called(self.pairs, self.params, CFG)
+        return saved(L.called(self.pairs, self.params, CFG))
 
-    @property
+    @cached_property
     def tested(self) -> DataFrame:
-        return S.tests(self.called, CFG)
+        return saved(S.tests(self.called, CFG))
 
-    @property
+    @cached_property
     def labels(self) -> DataFrame:
-        called = self.called
-        return P.propagated(called, S.similarity(S.tests(called, CFG), CFG), self.index, self.sizes, CFG)
+        return P.propagated(self.called, S.similarity(self.tested, CFG), self.index, self.sizes, CFG)
 
 
 # -- observations and counts -----------------------------------------------------------------------
@@ -220,8 +237,9 @@ def matrix_or_long(spark, d):
 @query
 def matrix_or_wide(spark, d):
     p = Plan(spark, d)
-    names = [r[0] for r in fx.table(spark, d, "nation").select("n_name").orderBy("n_name").collect()]  # one an allele
-    return S.matrix_wide(p.tested, p.index, "OR", names).select("row_name", *r6(*names))
+    matrix = S.matrix_wide(p.tested, p.index, "OR", [r[0] for r in p.index.orderBy("hla_idx").select("hla_name").collect()])  # a dictionary
+    lacking = [n for n in fx.NATIONS if n not in matrix.columns]  # on small tables
+    return matrix.withColumns({n: F.lit(None).cast("double") for n in lacking}).select("row_name", *r6(*fx.NATIONS))
 
 
 @query
@@ -282,7 +300,8 @@ def _refined(spark, d, n, method):
     p = Plan(spark, d)
     pairs = p.called
     for i in range(1, n + 1):
-        pairs, _ = R.step(pairs, p.index, None, CFG, i, method)
+        pairs = R.step(pairs, p.index, None, CFG, i, method)[0]
+        pairs = saved(pairs) if i < n else pairs
     return pairs.select("cluster_id", "hla_idx", *r6("gamma64"), F.col("b_call").cast("int").alias("b_call"))
 
 
@@ -354,7 +373,7 @@ def gamma_boxes(spark, d):
 
 @query
 def sampled_pairs(spark, d):
-    return D.sampled(Plan(spark, d).pairs, "hla_idx", ["cluster_id", "hla_idx"], 300)
+    return D.sampled(Plan(spark, d).pairs, "hla_idx", ["cluster_id", "hla_idx"], 300).select("cluster_id", "hla_idx", "n_pos", "n_neg", "n_total")
 
 
 @query
@@ -424,3 +443,161 @@ def cluster_report(spark, d):
 def extreme_clusters(spark, d):
     records = fx.exact_records(spark, d)
     return O.extreme_clusters(C.exact_clusters(records), records.withColumn("ord", F.col("header")))
+
+
+# -- matrices, plot data and statistics ------------------------------------------------------------
+@query
+def matrix_similarity(spark, d):
+    p = Plan(spark, d)
+    return S.similarity_long(S.similarity(p.tested, CFG), p.index).select("row_name", "col_name", *r6("value"))
+
+
+def _heat(spark, d, column):
+    p = Plan(spark, d)
+    return D.heat_cells(S.matrix_long(p.tested, p.index, column), "p").select("row_name", "col_name", (F.round("shade", 4) + 0.0).alias("shade"))
+
+
+@query
+def heat_cells_p(spark, d):
+    return _heat(spark, d, "pvalue")
+
+
+@query
+def heat_cells_p_adj(spark, d):
+    return _heat(spark, d, "pvalue_adj")
+
+
+@query
+def tested_histogram(spark, d):
+    p = Plan(spark, d)
+    return D.association_histogram(S.associations(p.tested, p.index), "n_tested").select("bin", *r6("bin_low"), "n")
+
+
+@query
+def mean_phi_histogram(spark, d):
+    p = Plan(spark, d)
+    return D.spread_histogram(D.allele_purity(p.pairs, p.index), F.round("mean_phi", 6), 60).select("bin", F.round("bin_low", 4).alias("bin_low"), "n")
+
+
+def _label_boxes(spark, d, column):
+    rounded = Plan(spark, d).labels.withColumn("g", F.round(F.col(column).cast("double"), 4))
+    return D.boxes(rounded, "hla_idx", "g").select("hla_idx", "n", *r6("q1", "median", "q3"), "low", "high")
+
+
+@query
+def p_tilde_boxes(spark, d):
+    return _label_boxes(spark, d, "p_tilde")
+
+
+@query
+def n_tilde_boxes(spark, d):
+    return _label_boxes(spark, d, "n_tilde")
+
+
+@query
+def lambda_boxes(spark, d):
+    return _label_boxes(spark, d, "lambda_w")
+
+
+@query
+def run_statistics(spark, d):
+    p = Plan(spark, d)
+    found = O.run_statistics(L.with_tau(p.params, CFG), p.called, P.coverage(p.pairs, p.sizes, CFG), p.labels)
+    return found.select("stage", "value", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "min", "max")], "n_above")
+
+
+@query
+def summary_by_clusters(spark, d):
+    p = Plan(spark, d)
+    path = shared_path(spark) + ".csv"
+    K.write_csv(O.observed_summary(p.called, p.index).select("hla_idx", "n_clusters"), path, [F.desc("n_clusters"), "hla_idx"])
+    read = E.read_table(spark, path, "hla_idx int, n_clusters long")  # one file, whose order is asked for
+    return read.select((F.monotonically_increasing_id() + 1).alias("place"), "hla_idx", "n_clusters")
+
+
+@query
+def ordered_labels(spark, d):
+    path = shared_path(spark)
+    K.write_ordered(Plan(spark, d).labels, path, ["hla_idx", "cluster_id"])
+    here = F.struct("hla_idx", "cluster_id")
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(here).alias("low"), F.max(here).alias("high"), F.count("*").alias("n"))
+    after = F.lag("high").over(Window.orderBy("file"))  # a row a file
+    return files.withColumn("ok", F.coalesce(F.col("low") > after, F.lit(True))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("in_order"))
+
+
+# -- files -----------------------------------------------------------------------------------------
+def _written(spark, d, suffix, sep):
+    path = shared_path(spark) + suffix
+    fx.labelled_peptides(spark, d).write.option("header", True).option("sep", sep).csv(path)
+    return N.prepared(E.read_observations(spark, path, CFG), CFG).groupBy("allele").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+
+
+@query
+def csv_file(spark, d):
+    return _written(spark, d, ".csv", ",")
+
+
+@query
+def tsv_file(spark, d):
+    return _written(spark, d, ".tsv", "\t")
+
+
+def _fasta(spark, d, one_line):
+    path, lines = shared_path(spark), [F.concat(F.lit(">"), "header", F.lit(" of words")), F.left("sequence", F.lit(3)), F.substr("sequence", F.lit(4))]
+    fx.exact_records(spark, d).select(F.concat_ws("\n", *lines).alias("value")).write.text(path)
+    return E.read_fasta(spark, path, one_line).select("header", "sequence")
+
+
+@query
+def fasta_file(spark, d):
+    return _fasta(spark, d, False)
+
+
+@query
+def fasta_first_line(spark, d):
+    return _fasta(spark, d, True)
+
+
+@query
+def cluster_file(spark, d):
+    path = shared_path(spark)
+    columns = [F.lit("x").alias(c) for c in ("representative_anchor", "peptide_header")]
+    K.write_tsv(fx.members(spark, d).select("cluster_id", *columns, "sequence", F.lit("x").alias("anchor")), path)
+    return E.read_clusters(spark, path).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query
+def edge_file(spark, d):
+    path = shared_path(spark)
+    C.exact_clusters(fx.exact_records(spark, d)).write.option("sep", "\t").csv(path)
+    return E.read_edges(spark, path).groupBy("rep").agg(F.count("*").alias("n"))
+
+
+@query
+def result_fallback(spark, d):
+    path = shared_path(spark)
+    K.write_csv(Plan(spark, d).index, path + ".csv", ["hla_idx"])
+    return E.read_result(spark, path + ".parquet")
+
+
+@query
+def best_run(spark, d):
+    path, p = shared_path(spark), Plan(spark, d)
+    for name, rows in (("", p.pairs.limit(1)), ("_gibbs_final", p.called)):  # the refined one is taken
+        K.write_parquet(rows, f"{path}/level1_results{name}.parquet")
+        K.write_csv(p.params, f"{path}/noise_params{name}.csv", ["hla_idx"])
+    return E.best_level1(spark, path)[0].select("cluster_id", "hla_idx", "n_total")
+
+
+@query
+def fasta_sink(spark, d):
+    path = shared_path(spark)
+    K.write_fasta(fx.members(spark, d).select("cluster_id", F.col("sequence").alias("header"), "sequence"), path, 100)
+    return spark.read.text(path).where(F.col("value").startswith(">")).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query
+def log_file(spark, d):
+    path = shared_path(spark)
+    fx.log(spark).coalesce(1).write.text(path)
+    return O.log_table(E.read_logs(spark, path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import anchors as A
 from ..operators.reports import LOG_FIELDS
 from . import fixtures
@@ -19,21 +21,58 @@ def _rates(name: str, source: str, binder: str, other: str) -> str:
     return f"{name} AS (SELECT hla_idx, {a} AS alpha, {b} AS beta FROM idx LEFT JOIN {source} USING (hla_idx) GROUP BY hla_idx)"
 
 
-def _iteration(k: int, method: str) -> list[str]:
-    """Tables of one refinement step without feedback: theta, noise, rate, post."""
+_PMF = "lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma({k} + 1) - lgamma(a + b - {k} + 1) - lgamma(a + c - {k} + 1) - lgamma(d - a + {k} + 1)"
+
+
+def _tests(called: str, tag: str) -> list[str]:
+    """Tables of the tests of alleles by the calls of a table, their similarities and the propagated labels; names end with tag."""
+    t = tag
+    return [
+        f"cells{t} AS (SELECT x.hla_idx AS h1, y.hla_idx AS h2, count_if(x.b_call = 1 AND y.b_call = 1) AS a, count_if(x.b_call = 1 AND y.b_call = 0) AS b, count_if(x.b_call = 0 AND y.b_call = 1) AS c, count_if(x.b_call = 0 AND y.b_call = 0) AS d, count(*) AS shared FROM {called} x JOIN {called} y ON x.cluster_id = y.cluster_id AND x.hla_idx < y.hla_idx GROUP BY ALL HAVING count(*) >= 10)",
+        f"support{t} AS (SELECT *, {_PMF.format(k='k')} AS lp, {_PMF.format(k='a')} AS la FROM cells{t}, unnest(range(greatest(0, a + c - c - d), least(a + b, a + c) + 1)) AS t(k))",
+        f"ps{t} AS (SELECT h1, h2, CASE WHEN any_value((a + b) * (c + d) * (a + c) * (b + d)) = 0 THEN 1.0 ELSE least(1.0, sum(CASE WHEN lp <= la + 1e-7 THEN exp(lp) ELSE 0 END)) END AS pvalue FROM support{t} GROUP BY h1, h2)",
+        f'unadjusted{t} AS (SELECT *, CASE WHEN b * c = 0 THEN 1.0 ELSE CAST(a * d AS DOUBLE) / (b * c) END AS "OR", b * c = 0 AS or_degenerate, greatest(1.0, exp(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) - 1.96 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)))) AS OR_conservative, count(*) OVER () AS m, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk FROM cells{t} JOIN ps{t} USING (h1, h2))',
+        f"tested{t} AS MATERIALIZED (SELECT *, pvalue_adj < 0.05 AS significant FROM (SELECT *, least(1.0, min(pvalue * m / rk) OVER (ORDER BY pvalue DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS pvalue_adj FROM unadjusted{t}))",
+        f"half{t} AS (SELECT h1, h2, ln(greatest(OR_conservative, 1e-10)) AS s FROM tested{t} WHERE significant)",
+        f"sim{t} AS (SELECT h1, h2, s FROM half{t} UNION ALL SELECT h2, h1, s FROM half{t})",
+    ]
+
+
+def _labels(called: str, tag: str) -> list[str]:
+    return [
+        f"sums{tag} AS (SELECT p.cluster_id, w.h2 AS hla_idx, sum(s * CAST(gamma AS DOUBLE)) AS wg, sum(s) AS ws, sum(s * n_total * penalty) AS wn FROM {called} p JOIN cover USING (cluster_id) JOIN sim{tag} w ON p.hla_idx = w.h1 AND s > 0 JOIN targets t ON t.hla_idx = w.h2 GROUP BY ALL)",
+        f"labels_{tag} AS MATERIALIZED (SELECT cluster_id, hla_idx, CAST(wg / ws AS FLOAT) AS p_tilde, CAST(wn AS FLOAT) AS n_tilde, CAST(wn / (wn + 10.0) AS FLOAT) AS lambda_w FROM sums{tag} ANTI JOIN pairs USING (cluster_id, hla_idx))",
+    ]
+
+
+def _iteration(k: int, method: str, labels: str | None = None) -> list[str]:
+    """Tables of one refinement step, with feedback from a table of labels: theta, noise, rate, post.
+
+    Methods: gibbs (hard states), em (soft ones), drawn (states by the hash of the keys, seed 7), fed (gibbs, with labels from the third on).
+    """
     before = "called" if k == 1 else f"post{k - 1}_{method}"
-    state = "CASE WHEN gamma > 0.5 THEN 1 ELSE 0 END" if method == "gibbs" else "gamma"
+    drawn = f"CAST('0x' || substr(md5(concat_ws('|', '7', '{k}', cluster_id, hla_idx)), 1, 13) AS BIGINT) / 4503599627370496.0"
+    state = {"em": "gamma", "drawn": f"CASE WHEN {drawn} < CAST(gamma AS DOUBLE) THEN 1 ELSE 0 END"}.get(method, "CASE WHEN gamma > 0.5 THEN 1 ELSE 0 END")
     t = f"theta{k}_{method}"
-    first, second = ("theta = 1", "theta = 0") if method == "gibbs" else ("n_total >= 5 AND n_pos / n_total > 0.90", "n_total >= 5 AND n_neg / n_total > 0.90")
+    first, second = ("n_total >= 5 AND n_pos / n_total > 0.90", "n_total >= 5 AND n_neg / n_total > 0.90") if method == "em" else ("theta = 1", "theta = 0")
+    own = f"(SELECT hla_idx, least(greatest((coalesce(sum(theta), 0) + 50 * any_value(pg)) / (count(theta) + 50.0), 0.001), 0.95) AS p_h FROM idx LEFT JOIN {t} USING (hla_idx), (SELECT sum(theta) / count(*) AS pg FROM {t}) GROUP BY hla_idx)"
+    if labels:
+        fed = f"(SELECT hla_idx, sum(CAST(lambda_w AS DOUBLE) * CAST(p_tilde AS DOUBLE)) AS fp, sum(CAST(lambda_w AS DOUBLE)) AS fw FROM {labels} GROUP BY hla_idx)"
+        own = f"(SELECT hla_idx, least(greatest(CASE WHEN fw > 0 THEN (1 - fw / (fw + 100)) * p_h + fw / (fw + 100) * fp / fw ELSE p_h END, 0.001), 0.95) AS p_h FROM {own} LEFT JOIN {fed} USING (hla_idx))"
     return [
         f"{t} AS (SELECT cluster_id, hla_idx, n_pos, n_neg, n_total, CAST({state} AS DOUBLE) AS theta, CAST({'gamma' if k == 1 else 'gamma64'} AS DOUBLE) AS previous FROM {before})",
         _rates(f"noise{k}_{method}", t, first, second),
-        f"rate{k}_{method} AS (SELECT hla_idx, least(greatest((coalesce(sum(theta), 0) + 50 * any_value(pg)) / (count(theta) + 50.0), 0.001), 0.95) AS p_h FROM idx LEFT JOIN {t} USING (hla_idx), (SELECT sum(theta) / count(*) AS pg FROM {t}) GROUP BY hla_idx)",
-        f"post{k}_{method} AS (SELECT *, CAST(gamma64 AS FLOAT) AS gamma, CAST(gamma64 > least(2 * p_h, 0.5) AS INT) AS b_call FROM (SELECT cluster_id, hla_idx, n_pos, n_neg, n_total, p_h, previous, {_POSTERIOR} AS gamma64 FROM {t} JOIN noise{k}_{method} USING (hla_idx) JOIN rate{k}_{method} USING (hla_idx)))",
+        f"rate{k}_{method} AS (SELECT hla_idx, p_h FROM {own})",
+        f"post{k}_{method} AS MATERIALIZED (SELECT *, CAST(gamma64 AS FLOAT) AS gamma, CAST(gamma64 > least(2 * p_h, 0.5) AS INT) AS b_call FROM (SELECT cluster_id, hla_idx, n_pos, n_neg, n_total, p_h, previous, {_POSTERIOR} AS gamma64 FROM {t} JOIN noise{k}_{method} USING (hla_idx) JOIN rate{k}_{method} USING (hla_idx)))",
     ]
 
 
-_PMF = "lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma({k} + 1) - lgamma(a + b - {k} + 1) - lgamma(a + c - {k} + 1) - lgamma(d - a + {k} + 1)"
+#: The refinement with feedback: labels are renewed in the third iteration.
+MOST_ITERATIONS = 6
+_FED = [*(x for k in (1, 2, 3) for x in _iteration(k, "fed")), *_tests("post3_fed", "3"), *_labels("post3_fed", "3"), *(x for k in (4, 5, 6) for x in _iteration(k, "fed", "labels_3"))]
+_FED += ["moves AS (" + " UNION ALL ".join(f"SELECT {k} AS k, max(abs(gamma64 - previous)) AS delta FROM post{k}_fed" for k in range(1, 7)) + ")", "last_step AS (SELECT coalesce(min(CASE WHEN delta < 1e-3 THEN k END), 6) AS k FROM moves)"]
+
+
 
 CHAIN = [
     "obs AS (SELECT l_partkey AS cluster_id, n_name AS allele, CAST((substr(md5(concat_ws('|', l_partkey, n_regionkey)), 1, 2) < '40') <> (substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_suppkey, l_partkey)), 1, 2) < '0d') AS INT) AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)",
@@ -45,21 +84,16 @@ CHAIN = [
     f"called AS MATERIALIZED (SELECT *, CAST(gamma64 AS FLOAT) AS gamma, CAST(gamma64 > least(2 * p_h, 0.5) AS INT) AS b_call FROM (SELECT cluster_id, hla_idx, n_pos, n_neg, n_total, p_h, {_POSTERIOR} AS gamma64 FROM pairs JOIN noise USING (hla_idx) JOIN rates USING (hla_idx)))",
     "phis AS (SELECT *, ln((n_pos + 1e-6) / (n_neg + 1e-6)) AS phi FROM pairs)",
     "counts AS (SELECT hla_idx, hla_name, p_h, CAST(coalesce(sum(b_call), 0) AS BIGINT) AS n_binder_clusters, count(b_call) AS n_total_clusters, CAST(count(b_call) - coalesce(sum(b_call), 0) AS BIGINT) AS n_nonbinder_clusters, coalesce(sum(b_call) / nullif(count(b_call), 0), 0.0) AS binder_fraction FROM idx JOIN rates USING (hla_idx) LEFT JOIN called USING (hla_idx) GROUP BY ALL)".replace("LEFT JOIN called USING (hla_idx)", "LEFT JOIN (SELECT hla_idx, b_call FROM called) USING (hla_idx)"),
-    "cells AS (SELECT x.hla_idx AS h1, y.hla_idx AS h2, count_if(x.b_call = 1 AND y.b_call = 1) AS a, count_if(x.b_call = 1 AND y.b_call = 0) AS b, count_if(x.b_call = 0 AND y.b_call = 1) AS c, count_if(x.b_call = 0 AND y.b_call = 0) AS d, count(*) AS shared FROM called x JOIN called y ON x.cluster_id = y.cluster_id AND x.hla_idx < y.hla_idx GROUP BY ALL HAVING count(*) >= 10)",
-    f"support AS (SELECT *, {_PMF.format(k='k')} AS lp, {_PMF.format(k='a')} AS la FROM cells, unnest(range(greatest(0, a + c - c - d), least(a + b, a + c) + 1)) AS t(k))",
-    "ps AS (SELECT h1, h2, CASE WHEN any_value((a + b) * (c + d) * (a + c) * (b + d)) = 0 THEN 1.0 ELSE least(1.0, sum(CASE WHEN lp <= la + 1e-7 THEN exp(lp) ELSE 0 END)) END AS pvalue FROM support GROUP BY h1, h2)",
-    'tested0 AS (SELECT *, CASE WHEN b * c = 0 THEN 1.0 ELSE CAST(a * d AS DOUBLE) / (b * c) END AS "OR", b * c = 0 AS or_degenerate, greatest(1.0, exp(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) - 1.96 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)))) AS OR_conservative, count(*) OVER () AS m, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk FROM cells JOIN ps USING (h1, h2))',
-    "tested AS MATERIALIZED (SELECT *, pvalue_adj < 0.05 AS significant FROM (SELECT *, least(1.0, min(pvalue * m / rk) OVER (ORDER BY pvalue DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS pvalue_adj FROM tested0))",
-    "half AS (SELECT h1, h2, ln(greatest(OR_conservative, 1e-10)) AS s FROM tested WHERE significant)",
-    "sim AS (SELECT h1, h2, s FROM half UNION ALL SELECT h2, h1, s FROM half)",
+    *_tests("called", ""),
+    "grid AS (SELECT i.hla_idx AS i1, j.hla_idx AS i2, i.hla_name AS row_name, j.hla_name AS col_name FROM idx i CROSS JOIN idx j)",
+    "both_p AS (SELECT h1, h2, pvalue, pvalue_adj FROM tested UNION ALL SELECT h2, h1, pvalue, pvalue_adj FROM tested)",
     'both_or AS (SELECT h1, h2, "OR" AS x FROM tested UNION ALL SELECT h2, h1, "OR" FROM tested)',
     "cells_or AS (SELECT i.hla_name AS row_name, j.hla_name AS col_name, CASE WHEN i.hla_idx = j.hla_idx THEN NULL ELSE coalesce(x, 1.0) END AS value FROM idx i CROSS JOIN idx j LEFT JOIN both_or ON h1 = i.hla_idx AND h2 = j.hla_idx)",
     "assoc AS (SELECT hla_idx, hla_name, count(significant) AS n_tested, count_if(significant) AS n_significant FROM idx LEFT JOIN (SELECT h1 AS hla_idx, significant FROM tested UNION ALL SELECT h2, significant FROM tested) USING (hla_idx) GROUP BY ALL)",
     "targets AS (SELECT hla_idx, count(cluster_id) AS n_pairs FROM idx LEFT JOIN pairs USING (hla_idx) GROUP BY hla_idx HAVING count(cluster_id) < 5000)",
     "cover AS (SELECT cluster_id, CAST(sum(n_total) AS BIGINT) AS n_labelled, CAST(greatest(coalesce(any_value(n_members), 1), 1) AS BIGINT) AS n_members, pow(least(sum(n_total) / greatest(coalesce(any_value(n_members), 1), 1), 1.0), 0.5) AS penalty FROM pairs LEFT JOIN sizes USING (cluster_id) GROUP BY cluster_id)",
-    "sums AS (SELECT p.cluster_id, w.h2 AS hla_idx, sum(s * CAST(gamma AS DOUBLE)) AS wg, sum(s) AS ws, sum(s * n_total * penalty) AS wn FROM called p JOIN cover USING (cluster_id) JOIN sim w ON p.hla_idx = w.h1 AND s > 0 JOIN targets t ON t.hla_idx = w.h2 GROUP BY ALL)",
-    "labels_ AS MATERIALIZED (SELECT cluster_id, hla_idx, CAST(wg / ws AS FLOAT) AS p_tilde, CAST(wn AS FLOAT) AS n_tilde, CAST(wn / (wn + 10.0) AS FLOAT) AS lambda_w FROM sums ANTI JOIN pairs USING (cluster_id, hla_idx))",
-    *_iteration(1, "gibbs"), *_iteration(2, "gibbs"), *_iteration(1, "em"),
+    *_labels("called", ""),
+    *_iteration(1, "gibbs"), *_iteration(2, "gibbs"), *_iteration(1, "em"), *_iteration(1, "drawn"), *_FED,
     f"words AS ({_WORDS})",
     "raw_obs AS (SELECT pep, allele, quality AS label FROM words JOIN labels USING (doc_id))",
     "members AS (SELECT DISTINCT pep AS sequence, 32 * (ascii(pep) - 65) + length(pep) AS cluster_id FROM words WHERE length(pep) <= 12)",
@@ -71,13 +105,34 @@ CHAIN = [
     "blocks AS (SELECT anchor, n, x.g AS g2, y.g AS g6, row_number() OVER (PARTITION BY x.g, y.g ORDER BY n DESC, anchor) AS prio FROM anchors JOIN res x ON substr(anchor, 2, 1) = x.letter JOIN res y ON substr(anchor, 6, 1) = y.letter)",
 ]
 
+_TERMS = " + ".join(f"{A.WEIGHTS[k] / sum(A.WEIGHTS)!r} * s{k}.v" for k in A.ORDER)
+_SIMS = " ".join(f"JOIN sims s{k} ON s{k}.two = substr(x.anchor, {k + 1}, 1) || substr(y.anchor, {k + 1}, 1)" for k in A.ORDER)
+# greedy first-fit, one priority of all blocks at a time: a block's row holds its centroids so far
+CHAIN += [
+    f"scored AS (SELECT x.anchor AS earlier, y.anchor AS later, x.prio AS prio, {_TERMS} AS score FROM blocks x JOIN blocks y ON x.g2 = y.g2 AND x.g6 = y.g6 AND x.prio < y.prio {_SIMS})",
+    "alike AS MATERIALIZED (SELECT later, list(earlier ORDER BY prio) AS before FROM scored WHERE score >= 0.8 GROUP BY later)",
+    "tries AS MATERIALIZED (SELECT g2, g6, prio, anchor, coalesce(before, CAST([] AS VARCHAR[])) AS before FROM blocks LEFT JOIN alike ON anchor = later)",
+    "greedy(g2, g6, prio, anchor, centroid, centres) AS (SELECT DISTINCT g2, g6, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM blocks UNION ALL "
+    "SELECT g2, g6, prio, anchor, coalesce(fit, anchor), CASE WHEN fit IS NULL THEN list_append(centres, anchor) ELSE centres END FROM (SELECT g2, g6, t.prio, t.anchor, centres, list_filter(t.before, lambda e: list_contains(centres, e))[1] AS fit FROM greedy JOIN tries t USING (g2, g6) WHERE t.prio = greedy.prio + 1))",
+]
+
 r = lambda *names: ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
 r4 = lambda *names: ", ".join(f"round(CAST({n} AS DOUBLE), 4) AS {n}" for n in names)
 _STATS = ", ".join(f"round({f}(CAST({c} AS DOUBLE)), 4) AS {n}_{s}" for c, n in (("p_tilde", "ptilde"), ("n_tilde", "ntilde"), ("lambda_w", "lambda")) for f, s in (("avg", "mean"), ("stddev_samp", "std"), ("median", "median")))
-_TERMS = " + ".join(f"{A.WEIGHTS[k] / sum(A.WEIGHTS)!r} * s{k}.v" for k in A.ORDER)
-_SIMS = " ".join(f"JOIN sims s{k} ON s{k}.two = substr(x.anchor, {k + 1}, 1) || substr(y.anchor, {k + 1}, 1)" for k in A.ORDER)
 _BLOCK = "split_part(split_part(log, '--- Gibbs Iteration {i}/3 ---', 2), '--- Gibbs Iteration', 1)"
-_LOG = ", ".join("TRY_CAST(replace(nullif(regexp_extract(block, '" + p.replace("'", "''") + f"', 1), ''), ',', '') AS {'BIGINT' if kind == 'long' else 'DOUBLE'}) AS {name}" for name, p, kind, _ in LOG_FIELDS)
+
+
+def _stated(part: str, place: int) -> str:
+    """A regular expression for the number that a part of a line's shape leads to."""
+    number = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+    plain = re.escape(part).replace(r"\ ", " ").replace(r"\#", number)
+    return (plain + (number + r"[^0-9\n]*") * place + f"({number})").replace("'", "''")
+
+
+_LOG = ", ".join(f"TRY_CAST(replace(nullif(regexp_extract(block, '{_stated(part, place)}', 1), ''), ',', '') AS {'BIGINT' if kind == 'long' else 'DOUBLE'}) AS {name}" for name, part, place, kind, _ in LOG_FIELDS)
+_SUMMARY = "count(*) AS n, round(avg({x}), 4) AS mean, round(median({x}), 4) AS median, round(min({x}), 4) AS min, round(max({x}), 4) AS max, count_if({x} > {t}) AS n_above"
+_BOX = "WITH q AS (SELECT hla_idx, count(*) AS n, quantile_cont(g, 0.25) AS q1, quantile_cont(g, 0.5) AS median, quantile_cont(g, 0.75) AS q3 FROM (SELECT hla_idx, round(CAST({x} AS DOUBLE), 4) AS g FROM labels_) GROUP BY hla_idx) SELECT hla_idx, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, min(g) AS low, max(g) AS high FROM (SELECT hla_idx, round(CAST({x} AS DOUBLE), 4) AS g FROM labels_) JOIN q USING (hla_idx) WHERE g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1) GROUP BY hla_idx"
+_OBSERVED = "SELECT allele, count(*) AS n, CAST(sum(coalesce(label, 0)) AS BIGINT) AS pos FROM raw_obs GROUP BY allele"
 
 LAST = {
     "obs_load": "SELECT pep AS peptide, allele, count(*) AS n, CAST(sum(coalesce(label, 0)) AS BIGINT) AS pos FROM raw_obs GROUP BY ALL",
@@ -108,7 +163,7 @@ LAST = {
     "similarity": f"SELECT h1, h2, {r('s')} FROM sim",
     "similarity_counts": "SELECT count_if(s <> 0) AS n_nonzero, count_if(s > 0) AS n_positive, count_if(s < 0) AS n_negative, count_if(abs(s) <= 1e-8) AS n_near_zero FROM half",
     "matrix_or_long": f"SELECT row_name, col_name, {r('value')} FROM cells_or",
-    "matrix_or_wide": "SELECT * FROM (PIVOT (SELECT row_name, col_name, round(value, 6) AS value FROM cells_or) ON col_name IN (SELECT n_name FROM nation) USING first(value) GROUP BY row_name)",
+    "matrix_or_wide": "SELECT row_name, " + ", ".join(f"max(CASE WHEN col_name = '{n}' THEN round(value, 6) END) AS \"{n}\"" for n in fixtures.NATIONS) + " FROM cells_or GROUP BY row_name",
     "heat_cells": "SELECT row_name, col_name, round(log10(greatest(coalesce(value, 1.0), 1e-10)), 6) AS shade FROM cells_or",
     "associations": "SELECT hla_idx, hla_name, n_tested, n_significant FROM assoc",
     "association_histogram": "SELECT bin, round(lo + bin * (hi - lo) / 40, 6) AS bin_low, count(*) AS n FROM (SELECT CASE WHEN hi > lo THEN CAST(least(floor((x - lo) / ((hi - lo) / 40)), 39) AS INT) ELSE 0 END AS bin, lo, hi FROM (SELECT log10(n_significant + 1) AS x, min(log10(n_significant + 1)) OVER () AS lo, max(log10(n_significant + 1)) OVER () AS hi FROM assoc WHERE n_significant > 0)) GROUP BY bin, lo, hi",
@@ -121,6 +176,30 @@ LAST = {
     "gibbs_det_1iter": f"SELECT cluster_id, hla_idx, {r('gamma64')}, b_call FROM post1_gibbs",
     "gibbs_det_2iter": f"SELECT cluster_id, hla_idx, {r('gamma64')}, b_call FROM post2_gibbs",
     "em_1iter": f"SELECT cluster_id, hla_idx, {r('gamma64')}, b_call FROM post1_em",
+    "matrix_similarity": "SELECT row_name, col_name, round(coalesce(s, 0.0), 6) AS value FROM grid LEFT JOIN sim ON h1 = i1 AND h2 = i2",
+    "heat_cells_p": "SELECT row_name, col_name, round(-log10(least(greatest(coalesce(pvalue, 1.0), 1e-300), 1.0)), 4) + 0.0 AS shade FROM grid LEFT JOIN both_p ON h1 = i1 AND h2 = i2",
+    "heat_cells_p_adj": "SELECT row_name, col_name, round(-log10(least(greatest(coalesce(pvalue_adj, 1.0), 1e-300), 1.0)), 4) + 0.0 AS shade FROM grid LEFT JOIN both_p ON h1 = i1 AND h2 = i2",
+    "tested_histogram": "SELECT bin, round(lo + bin * (hi - lo) / 40, 6) AS bin_low, count(*) AS n FROM (SELECT CASE WHEN hi > lo THEN CAST(least(floor((x - lo) / ((hi - lo) / 40)), 39) AS INT) ELSE 0 END AS bin, lo, hi FROM (SELECT log10(n_tested + 1) AS x, min(log10(n_tested + 1)) OVER () AS lo, max(log10(n_tested + 1)) OVER () AS hi FROM assoc WHERE n_tested > 0)) GROUP BY bin, lo, hi",
+    "mean_phi_histogram": "SELECT bin, round(lo + bin * (hi - lo) / 60, 4) AS bin_low, count(*) AS n FROM (SELECT CASE WHEN hi > lo THEN CAST(least(floor((x - lo) / ((hi - lo) / 60)), 59) AS INT) ELSE 0 END AS bin, lo, hi FROM (SELECT x, min(x) OVER () AS lo, max(x) OVER () AS hi FROM (SELECT round(coalesce(avg(phi), 0), 6) AS x FROM idx LEFT JOIN phis USING (hla_idx) GROUP BY hla_idx))) GROUP BY bin, lo, hi",
+    "p_tilde_boxes": _BOX.format(x="p_tilde"),
+    "n_tilde_boxes": _BOX.format(x="n_tilde"),
+    "lambda_boxes": _BOX.format(x="lambda_w"),
+    "run_statistics": " UNION ALL ".join(f"SELECT '{stage}' AS stage, '{x}' AS value, {_SUMMARY.format(x=expression, t=t)} FROM {source}" for stage, x, expression, source, t in (("rates", "p_h", "p_h", "rates", 0.5), ("thresholds", "tau_h", "least(2 * p_h, 0.5)", "rates", 0.4999), ("posteriors", "gamma64", "gamma64", "called", 0.5), ("coverage", "penalty", "penalty", "cover", 0.5), ("propagation", "p_tilde", "CAST(p_tilde AS DOUBLE)", "labels_", 0.5), ("propagation", "lambda_w", "CAST(lambda_w AS DOUBLE)", "labels_", 0.5))),
+    "csv_file": _OBSERVED,
+    "tsv_file": _OBSERVED,
+    "fasta_file": "SELECT DISTINCT pep AS header, pep AS sequence FROM words",
+    "fasta_first_line": "SELECT DISTINCT pep AS header, left(pep, 3) AS sequence FROM words",
+    "cluster_file": "SELECT 'cluster_' || cluster_id AS cluster_id, count(*) AS n FROM members GROUP BY cluster_id",
+    "edge_file": "SELECT rep, count(*) AS n FROM exact GROUP BY rep",
+    "result_fallback": "SELECT CAST(hla_idx AS VARCHAR) AS hla_idx, hla_name FROM idx",
+    "best_run": "SELECT cluster_id, hla_idx, n_total FROM pairs",
+    "fasta_sink": "SELECT 'cluster_' || cluster_id AS cluster_id, count(*) AS n FROM members GROUP BY cluster_id HAVING count(*) >= 100",
+    "ordered_labels": "SELECT (SELECT count(*) FROM labels_) AS n, TRUE AS in_order",
+    "summary_by_clusters": "SELECT row_number() OVER (ORDER BY n DESC, hla_idx) AS place, hla_idx, n AS n_clusters FROM (SELECT hla_idx, count(*) AS n FROM pairs GROUP BY hla_idx)",
+    "gibbs_sampled": f"SELECT cluster_id, hla_idx, {r('gamma64')} FROM post1_drawn",
+    "gibbs_converged": " UNION ALL ".join(f"SELECT cluster_id, hla_idx, {r('gamma64')} FROM post{k}_fed WHERE (SELECT k FROM last_step) = {k}" for k in range(1, 7)),
+    "sampled_pairs": "SELECT cluster_id, hla_idx, n_pos, n_neg, n_total FROM (SELECT *, row_number() OVER (PARTITION BY hla_idx ORDER BY md5(concat_ws('|', '0', cluster_id, hla_idx)), cluster_id) AS k FROM pairs) WHERE k <= 300",
+    "greedy_clusters": "SELECT anchor, centroid FROM greedy WHERE anchor IS NOT NULL",
     "gibbs_delta": "SELECT round(max(abs(gamma64 - previous)), 6) AS delta_max, round(avg(abs(gamma64 - previous)), 6) AS delta_mean FROM post1_gibbs",
     "observed_summary": "SELECT hla_idx, hla_name, round(coalesce(avg(CAST(gamma AS DOUBLE)), 0), 6) AS gamma_mean, round(coalesce(stddev_samp(CAST(gamma AS DOUBLE)), 0), 6) AS gamma_std, round(coalesce(median(CAST(gamma AS DOUBLE)), 0), 6) AS gamma_median, round(coalesce(min(CAST(gamma AS DOUBLE)), 0), 6) AS gamma_min, round(coalesce(max(CAST(gamma AS DOUBLE)), 0), 6) AS gamma_max, count(gamma) AS gamma_count, CAST(coalesce(sum(n_pos), 0) AS BIGINT) AS total_pos, CAST(coalesce(sum(n_neg), 0) AS BIGINT) AS total_neg, CAST(coalesce(sum(n_total), 0) AS BIGINT) AS total_obs, count(DISTINCT cluster_id) AS n_clusters FROM idx LEFT JOIN called USING (hla_idx) GROUP BY ALL",
     "observed_with_params": f"SELECT hla_idx, tot AS total_obs, {r('alpha', 'beta', 'p_h')}, round(least(2 * p_h, 0.5), 6) AS tau_h FROM rates JOIN noise USING (hla_idx)",
@@ -133,7 +212,7 @@ LAST = {
     "anchor_mask": "SELECT DISTINCT pep AS sequence, CASE WHEN length(pep) >= 6 THEN left(pep, 3) || right(pep, 3) ELSE pep END AS masked FROM words",
     "anchor_counts": "SELECT anchor, n FROM anchors",
     "anchor_block_sizes": "SELECT g2, g6, count(*) AS n_anchors FROM blocks GROUP BY ALL",
-    "anchor_pair_scores": f"SELECT earlier, later, round(score, 6) AS score FROM (SELECT x.anchor AS earlier, y.anchor AS later, {_TERMS} AS score FROM blocks x JOIN blocks y ON x.g2 = y.g2 AND x.g6 = y.g6 AND x.prio < y.prio {_SIMS}) WHERE score >= 0.8",
+    "anchor_pair_scores": "SELECT earlier, later, round(score, 6) AS score FROM scored WHERE score >= 0.8",
     "exact_clusters": "SELECT rep, member FROM exact",
     "cluster_rank": "SELECT rep, size, row_number() OVER (ORDER BY size DESC, rep) - 1 AS cluster_num FROM rep_sizes",
     "cluster_size_buckets": "SELECT count_if(size = 1) AS singletons, count_if(size BETWEEN 2 AND 10) AS to_10, count_if(size BETWEEN 11 AND 100) AS to_100, count_if(size BETWEEN 101 AND 1000) AS to_1000, count_if(size > 1000) AS above, max(size) AS largest FROM rep_sizes",
@@ -141,14 +220,14 @@ LAST = {
     "extreme_clusters": "(SELECT 'top' AS \"end\", rep, size, rep AS sequence FROM rep_sizes ORDER BY size DESC, rep LIMIT 5) UNION ALL (SELECT 'bottom', rep, size, rep FROM rep_sizes ORDER BY size, rep DESC LIMIT 5)",
 }
 
+LAST["log_file"] = LAST["gibbs_log_table"]
+
 
 def _needed(last: str) -> list[str]:
     """The tables of the chain that a select uses, in order."""
-    import re
-
     wanted, out = set(re.findall(r"\w+", last)), []
     for part in reversed(CHAIN):
-        name = part.split(" AS ", 1)[0]
+        name = re.match(r"\w+", part)[0]
         if name in wanted:
             wanted |= set(re.findall(r"\w+", part))
             out.append(part)
@@ -166,4 +245,4 @@ def _counted(sql: str) -> str:
     return sql
 
 
-ORACLE = {name: _counted(f"WITH {', '.join(parts)} SELECT * FROM ({last})" if (parts := _needed(last)) else last) for name, last in LAST.items()}
+ORACLE = {name: _counted(f"WITH {'RECURSIVE ' * ('greedy' in last)}{', '.join(parts)} SELECT * FROM ({last})" if (parts := _needed(last)) else last) for name, last in LAST.items()}

@@ -26,6 +26,8 @@ class Outcome:
     labels: DataFrame | None
     index: DataFrame
     metrics: list[dict]
+    similarity: DataFrame
+    coverage: DataFrame
 
 
 def cluster_file(spark: SparkSession, fasta: str, out: str, *, threshold: float = 0.6, least: int = 1) -> dict:
@@ -59,11 +61,11 @@ def run(spark: SparkSession, observations: str, cluster_tsv: str, out: str | Non
     called = saved(noise.called(pairs, params, cfg))
     if cfg.max_iter:
         done = refine.refine(called, index, sizes, cfg, method=method, propagate=propagate_labels)
-        result = Outcome(done.pairs, done.params, done.tested, done.labels, index, done.metrics)
+        result = Outcome(done.pairs, done.params, done.tested, done.labels, index, done.metrics, done.similarity, propagate.coverage(pairs, sizes, cfg))
     else:
         tested = saved(similarity.tests(called, cfg))
         labels = saved(propagate.propagated(called, similarity.similarity(tested, cfg), index, sizes, cfg)) if propagate_labels else None
-        result = Outcome(called, params, tested, labels, index, [])
+        result = Outcome(called, params, tested, labels, index, [], similarity.similarity(tested, cfg), propagate.coverage(pairs, sizes, cfg))
     if out is not None:
         write(result, rates, out, f"_{method}_final" if cfg.max_iter else "")
     return result
@@ -81,11 +83,27 @@ def write(result: Outcome, rates: DataFrame, out: str, suffix: str) -> None:
     sinks.write_csv(index, f"{at['level2']}/hla_index.csv", ["hla_idx"])
     sinks.write_parquet(result.tested, f"{at['level2']}/pairwise_tests.parquet")
     sinks.write_csv(similarity.associations(result.tested, index), f"{at['level2']}/hla_associations.csv", ["hla_idx"])
-    for column in ("OR", "pvalue", "pvalue_adj"):
-        sinks.write_csv(similarity.matrix_long(result.tested, index, column), f"{at['level2']}/{column}_matrix.csv", ["row_name", "col_name"])
-    sinks.write_csv(reports.observed_summary(pairs, index), f"{at['diagnostics']}/per_hla_observed_summary.csv", ["hla_idx"])
+    names = [r.hla_name for r in index.orderBy("hla_idx").collect()]  # a dictionary
+    matrices = {"S": similarity.similarity_long(result.similarity, index)} | {c: similarity.matrix_long(result.tested, index, c) for c in ("OR", "pvalue", "pvalue_adj")}
+    for name, matrix in matrices.items():
+        matrix = saved(matrix)
+        sinks.write_csv(matrix, f"{at['level2']}/{name}_matrix.csv", ["row_name", "col_name"])
+        if len(names) <= sinks.MOST_ALLELES:
+            sinks.write_matrix(matrix, names, f"{at['level2']}/{name}_matrix")
+    purity = diagnostics.allele_purity(pairs, index)
+    sinks.write_csv(diagnostics.spread_histogram(purity, F.round("mean_phi", 6), 60), f"{at['diagnostics']}/mean_phi_histogram.csv", ["bin"])
+    associations = similarity.associations(result.tested, index)
+    for column in ("n_tested", "n_significant"):
+        sinks.write_csv(diagnostics.association_histogram(associations, column), f"{at['diagnostics']}/{column}_histogram.csv", ["bin"])
+    for name, kind in (("OR", "or"), ("pvalue", "p"), ("pvalue_adj", "p")):
+        sinks.write_csv(diagnostics.heat_cells(matrices[name], kind), f"{at['diagnostics']}/{name}_heat.csv", ["row_name", "col_name"])
+    sinks.write_csv(reports.observed_summary(pairs, index), f"{at['diagnostics']}/per_hla_observed_summary.csv", [F.desc("n_clusters"), "hla_idx"])
+    labels = result.labels if result.labels is not None else pairs.sparkSession.createDataFrame([], "cluster_id int, hla_idx int, p_tilde float, n_tilde float, lambda_w float")
+    sinks.write_csv(reports.run_statistics(result.params, pairs, result.coverage, labels), f"{at['diagnostics']}/run_statistics.csv", ["stage", "value"])
     if result.labels is not None and result.labels.limit(1).count():
-        sinks.write_parquet(result.labels, f"{at['level3']}/propagated_labels.parquet")
+        sinks.write_ordered(result.labels, f"{at['level3']}/propagated_labels.parquet", ["hla_idx", "cluster_id"])
+        for column in ("p_tilde", "n_tilde", "lambda_w"):
+            sinks.write_csv(diagnostics.boxes(result.labels.withColumn(column, F.col(column).cast("double")), "hla_idx", column), f"{at['diagnostics']}/{column}_boxes.csv", ["hla_idx"])
         sinks.write_csv(propagate.propagation_summary(result.labels, index), f"{at['level3']}/propagation_summary.csv", ["hla_idx"])
         sinks.write_csv(reports.propagated_summary(result.labels, index), f"{at['diagnostics']}/per_hla_propagated_summary.csv", ["hla_idx"])
     if result.metrics:

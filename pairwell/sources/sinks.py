@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 import numpy as np
@@ -23,7 +24,26 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None, sep: str = ",") -> None:
+def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
+    """A large table in order, over as many files as it has partitions."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_matrix(matrix: DataFrame, names: list[str], path: str) -> None:
+    """row_name, col_name, value as <path>.npy and as <path>_wide.csv with a column an allele; through any file system that Spark knows."""
+    spark, data = matrix.sparkSession, io.BytesIO()
+    np.save(data, dense(matrix, names))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".npy")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    wide = matrix.groupBy("row_name").pivot("col_name", names).agg(F.first("value"))
+    write_csv(wide, path + "_wide.csv", ["row_name"])
+
+
+def write_csv(df: DataFrame, path: str, order: list | None = None, sep: str = ",") -> None:
     """A small table (one row an allele, or a pair of them) as one file with a header."""
     ordered = df.orderBy(*order) if order else df
     ordered.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

@@ -6,13 +6,18 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new name below spark.checkpoint.dir (a folder of this machine only where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "pairwell-shared")
+    return f"{base.rstrip('/')}/pairwell-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir (a folder of this machine only where that is unset) and read back."""
+    """df, written to the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "pairwell-shared")
-    path = f"{base.rstrip('/')}/pairwell-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -43,12 +43,14 @@ def test_against_sql(spark, duck, name):
 
 def test_fisher_goldens(spark):
     for table, p in GOLD.items():
-        assert fisher.two_sided(*table) == pytest.approx(p, rel=1e-9)
+        assert fisher.two_sided(*([x] for x in table))[0] == pytest.approx(p, rel=1e-9)
+    many = np.array([*GOLD, *GOLD, (300, 20, 40, 900)]).T
+    assert fisher.two_sided(*many, most=1) == pytest.approx(fisher.two_sided(*many), rel=1e-12) and len(fisher.two_sided([], [], [], [])) == 0
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate([*GOLD, (300, 20, 40, 900)])], "i int, a long, b long, c long, d long")
     by_rows = {r.i: r.pvalue for r in fisher.fisher_by_rows(rows, ["i"]).collect()}
     by_udf = {r.i: r.p for r in rows.select("i", fisher.fisher("a", "b", "c", "d").alias("p")).collect()}
     assert by_rows == pytest.approx(by_udf, rel=1e-9) and [by_rows[i] for i in range(6)] == pytest.approx(list(GOLD.values()), rel=1e-9)
-    assert 0 < fisher.two_sided(500_000, 1000, 1200, 499_000) + 1e-300 <= 1
+    assert 0 < fisher.two_sided([500_000], [1000], [1200], [499_000])[0] + 1e-300 <= 1
 
 
 def test_greedy_equals_rounds(spark):

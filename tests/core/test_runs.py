@@ -1,5 +1,6 @@
 """Whole runs from files, the commands, and the stream of counts."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairwell import __main__ as command
@@ -21,6 +22,15 @@ def test_files_to_files(spark, tmp_path):
     result = pipeline.run(spark, str(tmp_path / "obs.parquet"), f"{out}/clusters.tsv", out, EngineConfig(min_shared=3))
     assert result.pairs.agg(F.sum("n_total")).first()[0] == words.count()
     assert spark.read.parquet(f"{out}/stage1/level1/level1_results.parquet").count() == result.pairs.count()
+    level2 = f"{out}/stage1/level2"
+    names = [r.hla_name for r in result.index.orderBy("hla_idx").collect()]
+    for name in ("S", "OR", "pvalue", "pvalue_adj"):
+        dense = np.load(f"{level2}/{name}_matrix.npy")
+        wide = spark.read.option("header", True).option("inferSchema", True).csv(f"{level2}/{name}_matrix_wide.csv").toPandas().set_index("row_name").loc[names, names]
+        assert dense.shape == (len(names),) * 2 and np.allclose(dense, wide.astype(float).to_numpy(), equal_nan=True) and np.allclose(dense, dense.T, equal_nan=True)
+        assert (np.diag(dense) == 0).all() if name == "S" else np.isnan(np.diag(dense)).all()
+    stats = spark.read.option("header", True).csv(f"{out}/stage1/diagnostics/run_statistics.csv").collect()
+    assert {r.value for r in stats} == {"p_h", "tau_h", "gamma64", "penalty", "p_tilde", "lambda_w"}
     again = pipeline.run(spark, str(tmp_path / "obs.parquet"), f"{out}/clusters.tsv", out, EngineConfig(max_iter=2, sample_theta=False, min_shared=3), propagate_labels=False)
     assert again.labels is None and 1 <= len(again.metrics) <= 2
     (tmp_path / "log.txt").write_text(fixtures.LOG)
