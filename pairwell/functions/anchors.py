@@ -94,12 +94,25 @@ def block(anchor: Column) -> tuple[Column, Column]:
     return group_of(F.substring(anchor, 2, 1)), group_of(F.substring(anchor, 6, 1))
 
 
-def score(a: Column, b: Column) -> Column:
-    """The weighted similarity of two anchors."""
-    sim = matrix()
-    known = F.create_map(*[F.lit(x) for i, p in enumerate(RESIDUES) for j, q in enumerate(RESIDUES) for x in (p + q, float(sim[i, j]))])
-    terms = [F.lit(WEIGHTS[k] / sum(WEIGHTS)) * F.coalesce(F.try_element_at(known, F.concat(F.substring(a, k + 1, 1), F.substring(b, k + 1, 1))), F.lit(0.0)) for k in ORDER]
+def codes(anchor: Column) -> Column:
+    """Numbers of an anchor's residues, from 1; 0 for unknown letters."""
+    letter = lambda k: F.rpad(F.substring(anchor, k + 1, 1), 1, " ")  # noqa: E731 (an empty string would be found everywhere)
+    return F.array(*[F.instr(F.lit(RESIDUES), letter(k)) for k in range(FRONT + BACK)])
+
+
+def coded_score(a: Column, b: Column) -> Column:
+    """The weighted similarity of two anchors given as codes(): one look into a constant array a place."""
+    n = len(RESIDUES) + 1
+    square = np.zeros((n, n))
+    square[1:, 1:] = matrix()
+    known = F.array(*[F.lit(float(x)) for x in square.ravel()])
+    terms = [F.lit(WEIGHTS[k] / sum(WEIGHTS)) * F.coalesce(F.get(known, F.get(a, F.lit(k)) * n + F.get(b, F.lit(k))), F.lit(0.0)) for k in ORDER]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
     return total
+
+
+def score(a: Column, b: Column) -> Column:
+    """The weighted similarity of two anchors."""
+    return coded_score(codes(a), codes(b))

@@ -75,10 +75,11 @@ def greedy_clusters(counts: DataFrame, threshold: float) -> DataFrame:
 
 def similar_pairs(counts: DataFrame, threshold: float) -> DataFrame:
     """earlier, later, prio (of earlier) of pairs in a block with a score of at least threshold."""
-    p = prioritised(counts)
-    a = p.select("g2", "g6", F.col("anchor").alias("earlier"), "prio")
-    b = p.select("g2", "g6", F.col("anchor").alias("later"), F.col("prio").alias("later_prio"))
-    return a.join(b, ["g2", "g6"]).where("prio < later_prio").where(anchors.score(F.col("earlier"), F.col("later")) >= threshold).select("earlier", "later", "prio")
+    p = prioritised(counts).withColumn("codes", anchors.codes(F.col("anchor")))
+    a = p.select("g2", "g6", F.col("anchor").alias("earlier"), "prio", F.col("codes").alias("earlier_codes"))
+    b = p.select("g2", "g6", F.col("anchor").alias("later"), F.col("prio").alias("later_prio"), F.col("codes").alias("later_codes"))
+    alike = anchors.coded_score(F.col("earlier_codes"), F.col("later_codes")) >= threshold
+    return a.join(b, ["g2", "g6"]).where("prio < later_prio").where(alike).select("earlier", "later", "prio")
 
 
 def clusters_by_rounds(counts: DataFrame, threshold: float) -> DataFrame:
