@@ -41,14 +41,14 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(texts: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (A-Z lower-cased), and where each text's words start (n + 1)."""
+def _cut(texts: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The running sum over all bytes, the powers to shift by, starts and ends of words, and where texts start; None without bytes."""
     texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type)
     at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     lo, hi = int(at[0]), int(at[-1])
     if lo == hi:
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return None
     data = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
     at = at - lo
     inside = word_bytes[data]
@@ -65,8 +65,29 @@ def words(texts: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_LOWER[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at)
+    return total, down, starts, ends, at
+
+
+def _hashed(total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def words(texts: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (A-Z lower-cased), and where each text's words start (n + 1)."""
+    cut = _cut(texts, word_bytes)
+    if cut is None:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    total, down, starts, ends, at = cut
+    return _hashed(total, down, starts, ends), np.searchsorted(starts, at)
+
+
+def words_and_tails(texts: pa.Array, word_bytes: np.ndarray, tail: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words(), with the hashes of the words' last `tail` bytes in the middle."""
+    cut = _cut(texts, word_bytes)
+    if cut is None:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    total, down, starts, ends, at = cut
+    return _hashed(total, down, starts, ends), _hashed(total, down, np.maximum(starts, ends - tail), ends), np.searchsorted(starts, at)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
