@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, hidden_markov, license_scan, near_duplicates, private_data, quality, runtime, token_counts, token_files, tool_calls, url_filter
+from . import alignment, bpe_tree, decontaminate, hidden_markov, license_scan, near_duplicates, private_data, quality, runtime, token_counts, token_files, tool_calls, url_filter
 
 #: Listed urls (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -78,11 +78,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(runtime.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model"))
+
+
 def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.scores(runtime.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_private_data, op3_license_scan, op4_ngram_jaccard, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate, op12_hidden_markov)}
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_private_data, op3_license_scan, op4_ngram_jaccard, op5_quality, op6_bpe_tree, op7_url_filter, op8_token_counts, op9_token_files, op10_decontaminate, op11_token_alignment, op12_hidden_markov)}
 
 ORACLE = {
     "op1_tool_calls": r"""
