@@ -31,7 +31,9 @@ from . import runtime, wordhash
 from .runtime import ship
 
 #: Tokens of a piece, and of the pieces that go through the recursion together.
-PIECE, GROUP = 1024, 1 << 19
+PIECE, GROUP = 2048, 1 << 19
+#: Steps after which a piece's matrix is scaled: as many probabilities multiplied stay far above the least double.
+STEPS = 16
 
 
 @dataclass
@@ -83,8 +85,6 @@ class _Lockstep:
         ranks[place] = self.rank
         self.rank = ranks
         self.final = self.at[length - 1] + np.arange(len(length))
-        self.follows = np.arange(self.active[0], len(place))  # all but the pieces' first, and what goes before them
-        self.before = self.follows - np.repeat(self.active[:-1], self.active[1:])
 
     def forward(self, enter: np.ndarray, move: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward values, and the scales; said: the states' probabilities of each symbol."""
@@ -99,39 +99,48 @@ class _Lockstep:
             else:
                 np.multiply(enter, said[lo:hi], out=now)
             np.matmul(now, ones, out=sum_)
-            now /= sum_[:, None]
+            now *= (1 / sum_)[:, None]
         return value, scale
 
-    def backward(self, leave: np.ndarray, move: np.ndarray, said: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """Backward values, each step up to a factor."""
-        value, back = np.empty_like(said), np.ascontiguousarray(move.T)
-        scaled = said / scale[:, None]
+    def backward(self, leave: np.ndarray, move: np.ndarray, said: np.ndarray, fore: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward values, and the sum of (forward, backward) products of neighbours; said is divided by the scales.
+
+        leave is scaled for each piece so that forward and backward values of a symbol multiply to states' shares.
+        """
+        value, back, pairs = np.empty_like(said), np.ascontiguousarray(move.T), np.zeros(move.shape)
         at = self.at
         for t in range(len(self.active) - 1, -1, -1):
             lo, hi = at[t], at[t + 1]
             more = self.active[t + 1] if t + 1 < len(self.active) else 0
             if more:
                 nxt = slice(at[t + 1], at[t + 1] + more)
-                np.matmul(value[nxt] * scaled[nxt], back, out=value[lo : lo + more])
+                weight = value[nxt] * said[nxt]
+                np.matmul(weight, back, out=value[lo : lo + more])
+                pairs += fore[lo : lo + more].T @ weight
             value[lo + more : hi] = leave[more : hi - lo]
-        return value
+        return value, pairs
 
 
-def _matrices(model: Model, symbols: np.ndarray, cut: _Pieces) -> np.ndarray:
-    """For pieces of texts with several: what each state before the first symbol becomes at the last, up to a factor a piece."""
+def _matrices(model: Model, symbols: np.ndarray, cut: _Pieces, chosen: np.ndarray) -> np.ndarray:
+    """For the chosen pieces: what each state before the first symbol becomes at the last, up to a factor a piece."""
     k = len(model.start)
     out = np.zeros((len(cut.text), k, k))
-    emit, move = model.emit, model.move
-    for group in cut.groups(np.flatnonzero(cut.many), max(1, GROUP // k)):
+    move = model.move
+    for group in cut.groups(chosen, max(1, GROUP // k)):
         lock = _Lockstep(symbols, cut.begin[group], cut.length[group])
+        said = model.emit[lock.symbols].astype(float)
         value, log = np.broadcast_to(np.eye(k), (len(group), k, k)).copy(), np.zeros((len(group), k))
+        spare = np.empty_like(value)
         for t, n in enumerate(lock.active):
-            said = emit[lock.symbols[lock.at[t] : lock.at[t + 1]]].astype(float)
-            now = (value[:n].reshape(n * k, k) @ move).reshape(n, k, k) if t else value[:n]
-            now = now * said[:, None, :]
-            total = now.sum(2)
-            log[:n] += np.log(np.maximum(total, 1e-300))
-            value[:n] = now / np.maximum(total, 1e-300)[:, :, None]
+            if t:
+                np.matmul(value[:n].reshape(n * k, k), move, out=spare[:n].reshape(n * k, k))
+                np.multiply(spare[:n], said[lock.at[t] : lock.at[t + 1], None, :], out=value[:n])
+            else:
+                value *= said[:n, None, :]
+            if t % STEPS == 0:
+                total = value[:n].sum(2)
+                log[:n] += np.log(np.maximum(total, 1e-300))
+                value[:n] /= np.maximum(total, 1e-300)[:, :, None]
         out[group] = value * np.exp(log - log.max(1, keepdims=True))[:, :, None]
     return out
 
@@ -142,7 +151,7 @@ def _edges(model: Model, symbols: np.ndarray, cut: _Pieces, both: bool) -> tuple
     enter, leave = np.tile(model.start, (len(cut.text), 1)), np.tile(model.end, (len(cut.text), 1))
     prior = np.zeros_like(enter)
     if cut.chained:
-        matrix = _matrices(model, symbols, cut)
+        matrix = _matrices(model, symbols, cut, np.flatnonzero(cut.many if both else cut.many & ~cut.last))
         for now in cut.chained[1:]:
             value = np.einsum("ni,nij->nj", enter[now - 1], matrix[now - 1])
             prior[now] = value / value.sum(1, keepdims=True)
@@ -185,20 +194,19 @@ def expect(model: Model, symbols: np.ndarray, lengths: np.ndarray, counts: np.nd
         lock = _Lockstep(symbols, cut.begin[group], cut.length[group])
         said = emit[lock.symbols]
         value, scale = lock.forward(enter[group], move, said)
-        back = lock.backward(leave[group], move, said, scale)
-        used = value * back
-        total = used @ np.ones(k, np.float32)
-        used /= total[:, None]
-        for j in range(k):
-            counts[:, j] += np.bincount(lock.symbols, used[:, j], len(counts))
-        back *= said
-        back /= (scale * total)[:, None]  # a move's weight: value before * move * back
-        first, place = used[: len(group)], cut.place[group]
-        edges[0] += first[place == 0].sum(0)
-        edges[1] += used[lock.final][cut.last[group]].sum(0)
-        edges[2:] += (value[lock.before].T @ back[lock.follows]) * move
+        said *= (1 / scale)[:, None]
+        behind = leave[group]
+        behind = behind / (value[lock.final] * behind).sum(1, keepdims=True)
+        back, pairs = lock.backward(behind, move, said, value)
+        edges[2:] += pairs * move
+        first, place = slice(0, len(group)), cut.place[group]
         inner = place > 0  # moves into a piece from the one before
-        edges[2:] += (prior[group][inner].T @ back[: len(group)][inner]) * move
+        edges[2:] += (prior[group][inner].T @ (back[first] * said[first])[inner]) * move
+        back *= value  # now the states' shares
+        for j in range(k):
+            counts[:, j] += np.bincount(lock.symbols, back[:, j], len(counts))
+        edges[0] += back[first][~inner].sum(0)
+        edges[1] += back[lock.final][cut.last[group]].sum(0)
     return edges
 
 
