@@ -34,6 +34,8 @@ from .runtime import ship
 
 MARK = "▁"
 _BLOCK = "block long, doc_ids array<long>, sizes array<int>, places array<int>, units array<string>, times array<int>"
+#: Bytes looked at together when a block is cut.
+_STRIDE = 1 << 20
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
@@ -114,21 +116,25 @@ class Cutter:
                 self.probe[lead] = "\n"
         self.apart = apart & (np.isin(np.arange(256), [32, *self.probe]))[None, :]
 
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether units start at the bytes from the fifth on."""
+        now, before = data[4:], data[3:-1]
+        two, three, four = data[2:-2], data[1:-3], data[:-4]
+        wide = before >= 0x80
+        solid = (before > 32) & (before < 127) | wide & ((two >= 0xC3) & (two <= 0xDF) | (three >= 0xE4) & (three <= 0xEE) | (four >= 0xF0) & (four <= 0xF4))
+        letter = _LETTER[before] | wide & (two >= 0xC3) & (two <= 0xC9) & ~((two == 0xC3) & np.isin(before, [0x97, 0xB7]))
+        space = (now == 32) | (now == 10) | (now == 9) | (now == 13)
+        found = solid & space | letter & (now < 128) & ~_LETTER[now]
+        line = np.zeros(len(found), bool)  # a line feed that is a unit
+        line[1:] = (before[1:] == 10) & (solid & space)[:-1]
+        found |= line & ((now > 32) & (now < 127) | (now >= 0xC3) & (now <= 0xDF) | (now >= 0xE4) & (now <= 0xEE) | (now >= 0xF0) & (now <= 0xF4))
+        return found & self.apart[before, now]
+
     def starts(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """Where units start in the bytes of texts (each led by a space), given where texts start."""
         cut = np.zeros(len(data), bool)
-        if self.usable and len(data) > 4:
-            now, before = data[4:], data[3:-1]
-            two, three, four = data[2:-2], data[1:-3], data[:-4]
-            wide = before >= 0x80
-            solid = (before > 32) & (before < 127) | wide & ((two >= 0xC3) & (two <= 0xDF) | (three >= 0xE4) & (three <= 0xEE) | (four >= 0xF0) & (four <= 0xF4))
-            letter = _LETTER[before] | wide & (two >= 0xC3) & (two <= 0xC9) & ~((two == 0xC3) & np.isin(before, [0x97, 0xB7]))
-            space = (now == 32) | (now == 10) | (now == 9) | (now == 13)
-            found = solid & space | letter & (now < 128) & ~_LETTER[now]
-            line = np.zeros(len(found), bool)
-            line[1:] = (before[1:] == 10) & (solid & space)[:-1]
-            found |= line & ((now > 32) & (now < 127) | (now >= 0xC3) & (now <= 0xDF) | (now >= 0xE4) & (now <= 0xEE) | (now >= 0xF0) & (now <= 0xF4))
-            cut[4:] = found & self.apart[before, now]
+        for lo in range(4, len(data) if self.usable else 0, _STRIDE):
+            cut[lo : lo + _STRIDE] = self._cuts(data[lo - 4 : lo + _STRIDE])
         for k in range(1, 4):  # the bytes read before a text's first few are those of another text
             near = texts + k
             cut[near[near < len(data)]] = False
@@ -212,7 +218,7 @@ def token_ends(encoded: DataFrame) -> DataFrame:
     The full outer join of both sides on (uid, end), as one grouping, since both come from the same rows.
     """
     sides = F.array(*[F.struct(F.lit(k).alias("side"), F.arrays_zip(F.col(n).alias("id"), F.col(f"{n}_size").alias("size")).alias("tokens")) for k, n in enumerate("ab")])
-    rows = encoded.repartition("uid").select("uid", "times", F.explode(sides).alias("x")).select("uid", "times", "x.side", F.posexplode("x.tokens").alias("pos", "token"))
+    rows = encoded.select("uid", "times", F.explode(sides).alias("x")).select("uid", "times", "x.side", F.posexplode("x.tokens").alias("pos", "token"))
     running = F.sum("token.size").over(Window.partitionBy("uid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = rows.select("uid", "times", "side", F.col("token.id").alias("id"), running.cast("int").alias("end"))
     return ends.groupBy("uid", "end").agg(F.first("times").alias("times"), *[F.max(F.when(F.col("side") == k, F.col("id"))).alias(n) for k, n in enumerate("ab")])
@@ -225,20 +231,31 @@ def linked(ends: DataFrame) -> DataFrame:
     return ends.select("*", F.last("a", ignorenulls=True).over(back).alias("link_a"), F.last("b", ignorenulls=True).over(back).alias("link_b"), F.sum(cut).over(back).cast("int").alias("part"))
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """link_a, link_b, n (links corpus-wide) and best (whether n is the highest of its B id)."""
-    pairs = links.groupBy("link_a", "link_b").agg(F.sum("times").alias("n"))
-    return pairs.select("*", (F.col("n") == F.max("n").over(Window.partitionBy("link_b"))).alias("best"))
+def _of_units(encoded: DataFrame) -> DataFrame:
+    """unit, uid, times, n_a, n_b, n_groups, n_links, groups and links (pairs of ids) of each unit; rows of a unit stay in one partition throughout."""
+    placed = encoded.repartition("uid")
+    rows = linked(token_ends(placed))
+    parts = rows.groupBy("uid", "part").agg(F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("end", "a", "b", "link_a", "link_b"))).alias("x"))
+    ids = lambda c: F.transform(F.filter("x", lambda e: e[c].isNotNull()), lambda e: e[c].cast("string"))
+    parts = parts.select("uid", "part", "times", "x", ids("a").alias("ids_a"), ids("b").alias("ids_b"))
+    group = F.concat(F.array_join("ids_a", ","), F.lit("|"), F.array_join("ids_b", ","))
+    parts = parts.select("uid", "part", "times", F.size("ids_a").alias("n_a"), F.size("ids_b").alias("n_b"), group.alias("group"), F.transform("x", lambda e: F.struct(e["link_a"].alias("a"), e["link_b"].alias("b"))).alias("links"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("part"), "group", "links")))
+    units = parts.groupBy("uid").agg(F.first("times").alias("times"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), listed.alias("x"))
+    units = units.select("uid", "times", "n_a", "n_b", "n_groups", F.array_join(F.transform("x", lambda e: e["group"]), ";").alias("groups"), F.flatten(F.transform("x", lambda e: e["links"])).alias("links"))
+    return units.withColumn("n_links", F.size("links").cast("long")).join(placed.select("uid", "unit"), "uid")
+
+
+def pair_counts(units: DataFrame) -> DataFrame:
+    """a, b, n (links corpus-wide) and best (whether n is the highest of its B id)."""
+    pairs = units.select("times", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("times").alias("n"))
+    return pairs.select("a", "b", "n", (F.col("n") == F.max("n").over(Window.partitionBy("b"))).alias("best"))
 
 
-def _of_units(encoded: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """unit and its n_a, n_b, n_groups, n_links, n_best, count_sum and groups; nulls for spoiled units."""
-    ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    groups = links.groupBy("uid", "part").agg(F.count("a").alias("a"), F.count("b").alias("b"), F.count("*").alias("links"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("group"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("part"), "group"))), lambda x: x["group"]), ";")
-    shape = groups.groupBy("uid").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("links").alias("n_links"), text.alias("groups"))
-    weights = links.select("uid", "link_a", "link_b").join(pairs, ["link_a", "link_b"]).groupBy("uid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    return encoded.select("uid", "unit").join(shape, "uid", "left").join(weights, "uid", "left").drop("uid")
+def _weights(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """uid, n_best, count_sum."""
+    links = units.select("uid", F.explode("links").alias("x")).select("uid", "x.a", "x.b")
+    return links.join(pairs, ["a", "b"]).groupBy("uid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
 #: What a text adds up over its units.
@@ -281,7 +298,7 @@ def _saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row; if asked for, also groups.
 
     A tokenizes a space and the text, B the text (it adds the space). Null and empty texts, and texts
@@ -298,6 +315,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     if not encoded.where("not good").isEmpty():
         lost = _spoiled(blocks, encoded)
         usable = usable.join(lost, "unit", "left").withColumn("times", F.col("times") - F.coalesce("lost", F.lit(0))).drop("lost")
-    links = _saved(linked(token_ends(usable.select("uid", "times", "a", "a_size", "b", "b_size"))))
-    pairs = _saved(pair_counts(links))
-    return _of_texts(blocks, _saved(_of_units(encoded, links, pairs)), keep_groups)
+    aligned = _saved(_of_units(usable.select("uid", "unit", "times", "a", "a_size", "b", "b_size")))
+    weights = _saved(_weights(aligned, _saved(pair_counts(aligned))))
+    units = aligned.drop("links", "times").join(weights, "uid", "left").drop("uid")
+    units = _saved(units.unionByName(encoded.where("not good").select("unit"), allowMissingColumns=True))
+    runtime.drop(encoded, aligned, weights)
+    return _of_texts(blocks, units, keep_groups)
