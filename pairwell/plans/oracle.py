@@ -96,6 +96,10 @@ CHAIN = [
     *_iteration(1, "gibbs"), *_iteration(2, "gibbs"), *_iteration(1, "em"), *_iteration(1, "drawn"), *_FED,
     f"words AS ({_WORDS})",
     "raw_obs AS (SELECT pep, allele, quality AS label FROM words JOIN labels USING (doc_id))",
+    "fed_idx AS (SELECT CAST(row_number() OVER (ORDER BY allele) - 1 AS INT) AS hla_idx, allele FROM (SELECT DISTINCT allele FROM raw_obs WHERE allele IS NOT NULL))",
+    "fed_pairs AS MATERIALIZED (SELECT left(pep, 3) || right(pep, 3) AS cluster_id, hla_idx, CAST(sum(coalesce(label, 0)) AS BIGINT) AS n_pos, CAST(count(*) - sum(coalesce(label, 0)) AS BIGINT) AS n_neg, count(*) AS n_total FROM raw_obs JOIN fed_idx USING (allele) GROUP BY 1, 2)",
+    "fed_rates AS (SELECT hla_idx, least(greatest((sum(n_pos) + 50 * any_value(pg)) / (sum(n_total) + 50.0), 0.001), 0.95) AS p_h FROM fed_pairs, (SELECT sum(n_pos) / sum(n_total) AS pg FROM fed_pairs) GROUP BY hla_idx)",
+    _rates("fed_noise", "fed_pairs", "n_total >= 5 AND n_pos / n_total > 0.90", "n_total >= 5 AND n_neg / n_total > 0.90").replace("FROM idx ", "FROM fed_idx "),
     "members AS (SELECT DISTINCT pep AS sequence, 32 * (ascii(pep) - 65) + length(pep) AS cluster_id FROM words WHERE length(pep) <= 12)",
     "anchors AS (SELECT left(pep, 3) || right(pep, 3) AS anchor, count(*) AS n FROM words GROUP BY 1)",
     "exact AS (SELECT pep AS member, min(pep) OVER (PARTITION BY left(pep, 3) || right(pep, 3)) AS rep FROM (SELECT DISTINCT pep FROM words))",
@@ -220,6 +224,8 @@ LAST = {
     "extreme_clusters": "(SELECT 'top' AS \"end\", rep, size, rep AS sequence FROM rep_sizes ORDER BY size DESC, rep LIMIT 5) UNION ALL (SELECT 'bottom', rep, size, rep FROM rep_sizes ORDER BY size, rep DESC LIMIT 5)",
 }
 
+LAST["job1_observation_feed"] = f"SELECT allele, cluster_id, n_pos, n_neg, n_total, round(gamma64, 6) AS gamma, CAST(gamma64 > least(2 * p_h, 0.5) AS INT) AS b_call FROM (SELECT *, {_POSTERIOR} AS gamma64 FROM fed_pairs JOIN fed_noise USING (hla_idx) JOIN fed_rates USING (hla_idx) JOIN fed_idx USING (hla_idx))"
+LAST["job2_label_release"] = "SELECT hla_name AS allele, cluster_id, 'observed' AS kind, round(gamma64, 4) AS value, CAST(n_total AS DOUBLE) AS weight FROM called JOIN idx USING (hla_idx) UNION ALL SELECT hla_name, cluster_id, 'propagated', round(CAST(p_tilde AS DOUBLE), 4), round(CAST(n_tilde AS DOUBLE), 4) FROM labels_ JOIN idx USING (hla_idx)"
 LAST["log_file"] = LAST["gibbs_log_table"]
 
 

@@ -16,6 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether path is one file and no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile())
+
+
 def required(spark: SparkSession, *paths: str) -> None:
     """Raises FileNotFoundError for the first path that isn't there."""
     for path in paths:

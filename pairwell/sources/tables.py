@@ -20,4 +20,14 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of saved() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

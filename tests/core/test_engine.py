@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from jobs import queries as jobs
 from pairwell.config import EngineConfig
 from pairwell.functions import anchors, fisher
 from pairwell.operators import clusters, counts, noise, propagate, refine, reports, similarity
@@ -33,7 +34,7 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_against_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
+    got = (catalog.QUERIES | jobs.QUERIES)[name](spark, SF)
     want = duck.sql(oracle.ORACLE[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
