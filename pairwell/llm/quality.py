@@ -1,16 +1,21 @@
 """Quality rules: fixed rules, then robust multivariate outliers of each language and source.
 
-Every document gets a vector of transformed statistics (mean word length, symbols, repeated lines and
-repeated word windows, on log scales). For each (language, source), each language and the whole table
-the centre and scatter of the `core` share of documents whose covariance determinant is least are
-estimated: three starts (medians and quartile spreads, all documents, documents inside all quartiles)
-are refined by two concentration steps each, which re-estimate from the core share with the least
-distances; the start with the least determinant goes on until no determinant falls any more.
+Every document gets a vector of four statistics that vary among good texts too: the mean length of words
+(each up to 16 letters, so a token or address weighs little), the share of words of at most three letters, the share of
+punctuation (log scale), and the variety of words (log of distinct over log of all). For each (language, source), each
+language and the whole table the centre and scatter of the `core` share of documents whose covariance
+determinant is least are estimated: three starts (medians and quartile spreads, all documents, documents
+inside all quartiles) are refined by two concentration steps each, which re-estimate from the core share
+with the least distances; the start with the least determinant goes on until no determinant falls any more.
+
+A mean of few words scatters more than one of many, so a document's deviations count by the weight
+n / (n + EVEN) of its n words, in centres, scatters and distances alike. Copies tell nothing about the
+spread of texts: equal vectors of a (language, source) are estimated from once.
 
 An estimate is regularised towards the one above it (a source's towards its language's, that towards
-the table's) as by PRIOR documents more, at every size alike, so small sources lean on their
-language and none switches to another rule. A document is rejected if its squared Mahalanobis
-distance passes `cutoff`.
+the table's) as by PRIOR documents more, at every size alike, and no spread of it falls below half of the
+one above, so small sources, and sources of near copies, lean on their language and none switches to
+another rule. A document is rejected if its squared Mahalanobis distance passes `cutoff`.
 
 Only DataFrame functions are used. Vectors are integers (thousandths) and moments are sums of them by
 group and distance bin, so estimates are the same for any partitioning, a step reads the vectors once
@@ -29,12 +34,13 @@ from .runtime import drop, save, without
 
 WHITE = " \t\n\x0b\f\r"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Least spreads (in thousandths) of a scatter, which most statistics' zeros would make singular: differences below
-#: them are no evidence. A larger scatter stays as it is.
-SPREAD = (150, 600, 700, 900)
+#: Least spreads (in thousandths) of a scatter, against singular ones only: good texts spread ten times as much and more.
+SPREAD = (3, 3, 3, 3)
 DIM = len(SPREAD)
-#: The 0.999 quantile of chi-square with DIM degrees of freedom.
-CUTOFF = 18.47
+#: Words that count half, and the units in which weights are whole numbers.
+EVEN, UNITS = 200, 16
+#: The 0.9999 quantile of chi-square with DIM degrees of freedom: texts have longer tails than normal vectors.
+CUTOFF = 23.51
 #: Distance bins: this many to a factor of e.
 BINS = 40
 #: Documents that the estimate above counts as.
@@ -76,53 +82,63 @@ def statistics(docs: DataFrame, text_col: str = "text", window: int = 8) -> Colu
     words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     n_dup = _with(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w, window).cast("long").alias("n_repeat_words"))
-    return F.struct(_with(words, of_words).alias("w"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), n_dup.cast("long").alias("n_dup_lines"))
+    of_words = lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w, window).cast("long").alias("n_repeat_words"),
+        F.aggregate(w, F.lit(0), lambda n, x: n + F.least(F.length(x), F.lit(16))).cast("long").alias("letters"), F.size(F.filter(w, lambda x: F.length(x) <= 3)).cast("long").alias("n_short"), F.size(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))).cast("long").alias("n_distinct"),
+    )
+    marks = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_marks")
+    return F.struct(_with(words, of_words).alias("w"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), n_dup.cast("long").alias("n_dup_lines"), marks)
 
 
 def _vector() -> list[Column]:
-    """Thousandths of the transformed statistics; null without words."""
+    """Thousandths of the transformed statistics, null without words; and the weight, in UNITS."""
     n, chars = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("word_chars"), F.lit(0))
-    share = lambda a, b: F.log1p(F.lit(100.0) * a / b)
-    raw = [F.ln(chars / n), share(F.col("n_symbols"), chars), share(F.col("n_dup_lines"), n), share(F.col("n_repeat_words"), n)]
-    return [F.round(1000 * x).cast("long").alias(f"z{i}") for i, x in enumerate(raw)]
+    raw = [F.ln(F.col("letters") / n), F.asin(F.sqrt(F.col("n_short") / n)), F.ln((F.col("n_marks") + 1) / chars), 4 * F.ln(F.col("n_distinct")) / F.ln(n + 1)]
+    weight = F.greatest(F.round(UNITS * F.col("n_words") / (F.col("n_words") + EVEN)), F.lit(1)).cast("long").alias("w")
+    return [*[F.round(1000 * x).cast("long").alias(f"z{i}") for i, x in enumerate(raw)], weight]
 
 
 def measured(docs: DataFrame, keep: list[Column], *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", window: int = 8) -> DataFrame:
     """The columns `keep`, lang and source (null: a group of their own), STATS, base_failed and the vector, saved once, without texts."""
     keys = [F.coalesce(docs[c].cast("string"), F.lit("\0")) if c in docs.columns else F.lit("\0") for c in (lang_col, source_col)]
     got = docs.select(F.struct(*keep).alias("row"), keys[0].alias("lang"), keys[1].alias("source"), statistics(docs, text_col, window).alias("s"))
-    got = got.select("row", "lang", "source", "s.w.*", "s.n_symbols", "s.n_dup_lines")
+    got = got.select("row", "lang", "source", "s.w.*", "s.n_symbols", "s.n_dup_lines", "s.n_marks")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return save(got.select("row", "lang", "source", *STATS, failed.alias("base_failed"), *_vector()))
 
 
+def _weighed(rows: DataFrame) -> DataFrame:
+    """rows with the weight of long texts where they have none."""
+    return rows if "w" in rows.columns else rows.withColumn("w", F.lit(UNITS))
+
+
 def _distance(rows: DataFrame) -> DataFrame:
-    """rows with d: the squared Mahalanobis distance, by forward substitution in the scatter's root (columns m*, l*)."""
+    """rows with d: the weighted squared Mahalanobis distance, by forward substitution in the scatter's root (columns m*, l*)."""
+    rows = _weighed(rows)
     for i in range(DIM):
         rest = F.col(f"z{i}") - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
         rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    return rows.withColumn("d", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIM)), F.lit(0.0))).drop(*[f"y{i}" for i in range(DIM)])
+    return rows.withColumn("d", F.col("w") / UNITS * sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIM)), F.lit(0.0))).drop(*[f"y{i}" for i in range(DIM)])
 
 
-_SUMS = [f"s{i}" for i in range(DIM)] + [f"q{i}{j}" for i, j in _PAIRS]
+_SUMS = ["sw"] + [f"s{i}" for i in range(DIM)] + [f"q{i}{j}" for i, j in _PAIRS]
 _CENTRE, _ROOT = [f"m{i}" for i in range(DIM)], [f"l{i}{j}" for i, j in _PAIRS]
 
 
 def _moments(where: Column | None = None) -> list[Column]:
-    """n and the sums of vectors and of their products."""
-    z = [F.col(f"z{i}") if where is None else F.when(where, F.col(f"z{i}")) for i in range(DIM)]
+    """n and the weighted sums of ones, vectors and their products."""
+    z, w = [F.col(f"z{i}") for i in range(DIM)], F.col("w") if where is None else F.when(where, F.col("w"))
     n = F.count("*") if where is None else F.count_if(where)
-    return [n.alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
+    return [n.alias("n"), F.sum(w).alias("sw"), *[F.sum(w * x).alias(f"s{i}") for i, x in enumerate(z)], *[F.sum(w * z[i] * z[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
 
 
 def _scatter(groups: DataFrame) -> DataFrame:
-    """groups (n, s*, q*) with centres m* and covariances c*."""
-    n = F.col("n").cast("double")
-    groups = groups.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(DIM)})
-    return groups.withColumns({f"c{i}{j}": F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _PAIRS})
+    """groups (n, s*, q*) with centres m* and covariances c* of the weighted deviations."""
+    n = F.col("n").cast("double") * UNITS
+    groups = groups.withColumns({f"m{i}": F.col(f"s{i}") / F.col("sw") for i in range(DIM)})
+    return groups.withColumns({f"c{i}{j}": (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"s{j}")) / n for i, j in _PAIRS})
 
 
 def _rooted(groups: DataFrame) -> DataFrame:
@@ -140,9 +156,10 @@ def _bin() -> Column:
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """Each row under its (language, source), its language and the whole table."""
+    """Each vector of a (language, source), once, under this pair, its language and the whole table."""
     keys = [F.struct(F.col("lang").alias("k1"), F.col("source").alias("k2"), F.lit(2).alias("level")), F.struct(F.col("lang").alias("k1"), F.lit("").alias("k2"), F.lit(1).alias("level")), F.struct(F.lit("").alias("k1"), F.lit("").alias("k2"), F.lit(0).alias("level"))]
-    return rows.select(F.explode(F.array(*keys)).alias("k"), *[f"z{i}" for i in range(DIM)]).select("k.*", *[f"z{i}" for i in range(DIM)])
+    columns = [*[f"z{i}" for i in range(DIM)], "w"]
+    return rows.select("lang", "source", *columns).distinct().select(F.explode(F.array(*keys)).alias("k"), *columns).select("k.*", *columns)
 
 
 _KEY = ["k1", "k2", "level"]
@@ -189,7 +206,7 @@ def _starts(keyed: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame, *, core: float = 0.75) -> DataFrame:
     """Minimum-covariance-determinant estimates of each key: n, total, m*, c*, l*, logdet and scale (of d); saved."""
-    keyed = _keyed(rows.where("not base_failed and z0 is not null"))
+    keyed = save(_keyed(_weighed(rows).where("not base_failed and z0 is not null")))
     groups = _starts(keyed)
     for _ in range(2):
         before, groups = groups, _step(keyed, groups, core)
@@ -208,10 +225,10 @@ def estimates(rows: DataFrame, *, core: float = 0.75) -> DataFrame:
         if fell is None or fell < SETTLED:
             break
     middle = _distance(_met(keyed, groups.select(*_KEY, *_CENTRE, *_ROOT), _KEY)).groupBy(*_KEY).agg(F.percentile(_bin(), 0.5).alias("mid"))
-    # A core's scatter is too small by a factor that the median tells; below 1 it tells only that SPREAD decides.
+    # A core's scatter is too small by a factor that the median tells; below 1 it tells only of spreads at their floor.
     scale = F.greatest(F.lit(1.0), F.expm1(F.col("mid") / BINS) / 3.357)  # the median of chi-square with 4 degrees
     out = save(groups.join(middle, _KEY).withColumn("scale", scale).drop("mid", "start"))
-    drop(groups)
+    drop(groups, keyed)
     return out
 
 
@@ -222,7 +239,9 @@ def regularised(found: DataFrame) -> DataFrame:
     def lean(own: DataFrame, above: DataFrame, on) -> DataFrame:
         n = F.col("n").cast("double")
         joined = own.join(above.select(*[F.col(c).alias(f"k_{c}") if c in _KEY else F.col(c).alias(f"a_{c}") for c in above.columns]), on, "inner")
-        return joined.select(*_KEY, "n", *[((n * F.col(c) + PRIOR * F.col(f"a_{c}")) / (n + PRIOR)).alias(c) for c in mixed])
+        mean = {c: (n * F.col(c) + PRIOR * F.col(f"a_{c}")) / (n + PRIOR) for c in mixed}
+        mean |= {c: F.greatest(mean[c], F.col(f"a_{c}") / 4) for c in (f"c{i}{i}" for i in range(DIM))}  # half the spread above
+        return joined.select(*_KEY, "n", *[v.alias(c) for c, v in mean.items()])
 
     level = lambda k: found.where(F.col("level") == k).select(*_KEY, "n", *mixed)
     table = level(0)
