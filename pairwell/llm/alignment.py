@@ -34,6 +34,8 @@ from .runtime import ship
 
 MARK = "▁"
 _BLOCK = "block long, doc_ids array<long>, sizes array<int>, places array<int>, units array<string>, times array<int>"
+#: Pairs of ids that are broadcast at most.
+TOP_PAIRS = 1 << 16
 #: Bytes looked at together when a block is cut.
 _STRIDE = 1 << 20
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
@@ -162,10 +164,15 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> Data
             at = ends - ends[0]
             starts = cutter.starts(data, at[:-1]) if n else np.empty(0, np.int64)
             units = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-            places = units.indices.to_numpy()
+            places, listed = units.indices.to_numpy(), units.dictionary
+            times = np.bincount(places, minlength=len(listed))
+            order = np.argsort(-times, kind="stable")  # common units get small places, which take less space
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            places, listed, times = rank[places], listed.take(pa.array(order)), times[order]
             sizes = np.zeros(batch.num_rows, np.int32)
             sizes[~empty] = np.diff(np.searchsorted(starts, at))
-            row = [block, batch.column(0), sizes, places, units.dictionary.cast(pa.string()), np.bincount(places, minlength=len(units.dictionary)).astype(np.int32)]
+            row = [block, batch.column(0), sizes, places, listed.cast(pa.string()), times.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in row[1:]]], names=[p.split()[0] for p in _BLOCK.split(", ")])
             block += 1
 
@@ -191,9 +198,21 @@ def _encoded(units: DataFrame, a_path: str, b_path: str, slice_rows: int = 2048)
     return units.mapInArrow(run, "unit string, times long, uid long, good boolean, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
 
 
-def _spoiled(blocks: DataFrame, encoded: DataFrame) -> DataFrame:
+def _distinct_units(blocks: DataFrame) -> DataFrame:
+    """unit, times: all units, and how often they occur."""
+    return blocks.select(F.explode(F.arrays_zip("units", "times")).alias("x")).groupBy(F.col("x.units").alias("unit")).agg(F.sum("x.times").alias("times"))
+
+
+def _usable(blocks: DataFrame, encoded: DataFrame, spoiled: DataFrame) -> DataFrame:
+    """The encoded units that both tokenizers give back, with their occurrences in texts that have tokens."""
+    found = encoded.where("good").select("uid", "unit", "times", "a", "a_size", "b", "b_size")
+    if spoiled.isEmpty():
+        return found
+    return found.join(_lost(blocks, spoiled), "unit", "left").withColumn("times", F.col("times") - F.coalesce("lost", F.lit(0))).drop("lost")
+
+
+def _lost(blocks: DataFrame, bad: DataFrame) -> DataFrame:
     """unit, lost: occurrences in texts that hold a unit whose bytes a tokenizer doesn't give back."""
-    bad = encoded.where("not good").select("unit")
     hits = blocks.select("block", F.posexplode("units").alias("place", "unit")).join(bad, "unit", "left_semi").groupBy("block").agg(F.collect_list("place").alias("bad"))  # at most a block's units
 
     def run(batches):
@@ -246,16 +265,30 @@ def _of_units(encoded: DataFrame) -> DataFrame:
     return units.withColumn("n_links", F.size("links").cast("long")).join(placed.select("uid", "unit"), "uid")
 
 
+def _exploded(units: DataFrame, *columns: str) -> DataFrame:
+    """A row for each link of the units, with its pair of ids as one number."""
+    rows = units.select(*columns, F.explode("links").alias("x"))
+    return rows.select(*columns, (F.shiftleft(F.col("x.a").cast("long"), 32) + F.col("x.b")).alias("pair"))
+
+
 def pair_counts(units: DataFrame) -> DataFrame:
-    """a, b, n (links corpus-wide) and best (whether n is the highest of its B id)."""
-    pairs = units.select("times", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("times").alias("n"))
-    return pairs.select("a", "b", "n", (F.col("n") == F.max("n").over(Window.partitionBy("b"))).alias("best"))
+    """pair, n (links corpus-wide) and best (whether n is the highest of its B id)."""
+    pairs = _exploded(units, "times").groupBy("pair").agg(F.sum("times").alias("n"))
+    top = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))))
+    return pairs.select("pair", "n", (F.col("n") == top).alias("best"))
 
 
 def _weights(units: DataFrame, pairs: DataFrame) -> DataFrame:
-    """uid, n_best, count_sum."""
-    links = units.select("uid", F.explode("links").alias("x")).select("uid", "x.a", "x.b")
-    return links.join(pairs, ["a", "b"]).groupBy("uid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    """uid, n_best, count_sum.
+
+    Pairs with at least a TOP_PAIRS-th of all links are at most TOP_PAIRS, and broadcast: their links are added up
+    by unit before any shuffle. Only links of rarer pairs, so of no hot key, meet their counts in a join.
+    """
+    edge = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / TOP_PAIRS
+    common, rare = pairs.where(F.col("n") >= edge), pairs.where(F.col("n") < edge)
+    hit = _exploded(units, "uid").join(F.broadcast(common), "pair").select("uid", "n", "best")
+    missed = _exploded(units, "uid").join(F.broadcast(common.select("pair")), "pair", "left_anti").join(rare, "pair").select("uid", "n", "best")
+    return hit.unionByName(missed).groupBy("uid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
 #: What a text adds up over its units.
@@ -289,10 +322,9 @@ def _of_texts(blocks: DataFrame, units: DataFrame, keep_groups: bool) -> DataFra
     return sent.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, schema)
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """save(), and a hint to drop the shuffle files of what led to it."""
-    out = runtime.save(df)
-    del df
+def _saved(make) -> DataFrame:
+    """The table that make() describes, saved; nothing refers to its plan any more, so its shuffle files can go."""
+    out = runtime.save(make())
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -308,16 +340,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     """
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    blocks = _saved(_blocks(rows, a_path, b_path, block_bytes))
-    units = blocks.select(F.explode(F.arrays_zip("units", "times")).alias("x")).groupBy(F.col("x.units").alias("unit")).agg(F.sum("x.times").alias("times"))
-    encoded = _saved(_encoded(units, a_path, b_path))
-    usable = encoded.where("good")
-    if not encoded.where("not good").isEmpty():
-        lost = _spoiled(blocks, encoded)
-        usable = usable.join(lost, "unit", "left").withColumn("times", F.col("times") - F.coalesce("lost", F.lit(0))).drop("lost")
-    aligned = _saved(_of_units(usable.select("uid", "unit", "times", "a", "a_size", "b", "b_size")))
-    weights = _saved(_weights(aligned, _saved(pair_counts(aligned))))
-    units = aligned.drop("links", "times").join(weights, "uid", "left").drop("uid")
-    units = _saved(units.unionByName(encoded.where("not good").select("unit"), allowMissingColumns=True))
-    runtime.drop(encoded, aligned, weights)
+    blocks = _saved(lambda: _blocks(rows, a_path, b_path, block_bytes))
+    encoded = _saved(lambda: _encoded(_distinct_units(blocks), a_path, b_path))
+    spoiled = _saved(lambda: encoded.where("not good").select("unit"))
+    aligned = _saved(lambda: _of_units(_usable(blocks, encoded, spoiled)))
+    runtime.drop(encoded)
+    pairs = _saved(lambda: pair_counts(aligned))
+    weights = _saved(lambda: _weights(aligned, pairs))
+    units = _saved(lambda: aligned.drop("links", "times").join(weights, "uid", "left").drop("uid").unionByName(spoiled, allowMissingColumns=True))
+    runtime.drop(aligned, weights, pairs)
     return _of_texts(blocks, units, keep_groups)
