@@ -100,17 +100,25 @@ def codes(anchor: Column) -> Column:
     return F.array(*[F.instr(F.lit(RESIDUES), letter(k)) for k in range(FRONT + BACK)])
 
 
-def coded_score(a: Column, b: Column) -> Column:
-    """The weighted similarity of two anchors given as codes(): one look into a constant array a place."""
+def _terms(a: Column, b: Column, places: tuple[int, ...]) -> list[Column]:
+    """Weighted similarities at places of two anchors given as codes(): one look into a constant array a place."""
     n = len(RESIDUES) + 1
     square = np.zeros((n, n))
     square[1:, 1:] = matrix()
     known = F.array(*[F.lit(float(x)) for x in square.ravel()])
-    terms = [F.lit(WEIGHTS[k] / sum(WEIGHTS)) * F.coalesce(F.get(known, F.get(a, F.lit(k)) * n + F.get(b, F.lit(k))), F.lit(0.0)) for k in ORDER]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+    return [F.lit(WEIGHTS[k] / sum(WEIGHTS)) * F.coalesce(F.get(known, F.get(a, F.lit(k)) * n + F.get(b, F.lit(k))), F.lit(0.0)) for k in places]
+
+
+def coded_score(a: Column, b: Column) -> Column:
+    """The weighted similarity of two anchors given as codes()."""
+    first, *rest = _terms(a, b, tuple(ORDER))
+    return sum(rest, first)
+
+
+def partial_loss(a: Column, b: Column, places: tuple[int, ...]) -> Column:
+    """What places take from the score 1 of two anchors given as codes()."""
+    first, *rest = _terms(a, b, places)
+    return F.lit(sum(WEIGHTS[k] for k in places) / sum(WEIGHTS)) - sum(rest, first)
 
 
 def score(a: Column, b: Column) -> Column:

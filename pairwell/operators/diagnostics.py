@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .noise import phi
+from .quantiles import quantiles, with_medians
 
 
 def allele_purity(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """hla_idx, hla_name, mean, std (0 of one), median, min, max of phi, n_clusters; zeros without pairs."""
-    x = phi()
-    stats = pairs.groupBy("hla_idx").agg(F.avg(x).alias("mean_phi"), F.stddev_samp(x).alias("std_phi"), F.median(x).alias("median_phi"), F.min(x).alias("min_phi"), F.max(x).alias("max_phi"), F.count("*").alias("n_clusters"))
-    return index.join(stats, "hla_idx", "left").na.fill(0)
+    rows = pairs.select("hla_idx", phi().alias("phi"))
+    x = F.col("phi")
+    stats = rows.groupBy("hla_idx").agg(F.avg(x).alias("mean_phi"), F.stddev_samp(x).alias("std_phi"), F.min(x).alias("min_phi"), F.max(x).alias("max_phi"), F.count("*").alias("n_clusters"))
+    return index.join(with_medians(stats, rows, ["hla_idx"], {"phi": "median_phi"}), "hla_idx", "left").na.fill(0)
 
 
 def cluster_counts(called: DataFrame, index: DataFrame, rates: DataFrame) -> DataFrame:
@@ -63,7 +65,8 @@ def sampled(rows: DataFrame, group: str, keys: list[str], n: int, seed: int = 0)
 
 def boxes(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, q1, median, q3, low and high whiskers (1.5 spreads)."""
-    quartiles = rows.groupBy(group).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("q"), F.count(value).alias("n"))
+    quartiles = quantiles(rows, [group], [value], [0.25, 0.5, 0.75]).select(group, F.col(value).alias("q"))
+    quartiles = quartiles.join(rows.groupBy(group).agg(F.count(value).alias("n")), group)
     spread = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = rows.join(quartiles, group).where((F.col(value) >= F.col("q")[0] - spread) & (F.col(value) <= F.col("q")[2] + spread))
     return inside.groupBy(group).agg(F.first("n").alias("n"), F.first("q")[0].alias("q1"), F.first("q")[1].alias("median"), F.first("q")[2].alias("q3"), F.min(value).alias("low"), F.max(value).alias("high"))

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+from .quantiles import with_medians
+
 
 def observed_summary(called: DataFrame, index: DataFrame) -> DataFrame:
     """Posterior statistics and label sums of each allele."""
     g = F.col("gamma").cast("double")
     stats = called.groupBy("hla_idx").agg(
-        F.avg(g).alias("gamma_mean"), F.stddev_samp(g).alias("gamma_std"), F.median(g).alias("gamma_median"), F.min(g).alias("gamma_min"), F.max(g).alias("gamma_max"), F.count("*").alias("gamma_count"),
+        F.avg(g).alias("gamma_mean"), F.stddev_samp(g).alias("gamma_std"), F.min(g).alias("gamma_min"), F.max(g).alias("gamma_max"), F.count("*").alias("gamma_count"),
         F.sum("n_pos").alias("total_pos"), F.sum("n_neg").alias("total_neg"), F.sum("n_total").alias("total_obs"), F.count_distinct("cluster_id").alias("n_clusters"),
     )
-    return index.join(stats, "hla_idx", "left").na.fill(0)
+    return index.join(with_medians(stats, called, ["hla_idx"], {"gamma": "gamma_median"}), "hla_idx", "left").na.fill(0)
 
 
 def propagated_summary(labels: DataFrame, index: DataFrame) -> DataFrame:
     """Means, deviations and medians of propagated values by allele."""
-    of = lambda c, n: [F.avg(F.col(c).cast("double")).alias(f"{n}_mean"), F.stddev_samp(F.col(c).cast("double")).alias(f"{n}_std"), F.median(F.col(c).cast("double")).alias(f"{n}_median")]
+    labels = saved(labels)  # read again by each round of the medians
+    of = lambda c, n: [F.avg(F.col(c).cast("double")).alias(f"{n}_mean"), F.stddev_samp(F.col(c).cast("double")).alias(f"{n}_std")]
     stats = labels.groupBy("hla_idx").agg(F.count("*").alias("n_propagated"), *of("p_tilde", "ptilde"), *of("n_tilde", "ntilde"), *of("lambda_w", "lambda"), F.count_if(F.col("p_tilde") > 0.5).alias("n_positive"))
-    return stats.join(index, "hla_idx")
+    return with_medians(stats, labels, ["hla_idx"], {"p_tilde": "ptilde_median", "n_tilde": "ntilde_median", "lambda_w": "lambda_median"}).join(index, "hla_idx")
 
 
 def run_summary(called: DataFrame, tested: DataFrame, labels: DataFrame, index: DataFrame) -> DataFrame:
@@ -34,8 +38,10 @@ def run_summary(called: DataFrame, tested: DataFrame, labels: DataFrame, index:
 
 def value_summary(rows: DataFrame, column: str, threshold: float) -> DataFrame:
     """n, mean, median, min, max and the number above threshold."""
-    x = F.col(column).cast("double")
-    return rows.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x > threshold).alias("n_above"))
+    rows = saved(rows.select(F.col(column).cast("double").alias("x")))
+    x = F.col("x")
+    plain = rows.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x > threshold).alias("n_above"))
+    return with_medians(plain, rows, [], {"x": "median"}).select("n", "mean", "median", "min", "max", "n_above")
 
 
 def run_statistics(params: DataFrame, called: DataFrame, coverage: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,9 +62,10 @@ def size_buckets(sizes: DataFrame) -> DataFrame:
 
 def cluster_report(edges: DataFrame) -> DataFrame:
     """One row on clusters given as rep, member."""
-    sizes = edges.groupBy("rep").agg(F.count("*").alias("size"))
+    sizes = saved(edges.groupBy("rep").agg(F.count("*").alias("size")))
     n, one = F.count("*"), F.count_if(F.col("size") == 1)
-    return sizes.agg(F.sum("size").alias("n_members"), n.alias("n_clusters"), one.alias("n_singletons"), F.try_divide(100.0 * one, n).alias("pct_singletons"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"), F.median("size").alias("median_size"))
+    plain = sizes.agg(F.sum("size").alias("n_members"), n.alias("n_clusters"), one.alias("n_singletons"), F.try_divide(100.0 * one, n).alias("pct_singletons"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"))
+    return with_medians(plain, sizes, [], {"size": "median_size"})
 
 
 def extreme_clusters(edges: DataFrame, sequences: DataFrame, n: int = 5) -> DataFrame:

@@ -2,47 +2,79 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import bits
 from ..functions.fisher import conservative_odds_ratio, fisher, odds_ratio
 from ..sources.ship import ship
+from ..sources.tables import saved
+from .quantiles import quantiles
+
+#: Pairs of a block of clusters, about, and alleles of a tile.
+BLOCK, TILE = 1_000_000, 1024
+_CELLS = "h1 int, h2 int, a long, b long, c long, d long, shared long"
 
 
 def contingency(pairs: DataFrame, min_shared: int = 0) -> DataFrame:
     """h1 < h2, a, b, c, d, shared of alleles with calls in the same clusters.
 
-    One self-join on the cluster; a cluster holds each allele once, so it makes at most H * (H - 1) / 2
-    rows, and a task sums them to as many cells before anything is shuffled.
+    A product of bit matrices: clusters are dealt into blocks of some BLOCK pairs, alleles into tiles of
+    TILE. A task gets two tiles of a block, packs observations and calls of an allele into words, and counts
+    the bits that two alleles share. A block leaves at most a row for two alleles however many of
+    its clusters hold both, so at most H * (H - 1) / 2 rows a block are shuffled to be added up. A pair
+    goes to as many tasks as there are tiles (one up to TILE alleles).
     """
-    left = pairs.select("cluster_id", F.col("hla_idx").alias("h1"), F.col("b_call").cast("int").alias("x"))
-    right = pairs.select("cluster_id", F.col("hla_idx").alias("h2"), F.col("b_call").cast("int").alias("y"))
-    both = left.join(right, "cluster_id").where("h1 < h2")
-    cell = lambda x, y: F.count_if((F.col("x") == x) & (F.col("y") == y))
-    cells = both.groupBy("h1", "h2").agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"), F.count("*").alias("shared"))
+    ship(pairs.sparkSession)
+    last = pairs.agg(F.count("*"), F.coalesce(F.max("hla_idx"), F.lit(0))).first()
+    blocks, tiles = -(-last[0] // BLOCK) or 1, last[1] // TILE + 1
+    tile = F.floor(F.col("hla_idx") / TILE).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda u: F.struct(F.least(tile, u).alias("i"), F.greatest(tile, u).alias("j")))
+    dealt = pairs.select(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(others).alias("t"), "cluster_id", "hla_idx", F.col("b_call").cast("boolean").alias("call"))
+
+    def count(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        allele, cluster, call = (group[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("hla_idx", "cluster_id", "call"))
+        here = allele // TILE
+        sides = [tuple(x[here == k] for x in (allele, cluster, call.astype(bool))) for k in (i, j)]
+        columns = bits.cells(*sides) if all(len(x[0]) for x in sides) else [np.empty(0, np.int64)] * 7
+        return pa.Table.from_arrays([pa.array(x.astype(np.int32 if k < 2 else np.int64)) for k, x in enumerate(columns)], names=[c.split()[0] for c in _CELLS.split(", ")])
+
+    parts = dealt.select("block", "t.i", "t.j", "cluster_id", "hla_idx", "call").groupBy("block", "i", "j").applyInArrow(count, _CELLS)
+    cells = parts.groupBy("h1", "h2").agg(*[F.sum(c).alias(c) for c in ("a", "b", "c", "d", "shared")])
     return cells.where(F.col("shared") >= min_shared)
 
 
 def adjusted(tests: DataFrame, fdr: float) -> DataFrame:
     """tests with pvalue_adj (Benjamini-Hochberg) and significant.
 
-    The windows are over all pairs of alleles, of which there are at most H * (H - 1) / 2.
+    Equal p-values are one row with their number, so ties stay together. The rows are dealt into ranges;
+    ranks run inside a range from the number of all before it, and so do the least scaled values from
+    those behind it. Only a row a range (as many as shuffle partitions) is compared with all others.
     """
-    up = Window.orderBy("pvalue").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.desc("pvalue")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tests.withColumns({"_rank": F.count("*").over(up), "_all": F.count("*").over(Window.partitionBy())})
-    scaled = ranked.withColumn("_scaled", F.col("pvalue") * F.col("_all") / F.col("_rank"))
-    out = scaled.withColumn("pvalue_adj", F.least(F.lit(1.0), F.min("_scaled").over(down)))
-    return out.withColumn("significant", F.col("pvalue_adj") < fdr).drop("_rank", "_all", "_scaled")
+    values = tests.groupBy("pvalue").agg(F.count("*").alias("_n")).repartitionByRange("pvalue").withColumn("_range", F.spark_partition_id())
+    values = saved(values)
+    up = Window.partitionBy("_range").orderBy("pvalue").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_range").orderBy(F.desc("pvalue")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = values.groupBy("_range").agg(F.sum("_n").alias("_size"))
+    pairs = ends.crossJoin(ends.select(F.col("_range").alias("_other"), F.col("_size").alias("_more")))  # a row a range on both sides
+    bases = pairs.groupBy("_range").agg(F.coalesce(F.sum(F.when(F.col("_other") < F.col("_range"), F.col("_more"))), F.lit(0)).alias("_base"), F.sum("_more").alias("_all"))
+    ranked = values.join(F.broadcast(bases), "_range").select("pvalue", "_range", (F.col("pvalue") * F.col("_all") / (F.col("_base") + F.sum("_n").over(up))).alias("_scaled"))
+    ranked = saved(ranked)
+    least = ranked.groupBy("_range").agg(F.min("_scaled").alias("_least"))
+    behind = least.select("_range").join(least.select(F.col("_range").alias("_other"), "_least"), F.col("_other") > F.col("_range"), "left").groupBy("_range").agg(F.min("_least").alias("_behind"))
+    adjusted_values = ranked.join(F.broadcast(behind), "_range").select("pvalue", F.least(F.lit(1.0), F.min("_scaled").over(down), F.col("_behind")).alias("pvalue_adj"))
+    return tests.join(adjusted_values, "pvalue").select(*tests.columns, "pvalue_adj", (F.col("pvalue_adj") < fdr).alias("significant"))
 
 
 def tests(pairs: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The tested pairs of alleles: h1, h2, cells, shared, odds ratios, p-values; or_degenerate where the ratio is set."""
     ship(pairs.sparkSession)
-    cells = contingency(pairs, cfg.min_shared).repartition("h1", "h2")
-    out = cells.select("*", odds_ratio().alias("OR"), (F.col("b") * F.col("c") == 0).alias("or_degenerate"), fisher("a", "b", "c", "d").alias("pvalue"), conservative_odds_ratio().alias("OR_conservative"))
-    return adjusted(out, cfg.fdr)
+    out = contingency(pairs, cfg.min_shared).select("*", odds_ratio().alias("OR"), (F.col("b") * F.col("c") == 0).alias("or_degenerate"), fisher("a", "b", "c", "d").alias("pvalue"), conservative_odds_ratio().alias("OR_conservative"))
+    return adjusted(saved(out), cfg.fdr)
 
 
 def mirrored(tested: DataFrame, *columns: str) -> DataFrame:
@@ -91,4 +123,5 @@ def associations(tested: DataFrame, index: DataFrame) -> DataFrame:
 def colour_scale(tested: DataFrame) -> DataFrame:
     """p95 of |log10 OR| that isn't 0, over both triangles; 1 without any."""
     log = F.abs(F.log10(F.greatest(F.col("OR"), F.lit(1e-10))))
-    return mirrored(tested, "OR").select(log.alias("x")).where("x > 0").agg(F.coalesce(F.percentile("x", F.lit(0.95)), F.lit(1.0)).alias("p95_abs_log10_or"))
+    found = quantiles(mirrored(tested, "OR").select(log.alias("x")).where("x > 0"), [], ["x"], [0.95])
+    return found.select(F.coalesce(F.col("x")[0], F.lit(1.0)).alias("p95_abs_log10_or"))

@@ -414,6 +414,12 @@ def anchor_pair_scores(spark, d):
     return C.similar_pairs(a, 0.8).select("earlier", "later", F.round(A.score(F.col("earlier"), F.col("later")), 6).alias("score"))
 
 
+@query
+def anchor_comparisons(spark, d):
+    """Pairs of anchors in blocks, those that the index makes, the like ones, and centroids."""
+    return C.comparisons(fx.anchors(spark, d), 0.8).drop("n_scored")
+
+
 @query
 def exact_clusters(spark, d):
     return C.exact_clusters(fx.exact_records(spark, d))

@@ -113,7 +113,7 @@ _TERMS = " + ".join(f"{A.WEIGHTS[k] / sum(A.WEIGHTS)!r} * s{k}.v" for k in A.ORD
 _SIMS = " ".join(f"JOIN sims s{k} ON s{k}.two = substr(x.anchor, {k + 1}, 1) || substr(y.anchor, {k + 1}, 1)" for k in A.ORDER)
 # greedy first-fit, one priority of all blocks at a time: a block's row holds its centroids so far
 CHAIN += [
-    f"scored AS (SELECT x.anchor AS earlier, y.anchor AS later, x.prio AS prio, {_TERMS} AS score FROM blocks x JOIN blocks y ON x.g2 = y.g2 AND x.g6 = y.g6 AND x.prio < y.prio {_SIMS})",
+    f"scored AS (SELECT x.anchor AS earlier, y.anchor AS later, x.prio AS prio, {_TERMS} AS score, (2 - s0.v - s2.v) / 8 AS loss1, (2 - s3.v - s4.v) / 8 AS loss2 FROM blocks x JOIN blocks y ON x.g2 = y.g2 AND x.g6 = y.g6 AND x.prio < y.prio {_SIMS})",
     "alike AS MATERIALIZED (SELECT later, list(earlier ORDER BY prio) AS before FROM scored WHERE score >= 0.8 GROUP BY later)",
     "tries AS MATERIALIZED (SELECT g2, g6, prio, anchor, coalesce(before, CAST([] AS VARCHAR[])) AS before FROM blocks LEFT JOIN alike ON anchor = later)",
     "greedy(g2, g6, prio, anchor, centroid, centres) AS (SELECT DISTINCT g2, g6, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM blocks UNION ALL "
@@ -224,6 +224,7 @@ LAST = {
     "extreme_clusters": "(SELECT 'top' AS \"end\", rep, size, rep AS sequence FROM rep_sizes ORDER BY size DESC, rep LIMIT 5) UNION ALL (SELECT 'bottom', rep, size, rep FROM rep_sizes ORDER BY size, rep DESC LIMIT 5)",
 }
 
+LAST["anchor_comparisons"] = "SELECT (SELECT count(*) FROM blocks) AS n_anchors, (SELECT count(*) FROM scored) AS n_pairs, (SELECT count_if(loss1 <= 0.1 + 1e-9 OR loss2 <= 0.1 + 1e-9) FROM scored) AS n_candidates, (SELECT count_if(score >= 0.8) FROM scored) AS n_similar, (SELECT count_if(anchor = centroid) FROM greedy) AS n_centroids"
 LAST["job1_observation_feed"] = f"SELECT allele, cluster_id, n_pos, n_neg, n_total, round(gamma64, 6) AS gamma, CAST(gamma64 > least(2 * p_h, 0.5) AS INT) AS b_call FROM (SELECT *, {_POSTERIOR} AS gamma64 FROM fed_pairs JOIN fed_noise USING (hla_idx) JOIN fed_rates USING (hla_idx) JOIN fed_idx USING (hla_idx))"
 LAST["job2_label_release"] = "SELECT hla_name AS allele, cluster_id, 'observed' AS kind, round(gamma64, 4) AS value, CAST(n_total AS DOUBLE) AS weight FROM called JOIN idx USING (hla_idx) UNION ALL SELECT hla_name, cluster_id, 'propagated', round(CAST(p_tilde AS DOUBLE), 4), round(CAST(n_tilde AS DOUBLE), 4) FROM labels_ JOIN idx USING (hla_idx)"
 LAST["log_file"] = LAST["gibbs_log_table"]
