@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..sources.tables import saved
+from ..sources.tables import dropped, saved
+from . import runlog
 from .counts import clip, shrunken
 from .noise import called, noise_from_theta, noise_params, with_tau
 from .propagate import feedback, propagated
@@ -46,10 +48,11 @@ def _rates(pairs: DataFrame, index: DataFrame, weight: Column, cfg: EngineConfig
 
 
 def step(pairs: DataFrame, index: DataFrame, labels: DataFrame | None, cfg: EngineConfig, iteration: int, method: str = "gibbs") -> tuple[DataFrame, DataFrame]:
-    """One iteration: pairs with new gamma64, gamma and b_call, and previous; and their parameters."""
-    counts = [c for c in pairs.columns if c not in ("gamma64", "gamma", "b_call", "previous")]
+    """One iteration: pairs with new gamma64, gamma and b_call, previous and theta (null without states); and their parameters."""
+    counts = [c for c in pairs.columns if c not in ("gamma64", "gamma", "b_call", "previous", "theta")]
+    kept = pairs.withColumn("theta", F.lit(None).cast("tinyint"))
     if method == "gibbs":
-        theta = states(pairs, cfg, iteration)
+        kept = theta = states(pairs, cfg, iteration)
         errors, rates = noise_from_theta(theta, index, cfg), _rates(theta, index, F.col("theta").cast("double"), cfg)
         if labels is not None:
             rates = feedback(labels, rates, cfg)
@@ -60,7 +63,7 @@ def step(pairs: DataFrame, index: DataFrame, labels: DataFrame | None, cfg: Engi
         raise ValueError(f"unknown method {method}")
     params = errors.join(rates, "hla_idx")
     before = F.col("gamma").cast("double") if iteration == 1 else F.col("gamma64")
-    return called(pairs.select(*counts, before.alias("previous")), params, cfg), params
+    return called(kept.select(*counts, before.alias("previous"), "theta"), params, cfg), params
 
 
 def change(pairs: DataFrame) -> DataFrame:
@@ -69,27 +72,35 @@ def change(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.max(delta).alias("delta_max"), F.avg(delta).alias("delta_mean"))
 
 
-def refine(pairs: DataFrame, index: DataFrame, sizes: DataFrame, cfg: EngineConfig, *, method: str = "gibbs", propagate: bool = True) -> Refined:
+def refine(pairs: DataFrame, index: DataFrame, sizes: DataFrame, cfg: EngineConfig, *, method: str = "gibbs", propagate: bool = True, detailed: bool = False) -> Refined:
     """Iterate from called pairs until gamma moves by less than cfg.tol, or cfg.max_iter times.
 
     Similarity and labels are renewed every cfg.recompute_every iterations and at the end. Each
-    iteration's pairs are written to the shared folder; one row of numbers comes to the driver.
+    iteration's pairs are written to the shared folder, and dropped after the next; what metrics says of them is
+    observed while they are written. With detailed, metrics has all that the log states (runlog.stated).
     """
     if cfg.max_iter < 1:
         raise ValueError("refinement needs max_iter of at least 1")
     labels, tested, s, metrics = None, None, None, []
     params = None
     for iteration in range(1, cfg.max_iter + 1):
+        began, before = time.time(), pairs
         new, params = step(pairs, index, labels, cfg, iteration, method)
-        params, pairs = saved(with_tau(params, cfg)), saved(new)
-        moved = change(pairs).first()
-        metrics.append({"iteration": iteration, "delta_max": moved[0], "delta_mean": moved[1]})
-        settled = moved[0] is None or moved[0] < cfg.tol
-        if settled or iteration == cfg.max_iter or iteration % cfg.recompute_every == 0:
+        params = saved(with_tau(params, cfg))
+        pairs, seen = runlog.observed(new, runlog.of_pairs(cfg))
+        if iteration > 1:
+            dropped(before)
+        moved = seen["delta_gamma_max"]
+        metrics.append({"iteration": iteration, "delta_max": moved, "delta_mean": None if moved is None else seen["delta_gamma_sum"] / seen["n_pairs"]})
+        settled = moved is None or moved < cfg.tol
+        renewed = settled or iteration == cfg.max_iter or iteration % cfg.recompute_every == 0
+        if renewed:
             tested = saved(tests(pairs, cfg))
             s = similarity(tested, cfg)
             if propagate:
                 labels = saved(propagated(pairs, s, index, sizes, cfg))
+        if detailed:
+            metrics[-1] |= runlog.stated(pairs, params, seen, cfg, s=s, tested=tested if renewed else None, labels=labels if renewed else None, seconds=time.time() - began)
         if settled:
             break
     return Refined(pairs, params, tested, s, labels, metrics)

@@ -93,7 +93,7 @@ CHAIN = [
     "targets AS (SELECT hla_idx, count(cluster_id) AS n_pairs FROM idx LEFT JOIN pairs USING (hla_idx) GROUP BY hla_idx HAVING count(cluster_id) < 5000)",
     "cover AS (SELECT cluster_id, CAST(sum(n_total) AS BIGINT) AS n_labelled, CAST(greatest(coalesce(any_value(n_members), 1), 1) AS BIGINT) AS n_members, pow(least(sum(n_total) / greatest(coalesce(any_value(n_members), 1), 1), 1.0), 0.5) AS penalty FROM pairs LEFT JOIN sizes USING (cluster_id) GROUP BY cluster_id)",
     *_labels("called", ""),
-    *_iteration(1, "gibbs"), *_iteration(2, "gibbs"), *_iteration(1, "em"), *_iteration(1, "drawn"), *_FED,
+    *_iteration(1, "gibbs"), *_iteration(2, "gibbs"), *_iteration(1, "em"), *_iteration(1, "drawn"), *_FED, *_tests("post2_gibbs", "9"), *_labels("post2_gibbs", "9"),
     f"words AS ({_WORDS})",
     "raw_obs AS (SELECT pep, allele, quality AS label FROM words JOIN labels USING (doc_id))",
     "fed_idx AS (SELECT CAST(row_number() OVER (ORDER BY allele) - 1 AS INT) AS hla_idx, allele FROM (SELECT DISTINCT allele FROM raw_obs WHERE allele IS NOT NULL))",
@@ -123,17 +123,27 @@ CHAIN += [
 r = lambda *names: ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
 r4 = lambda *names: ", ".join(f"round(CAST({n} AS DOUBLE), 4) AS {n}" for n in names)
 _STATS = ", ".join(f"round({f}(CAST({c} AS DOUBLE)), 4) AS {n}_{s}" for c, n in (("p_tilde", "ptilde"), ("n_tilde", "ntilde"), ("lambda_w", "lambda")) for f, s in (("avg", "mean"), ("stddev_samp", "std"), ("median", "median")))
-_BLOCK = "split_part(split_part(log, '--- Gibbs Iteration {i}/3 ---', 2), '--- Gibbs Iteration', 1)"
 
 
-def _stated(part: str, place: int) -> str:
-    """A regular expression for the number that a part of a line's shape leads to."""
-    number = r"[0-9][0-9,]*(?:\.[0-9]+)?"
-    plain = re.escape(part).replace(r"\ ", " ").replace(r"\#", number)
-    return (plain + (number + r"[^0-9\n]*") * place + f"({number})").replace("'", "''")
+def _logged(k: int) -> str:
+    """What the log states of the k-th of two iterations; tests and labels are renewed in the second."""
+    last = {
+        "l2_significant_pairs": "(SELECT count_if(significant) FROM tested9)", "l2_nonzero_entries": "(SELECT count_if(s <> 0) FROM sim9)", "l3_propagated": "(SELECT count(*) FROM labels_9)",
+        "l3_positive": "(SELECT count_if(p_tilde > 0.5) FROM labels_9)", "l3_lambda_mean": "(SELECT round(avg(CAST(lambda_w AS DOUBLE)), 4) FROM labels_9)",
+    }
+    of_alleles = f"(SELECT {{}} FROM noise{k}_gibbs JOIN rate{k}_gibbs USING (hla_idx))"
+    values = {
+        "theta_binders": f"(SELECT CAST(sum(theta) AS BIGINT) FROM theta{k}_gibbs)", "theta_pct": f"(SELECT round(100.0 * sum(theta) / count(*), 2) FROM theta{k}_gibbs)",
+        "alpha_mean": of_alleles.format("round(avg(alpha), 4)"), "beta_mean": of_alleles.format("round(avg(beta), 4)"), "ph_mean": of_alleles.format("round(avg(p_h), 4)"), "ph_median": of_alleles.format("round(median(p_h), 4)"),
+        "gamma_mean": f"(SELECT round(avg(gamma64), 4) FROM post{k}_gibbs)", "gamma_median": f"(SELECT round(median(gamma64), 4) FROM post{k}_gibbs)", "gamma_gt_half": f"(SELECT count_if(gamma64 > 0.5) FROM post{k}_gibbs)",
+        "tau_mean": of_alleles.format("round(avg(least(2 * p_h, 0.5)), 4)"), "tau_median": of_alleles.format("round(median(least(2 * p_h, 0.5)), 4)"), "tau_cap_count": of_alleles.format("count_if(2 * p_h > 0.5)"),
+        "positive_calls": f"(SELECT CAST(sum(b_call) AS BIGINT) FROM post{k}_gibbs)", "positive_pct": f"(SELECT round(100.0 * sum(b_call) / count(*), 2) FROM post{k}_gibbs)",
+        "delta_gamma_max": f"(SELECT round(max(abs(gamma64 - previous)), 6) FROM post{k}_gibbs)", "delta_gamma_mean": f"(SELECT round(avg(abs(gamma64 - previous)), 6) FROM post{k}_gibbs)",
+    } | {n: x if k == 2 else "NULL" for n, x in last.items()}
+    kinds = {name: "BIGINT" if kind == "long" else "DOUBLE" for name, _, _, kind, _ in LOG_FIELDS}
+    return f"SELECT CAST({k} AS INT) AS iteration, " + ", ".join(f"CAST({values[n]} AS {kinds[n]}) AS {n}" for n in kinds if n in values)
 
 
-_LOG = ", ".join(f"TRY_CAST(replace(nullif(regexp_extract(block, '{_stated(part, place)}', 1), ''), ',', '') AS {'BIGINT' if kind == 'long' else 'DOUBLE'}) AS {name}" for name, part, place, kind, _ in LOG_FIELDS)
 _SUMMARY = "count(*) AS n, round(avg({x}), 4) AS mean, round(median({x}), 4) AS median, round(min({x}), 4) AS min, round(max({x}), 4) AS max, count_if({x} > {t}) AS n_above"
 _BOX = "WITH q AS (SELECT hla_idx, count(*) AS n, quantile_cont(g, 0.25) AS q1, quantile_cont(g, 0.5) AS median, quantile_cont(g, 0.75) AS q3 FROM (SELECT hla_idx, round(CAST({x} AS DOUBLE), 4) AS g FROM labels_) GROUP BY hla_idx) SELECT hla_idx, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, min(g) AS low, max(g) AS high FROM (SELECT hla_idx, round(CAST({x} AS DOUBLE), 4) AS g FROM labels_) JOIN q USING (hla_idx) WHERE g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1) GROUP BY hla_idx"
 _OBSERVED = "SELECT allele, count(*) AS n, CAST(sum(coalesce(label, 0)) AS BIGINT) AS pos FROM raw_obs GROUP BY allele"
@@ -211,7 +221,7 @@ LAST = {
     "run_metrics": "SELECT (SELECT count(*) FROM called) AS n_observed, (SELECT count(*) FROM labels_) AS n_propagated, (SELECT count(*) FROM idx) AS n_alleles, (SELECT count_if(significant) FROM tested) AS n_significant",
     "gamma_boxes": "WITH q AS (SELECT hla_idx, count(*) AS n, quantile_cont(g, 0.25) AS q1, quantile_cont(g, 0.5) AS median, quantile_cont(g, 0.75) AS q3 FROM (SELECT hla_idx, round(gamma64, 6) AS g FROM called) GROUP BY hla_idx) SELECT hla_idx, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, min(g) AS low, max(g) AS high FROM (SELECT hla_idx, round(gamma64, 6) AS g FROM called) JOIN q USING (hla_idx) WHERE g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1) GROUP BY hla_idx",
     "sign_bars": "SELECT hla_idx, hla_name, round(ln(pos + 1), 6) AS up, round(-ln(tot - pos + 1), 6) AS down FROM rates JOIN idx USING (hla_idx)",
-    "gibbs_log_table": f"SELECT CAST(i AS INT) AS iteration, {_LOG} FROM (" + " UNION ALL ".join(f"SELECT {i} AS i, {_BLOCK.format(i=i)} AS block FROM (SELECT '" + fixtures.LOG.replace("'", "''") + "' AS log)" for i in (1, 2, 3)) + ")",
+    "gibbs_log_table": f"{_logged(1)} UNION ALL {_logged(2)}",
     "anchor_extract": "SELECT DISTINCT pep AS sequence, left(pep, 3) || right(pep, 3) AS anchor FROM words",
     "anchor_mask": "SELECT DISTINCT pep AS sequence, CASE WHEN length(pep) >= 6 THEN left(pep, 3) || right(pep, 3) ELSE pep END AS masked FROM words",
     "anchor_counts": "SELECT anchor, n FROM anchors",

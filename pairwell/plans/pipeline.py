@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import clusters, counts, diagnostics, noise, propagate, refine, reports, similarity
+from ..operators import clusters, counts, diagnostics, noise, propagate, refine, reports, runlog, similarity
 from ..sources import readers, sinks
 from ..sources.tables import saved
 
@@ -60,7 +61,10 @@ def run(spark: SparkSession, observations: str, cluster_tsv: str, out: str | Non
     params = saved(noise.with_tau(noise.noise_params(pairs, index, cfg).join(rates.select("hla_idx", "p_h"), "hla_idx"), cfg))
     called = saved(noise.called(pairs, params, cfg))
     if cfg.max_iter:
-        done = refine.refine(called, index, sizes, cfg, method=method, propagate=propagate_labels)
+        began = datetime.now()
+        done = refine.refine(called, index, sizes, cfg, method=method, propagate=propagate_labels, detailed=out is not None)
+        if out is not None:
+            sinks.write_log(spark, runlog.rendered(done.metrics, cfg, began, index.count()), f"{out}/stage1/{method}_log")
         result = Outcome(done.pairs, done.params, done.tested, done.labels, index, done.metrics, done.similarity, propagate.coverage(pairs, sizes, cfg))
     else:
         tested = saved(similarity.tests(called, cfg))
@@ -75,7 +79,7 @@ def write(result: Outcome, rates: DataFrame, out: str, suffix: str) -> None:
     """All tables of a run."""
     at = sinks.layout(out)
     pairs, index = result.pairs.withColumn("phi_ch", noise.phi().cast("float")), result.index
-    sinks.write_parquet(pairs.drop("gamma64", "previous"), f"{at['level1']}/level1_results{suffix}.parquet")
+    sinks.write_parquet(pairs.drop("gamma64", "previous", "theta"), f"{at['level1']}/level1_results{suffix}.parquet")
     sinks.write_csv(result.params, f"{at['level1']}/noise_params{suffix}.csv", ["hla_idx"])
     sinks.write_csv(diagnostics.allele_purity(pairs, index), f"{at['diagnostics']}/hla_purity.csv", ["hla_idx"])
     sinks.write_csv(diagnostics.cluster_counts(pairs, index, result.params), f"{at['diagnostics']}/hla_cluster_counts.csv", ["hla_idx"])

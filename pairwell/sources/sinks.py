@@ -6,7 +6,7 @@ import io
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reports import column_descriptions
@@ -77,6 +77,11 @@ def write_short(short: DataFrame, path: str) -> None:
     short.select(F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.col("sequence")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_log(spark: SparkSession, text: str, path: str) -> None:
+    """The log of a run as one text file, in a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_log_table(table: DataFrame, path: str) -> dict[str, str]:
     """The table's columns in order of their names as CSV; returns their descriptions, written beside it as JSON."""
     columns = sorted(table.columns)

@@ -8,6 +8,32 @@ from pairwell.config import EngineConfig
 from pairwell.plans import fixtures, pipeline
 from pairwell.streaming import counts as stream
 
+LOG = """start
+--- Gibbs Iteration 1/3 ---
+  Sampled theta: 1,234/5,000 binders (24.68%)
+  alpha: mean=0.0812, beta: mean=0.0193
+  p_h: mean=0.2513, median=0.2401
+  gamma: mean=0.2620, median=0.0312
+  >0.5: 1,301/5,000
+  tau_h: mean=0.4810, median=0.5000
+  tau_max cap applied to 12/25 alleles
+  Positive calls: 1,310/5,000 (26.20%)
+  max|delta gamma| = 0.912345, mean|delta| = 0.012345
+  Significant pairs: 50 / 300 (FDR < 0.05)
+  Non-zero entries: 1,100
+  Propagated pairs: 12,345
+  Positive-leaning (p_tilde > 0.5): 3,210
+  Mean lambda: 0.4123
+  Iteration 1 done (3.2s)
+--- Gibbs Iteration 2/3 ---
+  Sampled theta: 1,250/5,000 binders (25.00%)
+  max|delta gamma| = 0.001000, mean|delta| = 0.000100
+  Iteration 2 done (0.4s)
+--- Gibbs Iteration 3/3 ---
+  Sampled theta: 1,251/5,000 binders (25.02%)
+  done
+"""
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -33,7 +59,7 @@ def test_files_to_files(spark, tmp_path):
     assert {r.value for r in stats} == {"p_h", "tau_h", "gamma64", "penalty", "p_tilde", "lambda_w"}
     again = pipeline.run(spark, str(tmp_path / "obs.parquet"), f"{out}/clusters.tsv", out, EngineConfig(max_iter=2, sample_theta=False, min_shared=3), propagate_labels=False)
     assert again.labels is None and 1 <= len(again.metrics) <= 2
-    (tmp_path / "log.txt").write_text(fixtures.LOG)
+    (tmp_path / "log.txt").write_text(LOG)
     command.main(["log", str(tmp_path / "log.txt"), str(tmp_path / "log_out")])
     assert spark.read.option("header", True).csv(str(tmp_path / "log_out")).count() == 3
 
