@@ -244,6 +244,16 @@ def matrix_or_wide(spark, d):
     return matrix.withColumns({n: F.lit(None).cast("double") for n in lacking}).select("row_name", *r6(*fx.NATIONS))
 
 
+@query
+def matrix_wide_file(spark, d):
+    """The wide file, read back and put into rows again."""
+    p, path = Plan(spark, d), shared_path(spark) + ".csv"
+    names = [r.hla_name for r in p.index.orderBy("hla_idx").collect()]  # a dictionary
+    K.write_wide(S.matrix_long(p.tested, p.index, "OR"), names, path)
+    read = spark.read.option("header", True).schema(", ".join(f"`{n}` {'string' if n == 'row_name' else 'double'}" for n in ["row_name", *names])).csv(path)
+    return read.unpivot("row_name", names, "col_name", "value").select("row_name", "col_name", *r6("value"))
+
+
 @query
 def heat_cells(spark, d):
     p = Plan(spark, d)

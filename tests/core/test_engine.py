@@ -221,8 +221,30 @@ def test_posterior_edges(spark):
     assert got.a == 1 - 1e-10 and got.b == 1e-10
 
 
-def test_dense_matrix(spark):
+@pytest.mark.parametrize("cells", [1 << 18, 60, 1])
+def test_matrix_files(spark, tmp_path, monkeypatch, cells):
+    monkeypatch.setattr(sinks, "CELLS", cells)
     p = catalog.Plan(spark, SF)
     names = [r.hla_name for r in p.index.orderBy("hla_idx").collect()]
-    m = sinks.dense(similarity.matrix_long(p.tested, p.index, "OR"), names)
-    assert np.isnan(np.diag(m)).all() and np.allclose(np.nan_to_num(m), np.nan_to_num(m.T))
+    long = similarity.matrix_long(p.tested, p.index, "OR")
+    want, at = np.full((len(names),) * 2, np.nan), {n: i for i, n in enumerate(names)}
+    for r in long.collect():
+        want[at[r.row_name], at[r.col_name]] = np.nan if r.value is None else r.value
+    for _ in range(2):  # a rerun replaces
+        sinks.write_matrix(long, names, str(tmp_path / "m"))
+    np.save(tmp_path / "want.npy", want)
+    assert (tmp_path / "m.npy").read_bytes() == (tmp_path / "want.npy").read_bytes() and np.isnan(np.diag(want)).all()
+    wide = spark.read.option("header", True).csv(str(tmp_path / "m_wide.csv")).collect()
+    assert [r.row_name for r in wide] == names and wide[0].asDict().keys() == {"row_name", *names}
+    assert np.allclose([[np.nan if r[n] is None else float(r[n]) for n in names] for r in wide], want, equal_nan=True)
+
+
+def test_matrix_of_nothing_and_of_odd_names(spark, tmp_path):
+    empty = spark.createDataFrame([], "row_name string, col_name string, value double")
+    sinks.write_npy(empty, [], str(tmp_path / "none.npy"))
+    assert np.load(tmp_path / "none.npy").shape == (0, 0)
+    names = ['a,b', 'c"d']
+    rows = spark.createDataFrame([(x, y, float(i)) for i, (x, y) in enumerate((x, y) for x in names for y in names)], empty.schema)
+    sinks.write_wide(rows, names, str(tmp_path / "odd.csv"))
+    read = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "odd.csv"))
+    assert {r.row_name for r in read.collect()} == {'a,b', 'c"d'} or read.count() == 2
