@@ -130,3 +130,16 @@ def test_a_bad_element_leaves_the_other_calls(spark):
     rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (1, 1, "tool", '{"tool_call_id": "b", "content": "2"}')]
     call, result = sorted(tool_calls.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect())
     assert (call.n_calls, call.n_valid, call.n_linked, result.link) == (2, 2, 1, "linked")
+
+
+def test_long_unclosed_strings_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ('{"' + '\\"' * 500_000, '{"' + "a" * 1_000_000, '["' + "\\\\" * 500_000 + '", ', '"' * 1_000_001):
+        with pytest.raises(ValueError):
+            tool_calls.parsed(text)
+    assert time.time() - began < 5
+    assert tool_calls.parsed('{"a[{": "]}\\"[", "b": [1]}') == {"a[{": ']}"[', "b": [1]}
+    with pytest.raises(ValueError, match="deep"):
+        tool_calls.parsed("[" * 300 + "]" * 300)
