@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .noise import phi
 from .quantiles import quantiles, with_medians
 
@@ -63,6 +66,18 @@ def sampled(rows: DataFrame, group: str, keys: list[str], n: int, seed: int = 0)
     return rows.withColumn("_k", order).where(F.col("_k") <= n).drop("_k")
 
 
+def normal(seed: int, *keys: str) -> Column:
+    """A standard normal draw for keys, from two uniform ones of their hash: the same for any partitioning, and in any SQL."""
+    radius = F.sqrt(-2 * F.ln(1 - uniform(seed, 1, *keys)))
+    return radius * F.cos(F.lit(2 * math.pi) * uniform(seed, 2, *keys))
+
+
+def jittered(rows: DataFrame, group: str, keys: list[str], value: str, n: int = 300, spread: float = 0.08, seed: int = 0) -> DataFrame:
+    """group, keys, x and y of at most n points of each group (sampled()): y is value, x the group's number moved by a normal draw."""
+    x = F.col(group) + F.lit(spread) * normal(seed, *keys)
+    return sampled(rows, group, keys, n, seed).select(*dict.fromkeys([group, *keys]), x.alias("x"), F.col(value).alias("y"))
+
+
 def boxes(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, q1, median, q3, low and high whiskers (1.5 spreads)."""
     quartiles = quantiles(rows, [group], [value], [0.25, 0.5, 0.75]).select(group, F.col(value).alias("q"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.draws import uniform
 from ..sources.tables import dropped, saved
 from . import runlog
 from .counts import clip, shrunken
@@ -29,12 +30,6 @@ class Refined:
     metrics: list[dict]
 
 
-def uniform(seed: int, iteration: int, *keys: str) -> Column:
-    """A number in [0, 1) from 52 bits of the MD5 of keys: the same for any partitioning, and in any SQL."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(iteration)), *keys).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
 def states(pairs: DataFrame, cfg: EngineConfig, iteration: int) -> DataFrame:
     """pairs with theta: drawn with probability gamma, or gamma > 0.5."""
     draw = uniform(cfg.seed, iteration, "cluster_id", "hla_idx") if cfg.sample_theta else F.lit(0.5)

@@ -388,6 +388,12 @@ def sampled_pairs(spark, d):
     return D.sampled(Plan(spark, d).pairs, "hla_idx", ["cluster_id", "hla_idx"], 300).select("cluster_id", "hla_idx", "n_pos", "n_neg", "n_total")
 
 
+@query
+def jittered_points(spark, d):
+    """At most 300 posteriors of each allele, spread sideways."""
+    return D.jittered(Plan(spark, d).called, "hla_idx", ["cluster_id", "hla_idx"], "gamma64").select("hla_idx", "cluster_id", *r6("x", "y"))
+
+
 @query
 def sign_bars(spark, d):
     p = Plan(spark, d)

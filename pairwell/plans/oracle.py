@@ -235,6 +235,8 @@ LAST = {
 }
 
 LAST["anchor_comparisons"] = "SELECT (SELECT count(*) FROM blocks) AS n_anchors, (SELECT count(*) FROM scored) AS n_pairs, (SELECT count_if(loss1 <= 0.1 + 1e-9 OR loss2 <= 0.1 + 1e-9) FROM scored) AS n_candidates, (SELECT count_if(score >= 0.8) FROM scored) AS n_similar, (SELECT count_if(anchor = centroid) FROM greedy) AS n_centroids"
+_DRAW = "CAST('0x' || substr(md5(concat_ws('|', '0', '{k}', cluster_id, hla_idx)), 1, 13) AS BIGINT) / 4503599627370496.0"
+LAST["jittered_points"] = f"SELECT hla_idx, cluster_id, round(hla_idx + 0.08 * sqrt(-2 * ln(1 - {_DRAW.format(k=1)})) * cos(2 * pi() * {_DRAW.format(k=2)}), 6) AS x, round(gamma64, 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY hla_idx ORDER BY md5(concat_ws('|', '0', cluster_id, hla_idx)), cluster_id) AS k FROM called) WHERE k <= 300"
 LAST["matrix_wide_file"] = LAST["matrix_or_long"]
 LAST["job1_observation_feed"] = f"SELECT allele, cluster_id, n_pos, n_neg, n_total, round(gamma64, 6) AS gamma, CAST(gamma64 > least(2 * p_h, 0.5) AS INT) AS b_call FROM (SELECT *, {_POSTERIOR} AS gamma64 FROM fed_pairs JOIN fed_noise USING (hla_idx) JOIN fed_rates USING (hla_idx) JOIN fed_idx USING (hla_idx))"
 LAST["job2_label_release"] = "SELECT hla_name AS allele, cluster_id, 'observed' AS kind, round(gamma64, 4) AS value, CAST(n_total AS DOUBLE) AS weight FROM called JOIN idx USING (hla_idx) UNION ALL SELECT hla_name, cluster_id, 'propagated', round(CAST(p_tilde AS DOUBLE), 4), round(CAST(n_tilde AS DOUBLE), 4) FROM labels_ JOIN idx USING (hla_idx)"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwell.functions import anchors, bits, neighbours
-from pairwell.operators import clusters, quantiles, similarity
+from pairwell.operators import clusters, diagnostics, quantiles, similarity
 from pairwell.sources import tables
 
 
@@ -188,3 +188,10 @@ def test_saved_tables_can_be_dropped(spark):
     tables.dropped(one)
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(one.saved_at).count()
+
+
+def test_normal_draws(spark):
+    found = np.array([r[0] for r in spark.range(20_000).select(diagnostics.normal(3, "id")).collect()])
+    assert abs(found.mean()) < 0.03 and abs(found.std() - 1) < 0.03 and abs((found < 1).mean() - 0.8413) < 0.01 and abs((found < -2).mean() - 0.0228) < 0.005
+    again = spark.range(20_000).repartition(7).select("id", diagnostics.normal(3, "id").alias("x")).orderBy("id").collect()
+    assert [r.x for r in again] == found.tolist()
