@@ -20,6 +20,7 @@ import gc
 import hashlib
 import json
 import os
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -330,6 +331,15 @@ def _saved(make) -> DataFrame:
     return out
 
 
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """The blocks, saved in buckets by their number, so that later only what meets them is shuffled."""
+    spark = blocks.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(n, "block").option("path", runtime.shared_dir(spark)).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row; if asked for, also groups.
 
@@ -340,7 +350,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     """
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    blocks = _saved(lambda: _blocks(rows, a_path, b_path, block_bytes))
+    blocks = _bucketed(_blocks(rows, a_path, b_path, block_bytes))
     encoded = _saved(lambda: _encoded(_distinct_units(blocks), a_path, b_path))
     spoiled = _saved(lambda: encoded.where("not good").select("unit"))
     aligned = _saved(lambda: _of_units(_usable(blocks, encoded, spoiled)))
