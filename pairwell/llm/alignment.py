@@ -252,18 +252,30 @@ def linked(ends: DataFrame) -> DataFrame:
 
 
 def _of_units(encoded: DataFrame) -> DataFrame:
-    """unit, uid, times, n_a, n_b, n_groups, n_links, groups and links (pairs of ids) of each unit; rows of a unit stay in one partition throughout."""
+    """unit, uid, times, groups and links (pairs of ids) of each unit; rows of a unit stay in one partition throughout."""
     placed = encoded.repartition("uid")
     rows = linked(token_ends(placed))
     parts = rows.groupBy("uid", "part").agg(F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("end", "a", "b", "link_a", "link_b"))).alias("x"))
     ids = lambda c: F.transform(F.filter("x", lambda e: e[c].isNotNull()), lambda e: e[c].cast("string"))
     parts = parts.select("uid", "part", "times", "x", ids("a").alias("ids_a"), ids("b").alias("ids_b"))
     group = F.concat(F.array_join("ids_a", ","), F.lit("|"), F.array_join("ids_b", ","))
-    parts = parts.select("uid", "part", "times", F.size("ids_a").alias("n_a"), F.size("ids_b").alias("n_b"), group.alias("group"), F.transform("x", lambda e: F.struct(e["link_a"].alias("a"), e["link_b"].alias("b"))).alias("links"))
+    parts = parts.select("uid", "part", "times", group.alias("group"), F.transform("x", lambda e: F.struct(e["link_a"].alias("a"), e["link_b"].alias("b"))).alias("links"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("part"), "group", "links")))
-    units = parts.groupBy("uid").agg(F.first("times").alias("times"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), listed.alias("x"))
-    units = units.select("uid", "times", "n_a", "n_b", "n_groups", F.array_join(F.transform("x", lambda e: e["group"]), ";").alias("groups"), F.flatten(F.transform("x", lambda e: e["links"])).alias("links"))
-    return units.withColumn("n_links", F.size("links").cast("long")).join(placed.select("uid", "unit"), "uid")
+    units = parts.groupBy("uid").agg(F.first("times").alias("times"), listed.alias("x"))
+    units = units.select("uid", "times", F.array_join(F.transform("x", lambda e: e["group"]), ";").alias("groups"), F.flatten(F.transform("x", lambda e: e["links"])).alias("links"))
+    return units.join(placed.select("uid", "unit"), "uid")
+
+
+def group_sizes(groups: pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """n_a, n_b, n_groups and n_links of group strings, which needn't be sent beside them; of null ones any numbers.
+
+    The ends in a group are those of its tokens, the last of which both sides share: it has one link less than tokens.
+    """
+    count = lambda x, mark: pc.fill_null(pc.count_substring(x, mark), 0).to_numpy().astype(np.int64)
+    n_groups = count(groups, ";") + 1
+    n_a = count(pc.replace_substring_regex(groups, r"\|[^;]*", ""), ",") + n_groups
+    n_b = count(groups, ",") + 2 * n_groups - n_a
+    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups}
 
 
 def _exploded(units: DataFrame, *columns: str) -> DataFrame:
@@ -311,7 +323,8 @@ def _of_texts(blocks: DataFrame, units: DataFrame, keep_groups: bool) -> DataFra
         spoiled = pc.is_null(parts["groups"]).to_numpy()[order].astype(np.int64) if parts.num_rows else np.empty(0, np.int64)
         add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[places])])[at])
         good = (add(spoiled) == 0) & (sizes > 0)
-        out = [ids] + [pa.array(np.where(good, add(pc.fill_null(parts[c], 0).to_numpy()[order]), 0)) for c in SUMS]
+        sums = group_sizes(parts["groups"]) | {c: pc.fill_null(parts[c], 0).to_numpy() for c in ("n_best", "count_sum")}
+        out = [ids] + [pa.array(np.where(good, add(sums[c][order]), 0)) for c in SUMS]
         strings = parts["groups"].take(pa.array(order)).to_pylist()
         whole = [";".join([strings[p] for p in places[at[i] : at[i + 1]].tolist()]) if good[i] else "" for i in range(len(sizes))]
         out.append(pa.array([hashlib.sha256(w.encode()).hexdigest() if w else "" for w in whole], pa.string()))
