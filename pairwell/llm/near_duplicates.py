@@ -57,6 +57,8 @@ PART = np.uint64((1 << 64) // 6)
 #: Tokens counted at a time in a task.
 COUNTED = 4_000_000
 _FILTER_BITS = 23
+#: Sets that a task remembers to have sent.
+SENT = 1 << 16
 _NULL_ID = -(1 << 63)
 
 
@@ -104,7 +106,7 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """A row for each document (kind 0: row, doc_id, tag, n, s1, s2, k1, k2), and counts of tokens (kind 1: s1, n); saved."""
+    """A row for each document (kind 0: row, doc_id, tag, key, n, s1, s2, k1, k2), and counts of tokens (kind 1: s1, n); saved."""
 
     def run(batches):
         row, held, size = TaskContext.get().partitionId() << 40, [], 0
@@ -114,9 +116,9 @@ def _described(docs: DataFrame) -> DataFrame:
             often = n >= 3
             m, zero = int(often.sum()), np.zeros(int(often.sum()), np.int64)
             none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(zero + 1), none, none, none, pa.array(n[often].astype(np.int64)), _longs(tokens[often]), none, none, none], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(zero + 1), none, none, none, none, pa.array(n[often].astype(np.int64)), _longs(tokens[often]), none, none, none], names=names)
 
-        names = ["kind", "row", "doc_id", "tag", "n", "s1", "s2", "k1", "k2"]
+        names = ["kind", "row", "doc_id", "tag", "key", "n", "s1", "s2", "k1", "k2"]
         for batch in wordhash.slices(batches, 1):
             sets = list(shingle_sets(batch, 1))
             tokens, starts, full = _flat(sets)
@@ -126,7 +128,7 @@ def _described(docs: DataFrame) -> DataFrame:
                     to[full] = values
                 held.append(tokens)
                 size += len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(np.arange(row, row + len(sets))), batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *map(_longs, sums)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(np.arange(row, row + len(sets))), batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in sets], pa.int64()), *map(_longs, sums)], names=names)
             row += len(sets)
             if size >= COUNTED:
                 yield counted()
@@ -134,7 +136,7 @@ def _described(docs: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    return save(docs.mapInArrow(run, "kind long, row long, doc_id long, tag long, n long, s1 long, s2 long, k1 long, k2 long"))
+    return save(docs.select("doc_id", "text", "tag", "key").mapInArrow(run, "kind long, row long, doc_id long, tag long, key long, n long, s1 long, s2 long, k1 long, k2 long"))
 
 
 def _in(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -160,23 +162,36 @@ def _frequent(described: DataFrame) -> np.ndarray:
 def _made_of(docs: DataFrame, needed: DataFrame, columns: dict[str, str], make) -> DataFrame:
     """key, s1 and the columns that make(sets, tokens, starts) gives, of documents whose key is in needed (key), and perhaps of a few others.
 
-    needed reaches the tasks as a bitmap of fixed size; the join that follows decides.
+    needed reaches the tasks as a bitmap of fixed size; the join that follows decides. However often a
+    row is repeated, its set is there once: tasks leave out what they have just sent, and of the rest
+    one row a (key, s1) goes on from where all of them are dealt to.
     """
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << _FILTER_BITS)).alias("bit")
     listed = docs.sparkSession.sparkContext.broadcast(bitmap(needed.select(bit), _FILTER_BITS))
 
     def run(batches):
+        sent: set[tuple[int, int]] = set()
         for big in batches:
             on = np.flatnonzero(_in(listed.value, big.column(2).to_numpy()))
             for batch in wordhash.slices(iter([big.take(pa.array(on))]), 1):
                 sets = list(shingle_sets(batch, 1))
                 tokens, starts, full = _flat(sets)
+                if not len(full):
+                    continue
+                key, (s1, _) = batch.column(0).to_numpy()[full], _sums(tokens, starts)
+                names = list(zip(key.tolist(), s1.tolist(), strict=True))
+                new = [k for k, name in enumerate(names) if not (name in sent or sent.add(name))]
+                if len(new) < len(names):
+                    sets, key, s1 = [sets[full[k]] for k in new], key[new], s1[new]
+                    tokens, starts, full = _flat(sets)
                 if len(full):
-                    s1, _ = _sums(tokens, starts)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _longs(s1), *make([sets[k] for k in full], tokens, starts)], names=["key", "s1", *columns])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), _longs(s1), *make([sets[k] for k in full], tokens, starts)], names=["key", "s1", *columns])
+                if len(sent) > SENT:
+                    sent.clear()
 
     schema = ", ".join(["key long", "s1 long", *(f"{a} {b}" for a, b in columns.items())])
-    return docs.select(F.col("doc_id").alias("key"), "text").select("key", "text", bit).mapInArrow(run, schema)
+    made = docs.select("key", "text", bit).mapInArrow(run, schema)
+    return made.repartition("key", "s1").dropDuplicates(["key", "s1"])
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -442,12 +457,16 @@ def _verified(docs: DataFrame, labelled: DataFrame, lists: DataFrame, asked: Dat
 
 
 def _solved(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, tag) as doc_id, tag, n, class_id, component_id and comp, which tells components apart; saved."""
+    """docs (doc_id, text, tag) as doc_id, tag, n, class_id, component_id and comp, which tells components apart; saved.
+
+    key, a hash of id and text, finds the texts of classes again; many rows may share an id, or have none.
+    """
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     described = _described(docs)
     rows = described.where("kind = 0")
     ids = F.min(F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("row", "doc_id")).alias("rep"), ids.alias("class_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
-    classes = save(classes.select(F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("key"), "s1", "s2", "n", "k1", "k2", "class_id"))
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("row", "key")).alias("rep"), ids.alias("class_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    classes = save(classes.select(F.col("rep.row").alias("node"), F.col("rep.key").alias("key"), "s1", "s2", "n", "k1", "k2", "class_id"))
     edges = _chunk_edges(docs, classes)
     labelled, roots = classes.drop("k1", "k2"), []
     for name, found in (("comp", edges.where("link = 1")), ("grp", edges)):

@@ -155,3 +155,20 @@ def test_one_of_each_by_row(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.row) for r in kept.collect()) == [(0, "d"), (3, "e"), (3, "e"), (5, "f"), (5, "g")]
     assert near_duplicates.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_dealt_once(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:59], "other"])
+    docs = spark.createDataFrame([(1, text)] * 2000 + [(None, text)] * 50 + [(None, near), (2, near)], "doc_id long, text string").repartition(3)
+    dealt, plain = [], near_duplicates._dealt
+
+    def counted(rows, sets):
+        out = plain(rows, sets)
+        dealt.append((rows.count(), sets.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_duplicates, "_dealt", counted)
+    found = near_duplicates.near_duplicates(docs).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted(map(tuple, found), key=str) == [(1, 56, 1, 2000), (2, 56, 1, 1), (None, 56, 1, 51)]
+    assert dealt[0] == (4, 2, 4) and all(a == c for a, _, c in dealt)
