@@ -8,7 +8,7 @@ rows, which bounds what is broadcast whatever the list's length; a longer list o
 positives through to the join. (host, path) pairs with a passing candidate are made distinct, joined
 to the list by equality, and the longest rule is taken; its verdict goes back to the pages. Pairs
 that hold more than a thousandth of all pages, of which there can't be a thousand, go back by a
-broadcast, so no common url lands in one task.
+broadcast, with a rule or without, so no common url lands in one task.
 """
 
 from __future__ import annotations
@@ -65,6 +65,12 @@ def candidates(pairs: DataFrame, rules: DataFrame, lengths: list[int], blocks: i
     return passed.select("host", "path", "n", "c_host", "c_path")
 
 
+def common_verdicts(pairs: DataFrame, judged: DataFrame, rows: int) -> DataFrame:
+    """j_host, j_path, rule, v of the (host, path) pairs that have more than one in COMMON of so many rows, so fewer than COMMON; null without a rule."""
+    common = pairs.where(COMMON * F.col("n") > rows).select(F.col("host").alias("j_host"), F.col("path").alias("j_path"))
+    return common.join(judged, ["j_host", "j_path"], "left")
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", blocks: int = 1 << 16) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages.
 
@@ -80,17 +86,17 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     if not lengths:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    pairs = pages.where(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("n"))
+    pairs = save(pages.where(F.col("host") != "").groupBy("host", "path").agg(F.count("*").alias("n")))
     fits = (F.col("c_host") == F.col("r_host")) & (F.col("c_path") == F.col("r_path"))
     exact = candidates(pairs, rules, lengths, blocks).join(rules, fits)
     rule = F.concat("r_host", "r_path")
-    judged = exact.groupBy("host", "path").agg(F.first("n").alias("n"), F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), F.col("r_verdict").alias("v"))).alias("best"))
-    judged = save(judged.select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), "n", F.col("best.rule").alias("rule"), F.col("best.v").alias("v")))
+    judged = exact.groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), F.col("r_verdict").alias("v"))).alias("best"))
+    judged = save(judged.select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), F.col("best.rule").alias("rule"), F.col("best.v").alias("v")))
 
-    common = judged.where(COMMON * F.col("n") > pages.count()).drop("n")  # fewer than COMMON rows
+    common = common_verdicts(pairs, judged, pages.count())
     same = (F.col("host") == F.col("j_host")) & (F.col("path") == F.col("j_path"))
     tried = pages.join(F.broadcast(common), same, "left")
     known = (F.col("host") == "") | F.col("j_host").isNotNull()
-    rest = tried.where(~known).select("page_id", "host", "path").join(judged.drop("n").hint("merge"), same, "left")
+    rest = tried.where(~known).select("page_id", "host", "path").join(judged.hint("merge"), same, "left")
     found = tried.where(known).unionByName(rest)
     return found.select("page_id", "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))

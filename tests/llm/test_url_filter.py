@@ -53,3 +53,14 @@ def test_any_number_of_path_lengths(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)], "page_id long, url string, host string, rule string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert {r[0]: tuple(r[1:]) for r in url_filter.url_verdicts(pages, rules).collect()} == {i: brute(u) for i, u in enumerate(URLS)}
+
+
+def test_common_urls_without_a_rule_are_broadcast(spark):
+    pairs = spark.createDataFrame([("hot.zz", "/x", 5000), ("a.net", "/", 900), ("rare.zz", "/", 1)], "host string, path string, n long")
+    judged = spark.createDataFrame([("a.net", "/", "net/", "block")], "j_host string, j_path string, rule string, v string")
+    found = url_filter.common_verdicts(pairs, judged, 10000).collect()
+    assert sorted(map(tuple, found)) == [("a.net", "/", "net/", "block"), ("hot.zz", "/x", None, None)]
+    pages = spark.createDataFrame([(k, "http://hot.zz/x") for k in range(500)] + [(500, "http://a.net/")], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    got = url_filter.url_verdicts(pages, rules).groupBy("host", "rule", "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [("a.net", "net/", "block", 1), ("hot.zz", None, "allow", 500)]
