@@ -5,7 +5,7 @@ around (`Cutter`), so the tokens of a text are those of its units. Equal units a
 alignment is made once for each distinct unit and weighted by how often the unit occurs.
 
 * Texts go, in blocks of bounded size, to places in a block's list of distinct units.
-* All units of all blocks together are encoded once by both libraries.
+* The units of all blocks, dealt by unit once for both uses, are each encoded once by both libraries.
 * The alignment is relational: a row a token, a running sum of lengths gives its end, both sides meet
   on (unit, end); rows where both end are cuts, whose running count numbers the groups. Between
   neighbouring ends exactly one token of each side overlaps, and an overlap holds no end inside, so
@@ -199,9 +199,15 @@ def _encoded(units: DataFrame, a_path: str, b_path: str, slice_rows: int = 2048)
     return units.mapInArrow(run, "unit string, times long, uid long, good boolean, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
 
 
-def _distinct_units(blocks: DataFrame) -> DataFrame:
+def _places(blocks: DataFrame) -> DataFrame:
+    """of (block), place, unit, times: the units of all blocks, dealt by unit; a unit has at most a row a block."""
+    rows = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("units", "times")).alias("place", "x"))
+    return rows.select("of", "place", F.col("x.units").alias("unit"), F.col("x.times").alias("times")).repartition(_buckets(blocks), "unit")
+
+
+def _distinct_units(places: DataFrame) -> DataFrame:
     """unit, times: all units, and how often they occur."""
-    return blocks.select(F.explode(F.arrays_zip("units", "times")).alias("x")).groupBy(F.col("x.units").alias("unit")).agg(F.sum("x.times").alias("times"))
+    return places.groupBy("unit").agg(F.sum("times").alias("times"))
 
 
 def _usable(blocks: DataFrame, encoded: DataFrame, spoiled: DataFrame) -> DataFrame:
@@ -308,9 +314,9 @@ def _weights(units: DataFrame, pairs: DataFrame) -> DataFrame:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _of_texts(blocks: DataFrame, units: DataFrame, keep_groups: bool) -> DataFrame:
+def _of_texts(blocks: DataFrame, places: DataFrame, units: DataFrame, keep_groups: bool) -> DataFrame:
     """The sums and group strings of each text; a block and its units are one group, bounded by the block's bytes."""
-    found = blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("place", "unit")).join(units, "unit").drop("unit")
+    found = places.drop("times").join(units, "unit").drop("unit")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string" + ", groups string" * keep_groups
 
     def run(texts: pa.Table, parts: pa.Table) -> pa.Table:
@@ -344,12 +350,15 @@ def _saved(make) -> DataFrame:
     return out
 
 
-def _bucketed(blocks: DataFrame) -> DataFrame:
-    """The blocks, saved in buckets by their number, so that later only what meets them is shuffled."""
-    spark = blocks.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.bucketBy(n, "block").option("path", runtime.shared_dir(spark)).format("parquet").saveAsTable(name)
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df, saved in buckets by a column, so that later only what meets it is shuffled."""
+    spark = df.sparkSession
+    name = f"pairwell_{uuid.uuid4().hex}"
+    df.write.bucketBy(_buckets(df), column).option("path", runtime.shared_dir(spark)).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -363,8 +372,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     """
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    blocks = _bucketed(_blocks(rows, a_path, b_path, block_bytes))
-    encoded = _saved(lambda: _encoded(_distinct_units(blocks), a_path, b_path))
+    blocks = _bucketed(_blocks(rows, a_path, b_path, block_bytes), "block")
+    places = _bucketed(_places(blocks), "unit")
+    encoded = _saved(lambda: _encoded(_distinct_units(places), a_path, b_path))
     spoiled = _saved(lambda: encoded.where("not good").select("unit"))
     aligned = _saved(lambda: _of_units(_usable(blocks, encoded, spoiled)))
     runtime.drop(encoded)
@@ -372,4 +382,4 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     weights = _saved(lambda: _weights(aligned, pairs))
     units = _saved(lambda: aligned.drop("links", "times").join(weights, "uid", "left").drop("uid").unionByName(spoiled, allowMissingColumns=True))
     runtime.drop(aligned, weights, pairs)
-    return _of_texts(blocks, units, keep_groups)
+    return _of_texts(blocks, places, units, keep_groups)
