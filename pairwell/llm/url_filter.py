@@ -68,7 +68,8 @@ def candidates(pairs: DataFrame, rules: DataFrame, lengths: list[int], blocks: i
 def common_verdicts(pairs: DataFrame, judged: DataFrame, rows: int) -> DataFrame:
     """j_host, j_path, rule, v of the (host, path) pairs that have more than one in COMMON of so many rows, so fewer than COMMON; null without a rule."""
     common = pairs.where(COMMON * F.col("n") > rows).select(F.col("host").alias("j_host"), F.col("path").alias("j_path"))
-    return common.join(judged, ["j_host", "j_path"], "left")
+    ruled = judged.join(F.broadcast(common), ["j_host", "j_path"])  # judged grows with the pages and is neither sent nor shuffled
+    return common.join(F.broadcast(ruled), ["j_host", "j_path"], "left")
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", blocks: int = 1 << 16) -> DataFrame:
