@@ -58,8 +58,8 @@ def _stirling(n: np.ndarray) -> np.ndarray:
     return np.where(small, table[np.minimum(n, 20).astype(int)], out)
 
 
-def two_sided(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, most: int = 4_000_000) -> np.ndarray:
-    """The p-values of tables, all at once, some `most` tables of the same margins at a time.
+def two_sided(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """The p-values of tables, `most` tables of the same margins at a time, whichever they belong to.
 
     Only tables within 60 standard deviations of the mode are summed; others weigh nothing.
     """
@@ -70,20 +70,20 @@ def two_sided(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, most:
     mode = (r1 + 1) * (c1 + 1) // (n + 2)
     reach = (60 * np.sqrt(r1 * (r2 / n) * (c1 / n) * ((n - c1) / np.maximum(1, n - 1)))).astype(np.int64) + 60
     low, high = np.maximum(np.maximum(0, c1 - r2), mode - reach), np.minimum(np.minimum(r1, c1), mode + reach)
-    ends, done = np.cumsum(high - low + 1), 0
-    while done < len(some):
-        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
-        t = slice(done, to)
-        sizes = (high - low + 1)[t]
-        starts = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(to - done), sizes)
-        weight = lambda k, r1, c1, r2: -(_stirling(k) + _stirling(r1 - k) + _stirling(c1 - k) + _stirling(r2 - c1 + k))
-        lp = weight(low[t][of] + np.arange(len(of)) - starts[of], r1[t][of], c1[t][of], r2[t][of])
-        seen = weight(a[t], r1[t], c1[t], r2[t])
-        fixed = _stirling(r1[t]) + _stirling(r2[t]) + _stirling(c1[t]) + _stirling(n[t] - c1[t]) - _stirling(n[t])
-        p = np.add.reduceat(np.where(lp <= seen[of] + TIE, np.exp(lp + fixed[of]), 0.0), starts)
-        out[some[t]] = np.where((a[t] < low[t]) | (a[t] > high[t]), 0.0, np.minimum(1.0, p))
-        done = to
+    weight = lambda k, r1, c1, r2: -(_stirling(k) + _stirling(r1 - k) + _stirling(c1 - k) + _stirling(r2 - c1 + k))
+    seen = weight(a, r1, c1, r2)
+    fixed = _stirling(r1) + _stirling(r2) + _stirling(c1) + _stirling(n - c1) - _stirling(n)
+    ends, p = np.cumsum(high - low + 1), np.zeros(len(some))
+    starts, total = ends - (high - low + 1), int(ends[-1]) if len(ends) else 0
+    for lo in range(0, total, most):
+        hi = min(lo + most, total)
+        first, last = np.searchsorted(ends, (lo, hi - 1), "right")
+        t = np.arange(first, last + 1)
+        cut = np.maximum(starts[t], lo)
+        of = np.repeat(t, np.minimum(ends[t], hi) - cut)
+        lp = weight(low[of] + np.arange(lo, hi) - starts[of], r1[of], c1[of], r2[of])
+        p[t] += np.add.reduceat(np.where(lp <= seen[of] + TIE, np.exp(lp + fixed[of]), 0.0), cut - lo)
+    out[some] = np.where((a < low) | (a > high), 0.0, np.minimum(1.0, p))
     return out
 
 

@@ -15,7 +15,7 @@ from ..sources.tables import saved
 from .quantiles import quantiles
 
 #: Pairs of a block of clusters, about, and alleles of a tile.
-BLOCK, TILE = 1_000_000, 1024
+BLOCK, TILE = 1 << 17, 1024
 _CELLS = "h1 int, h2 int, a long, b long, c long, d long, shared long"
 
 
@@ -25,7 +25,8 @@ def contingency(pairs: DataFrame, min_shared: int = 0) -> DataFrame:
     A product of bit matrices: clusters are dealt into blocks of some BLOCK pairs, alleles into tiles of
     TILE. A task gets two tiles of a block, packs observations and calls of an allele into words, and counts
     the bits that two alleles share. A block leaves at most a row for two alleles however many of
-    its clusters hold both, so at most H * (H - 1) / 2 rows a block are shuffled to be added up. A pair
+    its clusters hold both, and a task adds up those of its blocks, so at most H * (H - 1) / 2 rows a
+    task are shuffled. More pairs make more blocks, never larger ones: a task's Python holds one. A pair
     goes to as many tasks as there are tiles (one up to TILE alleles).
     """
     ship(pairs.sparkSession)

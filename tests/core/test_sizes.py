@@ -1,9 +1,13 @@
 """Steps whose memory or passes must not grow with the tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairwell.functions import fisher
+from pairwell.operators import similarity
 
 
 def test_fisher_by_rows_of_long_supports(spark):
@@ -13,3 +17,19 @@ def test_fisher_by_rows_of_long_supports(spark):
     assert "window" not in plan.lower() and "4096" in plan  # no task holds the support of a table
     want = fisher.two_sided(*np.array([t[1:] for t in tables]).T)
     assert {r.i: r.pvalue for r in found.collect()} == pytest.approx(dict(enumerate(want)), rel=1e-6, abs=1e-300)
+
+
+def test_exact_tests_in_little_memory():
+    tables = np.random.default_rng(0).integers(1, 400_000, (4, 300))
+    tracemalloc.start()
+    found = fisher.two_sided(*tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6 and found == pytest.approx(fisher.two_sided(*tables, most=1_000_000), rel=1e-9, abs=1e-300)
+
+
+def test_contingency_blocks_stay_small(spark):
+    pairs = spark.range(300_000).select((F.col("id") / 10).cast("long").alias("cluster_id"), (F.col("id") % 10).cast("int").alias("hla_idx"), (F.col("id") % 3 == 0).cast("int").alias("b_call"))
+    cells = similarity.contingency(pairs)
+    assert "pmod(xxhash64(cluster_id" in (plan := cells._jdf.queryExecution().optimizedPlan().toString()) and ", 42), 3)" in plan  # 131,072 pairs a block, so three
+    assert cells.count() == 45 and {r[0] for r in cells.select("shared").distinct().collect()} == {30_000}
