@@ -70,10 +70,11 @@ def cluster_report(edges: DataFrame) -> DataFrame:
 
 def extreme_clusters(edges: DataFrame, sequences: DataFrame, n: int = 5) -> DataFrame:
     """The n largest and n smallest clusters (end, rep, size, sequence), ties by rep; sequences: ord, header, sequence."""
-    sizes = edges.groupBy("rep").agg(F.count("*").alias("size"))
+    sizes = saved(edges.groupBy("rep").agg(F.count("*").alias("size")))  # read from both ends
     ends = [sizes.orderBy(F.desc("size"), "rep").limit(n).withColumn("end", F.lit("top")), sizes.orderBy("size", F.desc("rep")).limit(n).withColumn("end", F.lit("bottom"))]
-    last = sequences.groupBy("header").agg(F.max_by("sequence", "ord").alias("sequence"))
-    both = ends[0].unionByName(ends[1])
+    both = saved(ends[0].unionByName(ends[1]))
+    wanted = F.broadcast(both.select(F.col("rep").alias("header")).distinct())  # 2 * n rows: sequences needn't be grouped but for these
+    last = sequences.join(wanted, "header", "left_semi").groupBy("header").agg(F.max_by("sequence", "ord").alias("sequence"))
     return both.join(last, both["rep"] == last["header"], "left").select("end", "rep", "size", F.coalesce("sequence", F.lit("[Sequence Not Found]")).alias("sequence"))
 
 

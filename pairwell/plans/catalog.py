@@ -472,7 +472,7 @@ def cluster_report(spark, d):
 
 @query
 def extreme_clusters(spark, d):
-    records = fx.exact_records(spark, d)
+    records = saved(fx.exact_records(spark, d))  # words are cut from the texts once
     return O.extreme_clusters(C.exact_clusters(records), records.withColumn("ord", F.col("header")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import fisher
 from pairwell.operators import similarity
+from pairwell.plans import catalog
 
 
 def test_fisher_by_rows_of_long_supports(spark):
@@ -33,3 +34,10 @@ def test_contingency_blocks_stay_small(spark):
     cells = similarity.contingency(pairs)
     assert "pmod(xxhash64(cluster_id" in (plan := cells._jdf.queryExecution().optimizedPlan().toString()) and ", 42), 3)" in plan  # 131,072 pairs a block, so three
     assert cells.count() == 45 and {r[0] for r in cells.select("shared").distinct().collect()} == {30_000}
+
+
+def test_extreme_clusters_cut_words_once(spark):
+    found = catalog.QUERIES["extreme_clusters"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()  # the words are saved
+    sizes = {r.end: r["max(size)"] for r in found.groupBy("end").max("size").collect()}
+    assert found.count() == 10 and sizes["top"] >= sizes["bottom"]
