@@ -105,18 +105,26 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if len(full) else np.empty(0, np.uint64)), starts, full
 
 
+def repeated(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur three times or more, and how often; tokens are sorted in place, so little is held beside them."""
+    tokens.sort()
+    third = tokens[2:] == tokens[:-2]
+    third[1:] &= tokens[1:-2] != tokens[:-3]
+    first = np.flatnonzero(third)
+    found = tokens[first]
+    return found, np.searchsorted(tokens, found, "right") - first
+
+
 def _described(docs: DataFrame) -> DataFrame:
     """A row for each document (kind 0: row, doc_id, tag, key, n, s1, s2, k1, k2), and counts of tokens (kind 1: s1, n); saved."""
 
     def run(batches):
-        row, held, size = TaskContext.get().partitionId() << 40, [], 0
+        row, held, size = TaskContext.get().partitionId() << 40, np.empty(0, np.uint64), 0
 
         def counted():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 3
-            m, zero = int(often.sum()), np.zeros(int(often.sum()), np.int64)
-            none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(zero + 1), none, none, none, none, pa.array(n[often].astype(np.int64)), _longs(tokens[often]), none, none, none], names=names)
+            tokens, n = repeated(held[:size])
+            one, none = np.ones(len(n), np.int64), pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(one), none, none, none, none, pa.array(n), _longs(tokens), none, none, none], names=names)
 
         names = ["kind", "row", "doc_id", "tag", "key", "n", "s1", "s2", "k1", "k2"]
         for batch in wordhash.slices(batches, 1):
@@ -126,14 +134,16 @@ def _described(docs: DataFrame) -> DataFrame:
             if len(full):
                 for to, values in zip(sums, [*_sums(tokens, starts), *_bands(tokens, starts)], strict=True):
                     to[full] = values
-                held.append(tokens)
+                if size + len(tokens) > len(held):
+                    held = np.concatenate((held[:size], np.empty(max(size, len(tokens), COUNTED // 8), np.uint64)))
+                held[size : size + len(tokens)] = tokens
                 size += len(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(np.arange(row, row + len(sets))), batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in sets], pa.int64()), *map(_longs, sums)], names=names)
             row += len(sets)
             if size >= COUNTED:
                 yield counted()
-                held, size = [], 0
-        if held:
+                size = 0
+        if size:
             yield counted()
 
     return save(docs.select("doc_id", "text", "tag", "key").mapInArrow(run, "kind long, row long, doc_id long, tag long, key long, n long, s1 long, s2 long, k1 long, k2 long"))
@@ -231,11 +241,11 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray], most: int = 1 <<
     """Sizes of the intersections of each of rows with each of columns, as a product of set-token matrices."""
     own = rows is columns
     n, sets = len(rows), rows if own else [*rows, *columns]
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, bool)
-    number = np.cumsum(first) - 1
+    number = np.cumsum(first, dtype=np.int32) - 1
     kinds = int(number[-1]) + 1 if len(number) else 0
     if own:
         both = np.bincount(number, minlength=kinds) > 1  # the diagonal is left too small
@@ -245,7 +255,7 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray], most: int = 1 <<
         there[number[owner >= n]] = True
         both = here & there  # only tokens of both sides count
     keep = both[number]
-    number, owner = (np.cumsum(both) - 1)[number[keep]], owner[keep]
+    number, owner = (np.cumsum(both, dtype=np.int32) - 1)[number[keep]], owner[keep]
     block = max(256, most // len(sets))
     out = np.zeros((n, len(columns)), np.float64)
     for lo in range(0, int(both.sum()), block):
