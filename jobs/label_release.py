@@ -38,33 +38,35 @@ from pairwell.sources.tables import dropped, saved
 DEFAULTS = {"positive": "l_returnflag = 'R'", "only": None, "members_per_supplier": 4, "engine": {}}
 
 
-def lines(spark: SparkSession, tables: str) -> DataFrame:
-    """Lines with their suppliers' nations; null names where there is none."""
+def suppliers(spark: SparkSession, tables: str) -> DataFrame:
+    """Suppliers with their nations; null names where there is none."""
     read = lambda name, *columns: spark.read.parquet(f"{tables}/{name}.parquet").select(*columns)
-    line = spark.read.parquet(f"{tables}/lineitem.parquet")
     supplier, nation = read("supplier", "s_suppkey", "s_nationkey"), read("nation", "n_nationkey", "n_name", "n_regionkey")
-    return line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
 
 
 def run(spark: SparkSession, tables: str, out: str, config: str | dict | None = None) -> dict:
     """Make the release; returns its log."""
     cfg = DEFAULTS | config if isinstance(config, dict) else common.read_config(spark, config, DEFAULTS)
     engine = EngineConfig(**{"sample_theta": False, **cfg["engine"]})
-    joined = lines(spark, tables).select("l_suppkey", F.col("l_partkey").cast("long").alias("cluster_id"), F.col("n_name").alias("allele"), F.coalesce(F.expr(cfg["positive"]), F.lit(False)).cast("int").alias("label"))
-    usable = F.col("cluster_id").isNotNull() & F.col("allele").isNotNull()
-    # one pass over the lines; a supplier is of one nation, so a part's suppliers add up over nations
-    by_supplier = joined.where(usable).groupBy("cluster_id", "allele", "l_suppkey").agg(F.sum(F.col("label").cast("long")).alias("n_pos"), F.count("*").alias("n_total"))
-    sums = saved(by_supplier.groupBy("cluster_id", "allele").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_total").alias("n_total"), F.count("*").alias("suppliers")))
-    n_read, left_out = spark.read.parquet(f"{tables}/lineitem.parquet").count(), joined.where(~usable).count()
+    line, part, known = spark.read.parquet(f"{tables}/lineitem.parquet"), F.col("l_partkey").cast("long"), F.col("n_name").isNotNull()
+    # a row a supplier tells what is left out and which nations are observed, so that pairs have their numbers from the start
+    heard = saved(line.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count(part).alias("n_usable")).join(suppliers(spark, tables), F.col("l_suppkey") == F.col("s_suppkey"), "left"))
+    index = saved(counts.allele_index(heard.where(known & (F.col("n_usable") > 0)).select(F.col("n_name").alias("allele"))))
+    of = saved(heard.join(F.broadcast(index), F.col("n_name") == F.col("hla_name")).drop("l_suppkey", "n_lines", "n_usable", "hla_name"))
+    usable = line.where(part.isNotNull()).join(of, F.col("l_suppkey") == F.col("s_suppkey"))
+    label = F.coalesce(F.expr(cfg["positive"]), F.lit(False)).cast("long")
+    sums = saved(usable.select(part.alias("cluster_id"), "hla_idx", label.alias("label")).groupBy("cluster_id", "hla_idx").agg(F.sum("label").alias("n_pos"), F.count("*").alias("n_total")))
+    n_read, left_out = line.count(), heard.agg(F.coalesce(F.sum(F.when(known, F.col("n_lines") - F.col("n_usable")).otherwise(F.col("n_lines"))), F.lit(0))).first()[0]
     total = sums.agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.count("*")).first()
     if total[0] + left_out != n_read:
         raise ValueError(f"{n_read} lines, but {total[0]} counted and {left_out} left out")
-    sizes = sums.groupBy("cluster_id").agg((cfg["members_per_supplier"] * F.sum("suppliers")).alias("n_members"))
-    index = saved(counts.allele_index(sums))
-    pairs = counts.indexed(sums.drop("suppliers"), index)
+    # read only if there is something to propagate
+    sizes = usable.select(part.alias("cluster_id"), "l_suppkey").groupBy("cluster_id").agg((cfg["members_per_supplier"] * F.count_distinct("l_suppkey")).alias("n_members"))
+    pairs = sums.select("cluster_id", "hla_idx", "n_pos", (F.col("n_total") - F.col("n_pos")).alias("n_neg"), "n_total")
     rates = counts.binder_rates(pairs, index, engine)
     params = saved(noise.noise_params(pairs, index, engine).join(rates.select("hla_idx", "p_h"), "hla_idx"))
-    called = saved(noise.called(pairs, params, engine))
+    called = noise.called(pairs, params, engine)  # not saved: making it again costs less than its columns
     tested = saved(similarity.tests(called, engine))
     labels = propagate.propagated(called, similarity.similarity(tested, engine), index, sizes, engine)
 
@@ -78,7 +80,7 @@ def run(spark: SparkSession, tables: str, out: str, config: str | dict | None =
     tested.write.mode("overwrite").parquet(f"{out}/tests")
     n_observed, n_propagated = (spark.read.schema("cluster_id long, allele string").parquet(f"{out}/{kind}").count() for kind in ("observed", "propagated"))  # by the files' footers
     done = common.record(spark, f"{out}/log", {"lines": n_read, "left_out": left_out, "pairs": total[1], "observed": n_observed, "propagated": n_propagated, "only": cfg["only"]})
-    dropped(sums, index, params, called, tested)
+    dropped(heard, index, of, sums, params, tested)
     return done
 
 

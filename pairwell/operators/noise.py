@@ -34,16 +34,30 @@ def with_tau(params: DataFrame, cfg: EngineConfig) -> DataFrame:
     return params.withColumn("tau_h", F.least(F.lit(cfg.tau_multiplier) * F.col("p_h"), F.lit(cfg.tau_max)))
 
 
+def logs(alpha: Column, beta: Column, p: Column) -> tuple[Column, ...]:
+    """What posterior_of() takes from an allele's rates."""
+    return F.ln(p), F.ln(1 - alpha), F.ln(alpha), F.ln(1 - p), F.ln(beta), F.ln(1 - beta)
+
+
+def posterior_of(n_pos: Column, n_neg: Column, p: Column, hit: Column, miss: Column, q: Column, false: Column, right: Column) -> Column:
+    """The probability that a pair binds, by logs()."""
+    odds = p + n_pos * hit + n_neg * miss - q - n_pos * false - n_neg * right
+    return clip(1 / (1 + F.exp(-clip(odds, -500.0, 500.0))), 1e-10, 1 - 1e-10)
+
+
 def posterior(n_pos: Column, n_neg: Column, alpha: Column, beta: Column, p: Column) -> Column:
     """The probability that a pair binds."""
-    odds = F.ln(p) + n_pos * F.ln(1 - alpha) + n_neg * F.ln(alpha) - F.ln(1 - p) - n_pos * F.ln(beta) - n_neg * F.ln(1 - beta)
-    return clip(1 / (1 + F.exp(-clip(odds, -500.0, 500.0))), 1e-10, 1 - 1e-10)
+    return posterior_of(n_pos, n_neg, *logs(alpha, beta, p))
 
 
 def called(pairs: DataFrame, params: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """pairs with gamma64, gamma (stored as float) and b_call; params: hla_idx, alpha, beta, p_h, a row an allele."""
-    joined = pairs.join(F.broadcast(with_tau(params, cfg).select("hla_idx", "alpha", "beta", "p_h", "tau_h")), "hla_idx")
-    joined = joined.withColumn("gamma64", posterior(*(F.col(c) for c in ("n_pos", "n_neg", "alpha", "beta", "p_h"))))
+    """pairs with gamma64, gamma (stored as float) and b_call; params: hla_idx, alpha, beta, p_h, a row an allele.
+
+    Logarithms are taken of the alleles' rates, not again for each pair.
+    """
+    of_allele = [x.alias(f"_log{i}") for i, x in enumerate(logs(F.col("alpha"), F.col("beta"), F.col("p_h")))]
+    joined = pairs.join(F.broadcast(with_tau(params, cfg).select("hla_idx", "tau_h", *of_allele)), "hla_idx")
+    joined = joined.withColumn("gamma64", posterior_of(F.col("n_pos"), F.col("n_neg"), *[F.col(f"_log{i}") for i in range(len(of_allele))]))
     return joined.select(*pairs.columns, "gamma64", F.col("gamma64").cast("float").alias("gamma"), (F.col("gamma64") > F.col("tau_h")).cast("tinyint").alias("b_call"))
 
 

@@ -36,12 +36,14 @@ def propagated(pairs: DataFrame, s: DataFrame, index: DataFrame, sizes: DataFram
 
     All targets in one join: a pair meets the targets of its allele, at most H; sums of a cluster's
     sources are made before the anti-join with what is observed. The weights are broadcast while they
-    are few (MOST_WEIGHTS), else joined by allele.
+    are few (MOST_WEIGHTS), else joined by allele. Without any, neither pairs nor sizes are read.
     """
     w = weights(s).join(targets(pairs, index, cfg).select(F.col("hla_idx").alias("h_tgt")), "h_tgt", "left_semi")
     source = pairs.select("cluster_id", F.col("hla_idx").alias("h_src"), F.col("gamma").cast("double").alias("g"), "n_total").join(coverage(pairs, sizes, cfg).select("cluster_id", "penalty"), "cluster_id")
     w = saved(w)
-    sums = source.join(F.broadcast(w) if w.count() <= MOST_WEIGHTS else w, "h_src").groupBy("cluster_id", F.col("h_tgt").alias("hla_idx")).agg(F.sum(F.col("w") * F.col("g")).alias("wg"), F.sum("w").alias("ws"), F.sum(F.col("w") * F.col("n_total") * F.col("penalty")).alias("wn"))
+    n_weights = w.count()
+    w = w if n_weights else w.limit(0)  # which Spark knows to be empty, and all joins with it
+    sums = source.join(F.broadcast(w) if n_weights <= MOST_WEIGHTS else w, "h_src").groupBy("cluster_id", F.col("h_tgt").alias("hla_idx")).agg(F.sum(F.col("w") * F.col("g")).alias("wg"), F.sum("w").alias("ws"), F.sum(F.col("w") * F.col("n_total") * F.col("penalty")).alias("wn"))
     new = sums.join(pairs.select("cluster_id", "hla_idx"), ["cluster_id", "hla_idx"], "left_anti")
     return new.select("cluster_id", "hla_idx", (F.col("wg") / F.col("ws")).cast("float").alias("p_tilde"), F.col("wn").cast("float").alias("n_tilde"), (F.col("wn") / (F.col("wn") + cfg.kappa)).cast("float").alias("lambda_w"))
 

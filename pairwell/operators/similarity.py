@@ -32,19 +32,22 @@ def contingency(pairs: DataFrame, min_shared: int = 0) -> DataFrame:
     ship(pairs.sparkSession)
     last = pairs.agg(F.count("*"), F.coalesce(F.max("hla_idx"), F.lit(0))).first()
     blocks, tiles = -(-last[0] // BLOCK) or 1, last[1] // TILE + 1
-    tile = F.floor(F.col("hla_idx") / TILE).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda u: F.struct(F.least(tile, u).alias("i"), F.greatest(tile, u).alias("j")))
-    dealt = pairs.select(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(others).alias("t"), "cluster_id", "hla_idx", F.col("b_call").cast("boolean").alias("call"))
+    block, tile, other = F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)), F.floor(F.col("hla_idx") / TILE), F.col("other")
+    task = (block * tiles + F.least(tile, other)) * tiles + F.greatest(tile, other)  # one number, which Spark sorts by radix
+    seen = 2 * F.col("hla_idx") + F.col("b_call").cast("boolean").cast("int")
+    dealt = pairs.select("cluster_id", "hla_idx", "b_call", F.explode(F.array(*[F.lit(k).cast("long") for k in range(tiles)])).alias("other")).select(task.alias("task"), "cluster_id", seen.alias("seen"))
 
     def count(group: pa.Table) -> pa.Table:
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        allele, cluster, call = (group[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("hla_idx", "cluster_id", "call"))
+        i, j = divmod(group["task"][0].as_py() % tiles**2, tiles)
+        cluster, seen = (group[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("cluster_id", "seen"))
+        allele, call = seen >> 1, (seen & 1).astype(bool)
         here = allele // TILE
-        sides = [tuple(x[here == k] for x in (allele, cluster, call.astype(bool))) for k in (i, j)]
-        columns = bits.cells(*sides) if all(len(x[0]) for x in sides) else [np.empty(0, np.int64)] * 7
+        left = tuple(x[here == i] for x in (allele, cluster, call))
+        right = left if i == j else tuple(x[here == j] for x in (allele, cluster, call))
+        columns = bits.cells(left, right) if len(left[0]) and len(right[0]) else [np.empty(0, np.int64)] * 7
         return pa.Table.from_arrays([pa.array(x.astype(np.int32 if k < 2 else np.int64)) for k, x in enumerate(columns)], names=[c.split()[0] for c in _CELLS.split(", ")])
 
-    parts = dealt.select("block", "t.i", "t.j", "cluster_id", "hla_idx", "call").groupBy("block", "i", "j").applyInArrow(count, _CELLS)
+    parts = dealt.groupBy("task").applyInArrow(count, _CELLS)
     cells = parts.groupBy("h1", "h2").agg(*[F.sum(c).alias(c) for c in ("a", "b", "c", "d", "shared")])
     return cells.where(F.col("shared") >= min_shared)
 

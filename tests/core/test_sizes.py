@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairwell.config import EngineConfig
 from pairwell.functions import fisher
-from pairwell.operators import similarity
+from pairwell.operators import noise, propagate, similarity
 from pairwell.plans import catalog
 
 
@@ -41,3 +42,29 @@ def test_extreme_clusters_cut_words_once(spark):
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()  # the words are saved
     sizes = {r.end: r["max(size)"] for r in found.groupBy("end").max("size").collect()}
     assert found.count() == 10 and sizes["top"] >= sizes["bottom"]
+
+
+def test_contingency_sorts_by_one_number(spark):
+    pairs = spark.range(1000).select((F.col("id") / 10).cast("long").alias("cluster_id"), (F.col("id") % 10).cast("int").alias("hla_idx"), F.lit(1).alias("b_call"))
+    plan = similarity.contingency(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow [task" in plan and "lambdafunction" not in plan
+
+
+def test_logarithms_of_alleles_only(spark):
+    pairs = spark.createDataFrame([(1, 0, 3, 1, 4), (2, 0, 0, 9, 9)], "cluster_id long, hla_idx int, n_pos long, n_neg long, n_total long")
+    params = spark.createDataFrame([(0, 0.1, 0.02, 0.3)], "hla_idx int, alpha double, beta double, p_h double")
+    found = noise.called(pairs, params, EngineConfig())
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "ln(" not in above.lower() and "exp(" in above.lower()
+    want = pairs.join(params, "hla_idx").select("cluster_id", noise.posterior(*(F.col(c) for c in ("n_pos", "n_neg", "alpha", "beta", "p_h"))))
+    assert sorted(map(tuple, found.select("cluster_id", "gamma64").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nothing_is_read_to_propagate_nothing(spark):
+    pairs = spark.range(100).select((F.col("id") / 2).cast("long").alias("cluster_id"), (F.col("id") % 2).cast("int").alias("hla_idx"), F.lit(1).cast("long").alias("n_total"), F.lit(0.5).cast("float").alias("gamma"))
+    index, sizes = spark.createDataFrame([(0, "a"), (1, "b")], "hla_idx int, hla_name string"), pairs.groupBy("cluster_id").agg(F.count("*").alias("n_members"))
+    s = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0)], "h1 int, h2 int, s double")
+    none = propagate.propagated(pairs, s, index, sizes, EngineConfig(rare_max_pairs=1))
+    plan = none._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("LocalRelation <empty>") and none.count() == 0
+    assert propagate.propagated(pairs.where("hla_idx = 0"), s, index, sizes, EngineConfig()).count() == 50
